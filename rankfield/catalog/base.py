@@ -28,6 +28,17 @@ def r6(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     )
 
 
+# Added before rounding where values are exact fractions, so that both engines
+# round a tie the same way.
+NUDGE = 1e-9
+
+
+def r6_fraction(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(
+        *[F.round(F.col(c) + NUDGE, 6).alias(c) if c in names else F.col(c) for c in df.columns]
+    )
+
+
 def _mix_steps(source: str, columns: list[str]) -> str:
     """Nested selects applying the integer hash to each of ``columns``."""
     s0, s1, s2 = draws.SHIFTS
@@ -65,7 +76,7 @@ _DRAW_SOURCE = f"""(
 PARTS: dict[str, str] = {
     "features": """
 SELECT l_partkey AS row_idx, 'P' || l_partkey AS feature, l_suppkey AS sample_idx,
-  'S' || l_suppkey AS sample, sum(l_extendedprice * (1 - l_discount)) AS value
+  'S' || l_suppkey AS sample, sqrt(sum(l_extendedprice * (1 - l_discount))) AS value
 FROM lineitem GROUP BY l_partkey, l_suppkey""",
     "order_features": """
 SELECT o_orderkey AS row_idx, 'C' || o_custkey AS feature, o_orderpriority AS sample,
@@ -168,14 +179,14 @@ FROM drawn d JOIN ranked r USING (rank)
 WINDOW o AS (PARTITION BY d.set_name, d.perm ORDER BY d.rank)""",
     "null_es": """
 SELECT set_name, perm, v AS es FROM (
-  SELECT set_name, perm, rank - 1 AS at,
+  SELECT set_name, perm, rank - 1 AS spot,
     (reached - w) / total - (rank - k) / (n_features - size)::DOUBLE AS v FROM null_hits
   UNION ALL
   SELECT set_name, perm, rank,
     reached / total - (rank - k) / (n_features - size)::DOUBLE FROM null_hits
 )
 QUALIFY row_number() OVER (
-  PARTITION BY set_name, perm ORDER BY floor(abs(v) * 1e10 + 0.5) DESC, at) = 1""",
+  PARTITION BY set_name, perm ORDER BY floor(abs(v) * 1e10 + 0.5) DESC, spot) = 1""",
     "means": """
 SELECT set_name, avg(es) FILTER (es >= 0) AS mp, avg(es) FILTER (es <= 0) AS mn
 FROM null_es GROUP BY set_name""",

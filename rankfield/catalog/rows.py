@@ -114,9 +114,6 @@ add("read_gmx", _read_sets(_describe(writers.write_gmx), coll.read_gmx, ".gmx"),
 def _read_grp(spark, d):
     path = scratch_path(spark, "io")
     one = i.part_sets(spark, d).filter("collection = 'type'")
-    one.select("set_name", "member", "member_pos").transform(
-        lambda df: df.withColumn("set_name", F.col("set_name"))
-    )
     writers.write_grp(one.select("set_name", "member", "member_pos"), path)
     return coll.read_grp(spark, path).groupBy("set_name").agg(
         F.count(F.lit(1)).alias("n_members"),
@@ -129,7 +126,7 @@ add(
     "read_grp",
     _read_grp,
     """
-SELECT regexp_extract(set_name, '.*') AS set_name, count(*) AS n_members,
+SELECT set_name, count(*) AS n_members,
   min(member) AS first_member, max(member) AS last_member
 FROM part_sets WHERE collection = 'type' GROUP BY set_name""",
 )
@@ -346,7 +343,6 @@ FROM customer GROUP BY c_mktsegment""",
 )
 
 # sinks: the text they leave behind
-_COUNTED = "SELECT '#1.2' AS line UNION ALL "
 add(
     "write_gmt",
     _text_lines(_describe(writers.write_gmt), ".gmt", i.part_sets),
@@ -371,14 +367,14 @@ add(
 SELECT rtrim(string_agg(coalesce(c.t, ''), chr(9) ORDER BY n.set_name), chr(9)) AS line
 FROM (SELECT DISTINCT set_name FROM part_sets) n
 CROSS JOIN (SELECT unnest(range(-2, (SELECT max(c) FROM (
-    SELECT count(*) AS c FROM part_sets GROUP BY set_name)))) AS at) p
+    SELECT count(*) AS c FROM part_sets GROUP BY set_name)))) AS spot) p
 LEFT JOIN (
-  SELECT set_name, row_number() OVER (PARTITION BY set_name ORDER BY member_pos) - 1 AS at,
+  SELECT set_name, row_number() OVER (PARTITION BY set_name ORDER BY member_pos) - 1 AS spot,
     member AS t FROM part_sets
   UNION ALL SELECT DISTINCT set_name, -2, set_name FROM part_sets
   UNION ALL SELECT DISTINCT set_name, -1, collection FROM part_sets
-) c ON c.set_name = n.set_name AND c.at = p.at
-GROUP BY p.at""",
+) c ON c.set_name = n.set_name AND c.spot = p.spot
+GROUP BY p.spot""",
 )
 add(
     "write_cls",
@@ -576,7 +572,8 @@ add(
         text.base_name(F.concat("url", F.lit("#set_"), "page_id")).alias("set_name"),
     ),
     """
-SELECT page_id, split_part(url, '/', -1) AS file_name, 'set_' || page_id AS set_name
+SELECT page_id, CASE WHEN contains(url, '#') THEN split_part(url, '#', -1)
+  ELSE split_part(url, '/', -1) END AS file_name, 'set_' || page_id AS set_name
 FROM pages""",
 )
 add(
@@ -974,11 +971,11 @@ def _centred(spark, d):
     cells = i.features(spark, d)
     means = cells.groupBy("feature").agg(F.avg("value").alias("_m"))
     return cells.join(means, "feature").select(
-        "row_idx", "feature", "sample", F.round(F.col("value") - F.col("_m"), 4).alias("value")
+        "row_idx", "feature", "sample", F.round(F.col("value") - F.col("_m"), 6).alias("value")
     )
 
 
-_CENTRED = """(SELECT f.row_idx, f.feature, f.sample, round(f.value - a.m, 4) AS value
+_CENTRED = """(SELECT f.row_idx, f.feature, f.sample, round(f.value - a.m, 6) AS value
   FROM features f JOIN (SELECT feature, avg(value) AS m FROM features GROUP BY feature) a
   USING (feature)) c"""
 add(

@@ -169,12 +169,11 @@ FROM (SELECT feature, avg(value) AS m,
 add(
     "missing_safe_stats",
     lambda spark, d: r6(
-        measures.missing_safe_stats(i.order_features(spark, d)), "mean", "median", "sum", "max",
-        digits=4,
+        measures.missing_safe_stats(i.order_features(spark, d)), "mean", "median", "sum", "max"
     ),
     """
-SELECT feature, round(avg(value), 4) AS mean, round(median(value), 4) AS median,
-  round(sum(value), 4) AS sum, round(max(value), 4) AS max
+SELECT feature, round(avg(value), 6) AS mean, round(median(value), 6) AS median,
+  round(sum(value), 6) AS sum, round(max(value), 6) AS max
 FROM order_features GROUP BY feature""",
 )
 

@@ -11,7 +11,7 @@ from .. import inputs as i
 from ..operators import enrich, leading, nulls, permute, sets, signif
 from ..operators.rank import sort_results_by_nes
 from ..session import cut
-from .base import PERMS, SEED, Entry, r6, sql
+from .base import NUDGE, PERMS, SEED, Entry, r6, r6_fraction, sql
 
 ENTRIES: dict[str, Entry] = {}
 
@@ -126,26 +126,27 @@ for _name, _forms in _SCHEME_SQL.items():
 
     def _query(spark, d, scheme=_scheme):
         hits = edge_parts(spark, d, scheme).hits
-        return r6(hits.select("set_name", "hit_no", "rank", "weight", "running_es"), "weight", "running_es")
+        shown = hits.select("set_name", "hit_no", "rank", "weight", "running_es")
+        return r6_fraction(shown, "weight", "running_es")
 
     add(
         f"score_{_name}",
         _query,
         f"""
 SELECT set_name, row_number() OVER (PARTITION BY set_name ORDER BY rank) - 1 AS hit_no, rank,
-  round(weight, 6) AS weight, round(run, 6) AS running_es
+  round(weight + {NUDGE}, 6) AS weight, round(run + {NUDGE}, 6) AS running_es
 FROM {_walk(*_forms)} WHERE hit""",
     )
 
     def _es_query(spark, d, scheme=_scheme):
         es = edge_parts(spark, d, scheme).es
-        return r6(es.select("set_name", "size", "es", "rank_at_max", "score_at_max"), "es")
+        return r6_fraction(es.select("set_name", "size", "es", "rank_at_max", "score_at_max"), "es")
 
     add(
         "enrichment_score" if _name == "weighted" else f"enrichment_score_{_name}",
         _es_query,
         f"""
-SELECT set_name, size, round(run, 6) AS es, rank AS rank_at_max, score AS score_at_max
+SELECT set_name, size, round(run + {NUDGE}, 6) AS es, rank AS rank_at_max, score AS score_at_max
 FROM {_walk(*_forms)}
 QUALIFY row_number() OVER (
   PARTITION BY set_name ORDER BY floor(abs(run) * 1e10 + 0.5) DESC, rank) = 1""",
@@ -193,10 +194,10 @@ add(
     f"""
 SELECT a.perm, a.sample, b.num_value
 FROM (SELECT p.perm, l.sample, row_number() OVER (PARTITION BY p.perm
-        ORDER BY md5('{SEED}:' || p.perm || ':' || l.sample), l.sample) AS at
+        ORDER BY md5('{SEED}:' || p.perm || ':' || l.sample), l.sample) AS spot
       FROM side_labels l, {_PERM}) a
-JOIN (SELECT num_value, row_number() OVER (ORDER BY position) AS at FROM side_labels) b
-  ON a.at = b.at""",
+JOIN (SELECT num_value, row_number() OVER (ORDER BY position) AS spot FROM side_labels) b
+  ON a.spot = b.spot""",
 )
 _BALANCED = {
     "balance_class0": "n0 // 2",
@@ -212,10 +213,10 @@ for _kind, _stay in _BALANCED.items():
         "permute_labels_balanced" if _kind == "balance_class0" else f"permute_labels_{_kind}",
         _balanced,
         f"""
-SELECT perm, sample, CASE WHEN at <= CASE WHEN class_idx = 0 THEN {_stay}
+SELECT perm, sample, CASE WHEN spot <= CASE WHEN class_idx = 0 THEN {_stay}
     ELSE n0 - ({_stay}) END THEN 0 ELSE 1 END AS class_idx
 FROM (SELECT p.perm, l.sample, l.class_idx, row_number() OVER (PARTITION BY p.perm, l.class_idx
-        ORDER BY md5('{SEED}:' || p.perm || ':' || l.sample), l.sample) AS at
+        ORDER BY md5('{SEED}:' || p.perm || ':' || l.sample), l.sample) AS spot
       FROM vector_labels l, {_PERM}),
   (SELECT count(*) FILTER (class_idx = 0) AS n0, count(*) FILTER (class_idx = 1) AS n1
    FROM vector_labels)""",
@@ -249,13 +250,13 @@ add("null_es_by_random_sets_plan", _null_by_sets(nulls.null_by_sets_plan), _NULL
 
 _LABEL_NULL = """
 SELECT set_name, perm, round(v, 6) AS es FROM (
-  SELECT set_name, perm, rank - 1 AS at,
+  SELECT set_name, perm, rank - 1 AS spot,
     (reached - w) / total - (rank - k) / (n - size)::DOUBLE AS v FROM label_hits
   UNION ALL
   SELECT set_name, perm, rank, reached / total - (rank - k) / (n - size)::DOUBLE FROM label_hits
 )
 QUALIFY row_number() OVER (
-  PARTITION BY set_name, perm ORDER BY floor(abs(v) * 1e10 + 0.5) DESC, at) = 1"""
+  PARTITION BY set_name, perm ORDER BY floor(abs(v) * 1e10 + 0.5) DESC, spot) = 1"""
 
 
 def _null_by_labels(path):

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import inputs as i
-from ..operators import leading, metrics, rank, reports
+from ..operators import leading, reports
 from ..plans import runs
-from .base import PERMS, SEED, Entry, r6, sql
+from .base import NUDGE, PERMS, SEED, Entry, r6, r6_fraction, sql
 from .stats import edge_parts, results, scored
 
 ENTRIES: dict[str, Entry] = {}
@@ -48,8 +48,9 @@ add(
     "enrichment_report_text",
     _report(True),
     f"""
-SELECT r.side, r.set_name, printf('tags=%.0f%%, list=%.0f%%, signal=%.0f%%',
-  s.tag_fraction * 100, s.list_fraction * 100, s.signal_strength * 100) AS leading_edge
+SELECT r.side, r.set_name, printf('tags=%d%%, list=%d%%, signal=%d%%',
+  floor(s.tag_fraction * 100 + 0.5)::BIGINT, floor(s.list_fraction * 100 + 0.5)::BIGINT,
+  floor(s.signal_strength * 100 + 0.5)::BIGINT) AS leading_edge
 FROM {_SIDED} JOIN edge_stats s USING (set_name)""",
 )
 
@@ -68,10 +69,10 @@ add(
     """
 SELECT h.set_name, h.hit_no, h.feature, h.rank, round(h.score, 3) AS score,
   round(h.running_es, 4) AS running_es,
-  CASE WHEN CASE WHEN m.dev >= 0 THEN h.rank <= m.at ELSE h.rank >= m.at END
+  CASE WHEN CASE WHEN m.dev >= 0 THEN h.rank <= m.spot ELSE h.rank >= m.spot END
     THEN 'Yes' ELSE 'No' END AS core_enrichment, t.title
 FROM hits h
-JOIN (SELECT set_name, running_es AS dev, rank AS at FROM hits
+JOIN (SELECT set_name, running_es AS dev, rank AS spot FROM hits
       QUALIFY row_number() OVER (PARTITION BY set_name
         ORDER BY floor(abs(running_es) * 1e10 + 0.5) DESC, sign(running_es) DESC, rank) = 1) m
   USING (set_name)
@@ -162,10 +163,6 @@ add(
     """
 SELECT set_name, round(nes, 6) AS nes, round(fdr, 6) AS fdr, round(np, 6) AS np FROM results""",
 )
-_BINS = """
-SELECT {g}greatest(least(floor((es - lo) / nullif(hi - lo, 0) * 20), 19), 0)::BIGINT AS bin,
-  round(min(lo) + greatest(least(floor((es - lo) / nullif(hi - lo, 0) * 20), 19), 0)
-    * (min(hi) - min(lo)) / 20, 6) AS bin_start, count(*) AS n"""
 add(
     "es_histogram",
     lambda spark, d: r6(reports.es_histogram(edge_parts(spark, d).es), "bin_start"),
@@ -190,16 +187,16 @@ GROUP BY set_name, bin, lo, hi, share""",
 )
 add(
     "ranked_list_bins",
-    lambda spark, d: r6(reports.ranked_list_bins(i.ranked(spark, d)), "mean_score"),
-    """
-SELECT side, floor(((at + 1) * 100 - 1) / n::DOUBLE)::BIGINT AS bin,
-  round(avg(score), 6) AS mean_score, count(*) AS n
+    lambda spark, d: r6_fraction(reports.ranked_list_bins(i.ranked(spark, d)), "mean_score"),
+    f"""
+SELECT side, floor(((spot + 1) * 100 - 1) / n::DOUBLE)::BIGINT AS bin,
+  round(avg(score) + {NUDGE}, 6) AS mean_score, count(*) AS n
 FROM (
-  SELECT side, score, row_number() OVER (PARTITION BY side ORDER BY rank) - 1 AS at,
+  SELECT side, score, row_number() OVER (PARTITION BY side ORDER BY rank) - 1 AS spot,
     count(*) OVER (PARTITION BY side) AS n
   FROM (SELECT 'pos' AS side, * FROM ranked WHERE score >= 0
         UNION ALL SELECT 'neg', * FROM ranked WHERE score <= 0))
-GROUP BY side, 2, ranked_list_n(n)""".replace(", ranked_list_n(n)", ""),
+GROUP BY side, 2""",
 )
 
 
@@ -314,8 +311,3 @@ add(
 SELECT feature AS member, count(*) AS n_sets FROM edge JOIN es USING (set_name)
 WHERE es.es > 0 GROUP BY feature""",
 )
-
-
-def first_features(spark, d):
-    scored_ = metrics.class_metric("signal_to_noise", i.features(spark, d), i.side_labels(spark, d))
-    return rank.top_bottom_k(rank.rank_features(scored_), 50)

@@ -1,6 +1,6 @@
 """Domain tables projected from the driver's star-schema tables.
 
-Two matrices: parts x suppliers (summed revenue, most cells missing) and
+Two matrices: parts x suppliers (root of the revenue, most cells missing) and
 embedding dimensions x vectors (dense). Every projection reads a whole table.
 """
 
@@ -29,12 +29,12 @@ def _supplier(c: str):
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part x supplier revenue; an absent cell is missing."""
+    """Part x supplier, root of the revenue; an absent cell is missing."""
     revenue = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_partkey", "l_suppkey")
-        .agg(F.sum(revenue).alias("value"))
+        .agg(F.sqrt(F.sum(revenue)).alias("value"))
         .select(
             F.col("l_partkey").alias("row_idx"),
             _part("l_partkey").alias("feature"),

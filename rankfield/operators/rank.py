@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import with_one_row
-from ..session import cut, shuffle_width
+from ..session import cut
 
 _POSITION_BITS = 33
 
@@ -30,7 +30,7 @@ def number_rows(
     by = list(by)
     keys = [F.col(c) for c in by]
     placed = (
-        df.repartitionByRange(shuffle_width(df.sparkSession), *keys, *order)
+        df.repartitionByRange(*keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn("_at", F.monotonically_increasing_id())
     )

@@ -49,7 +49,7 @@ def enrichment_report(results: DataFrame, edge_stats: DataFrame) -> DataFrame:
     )
 
     def percent(c: str):
-        return F.format_string("%.0f%%", F.col(c) * 100)
+        return F.format_string("%d%%", F.floor(F.col(c) * 100 + 0.5))
 
     edge = F.concat(
         F.lit("tags="), percent("tag_fraction"),

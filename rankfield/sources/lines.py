@@ -9,13 +9,14 @@ from ..operators.rank import number_rows
 
 
 def source_name(path: Column, extension: str) -> Column:
-    """Base name without extension. A folder ``x.ext/`` holding part files is
-    one source named ``x``."""
+    """Base name without extension. A folder ``x.ext/`` (or ``key=x.ext/``)
+    holding part files is one source named ``x``."""
     ext = extension.replace(".", r"\.")
     folder = F.regexp_extract(path, rf"([^/]+){ext}/", 1)
     file_name = F.element_at(F.split(path, "/"), -1)
     plain = F.regexp_replace(file_name, rf"{ext}$", "")
-    return F.url_decode(F.when(folder != "", folder).otherwise(plain))
+    name = F.when(folder != "", F.regexp_replace(folder, "^[^=]*=", "")).otherwise(plain)
+    return F.url_decode(name)
 
 
 def read_lines(
