@@ -1 +1,9 @@
 """Set-enrichment analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value: they need not have
+# the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

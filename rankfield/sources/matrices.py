@@ -45,14 +45,26 @@ def _cells(
         ["dataset"],
         name="row_idx",
     )
+    # name, text and call travel together, so a cell carries no row arrays
+    parts = [F.col("header").alias("n"), F.col("_values").alias("v")]
+    if calls is not None:
+        parts.append(F.col("_calls"))
+    zipped = F.arrays_zip(*parts)
     cell = placed.select(
         "dataset",
         "row_idx",
         "feature",
         "description",
-        "header",
-        "_calls",
-        F.posexplode("_values").alias("sample_idx", "_text"),
+        F.posexplode(zipped).alias("sample_idx", "_c"),
+    ).select(
+        "dataset",
+        "row_idx",
+        "feature",
+        "description",
+        "sample_idx",
+        F.col("_c.n").alias("_name"),
+        F.col("_c.v").alias("_text"),
+        (F.col("_c._calls") if calls is not None else F.lit(None)).cast("string").alias("_call"),
     )
     wrong = F.raise_error(F.concat(F.lit("not a number: "), F.col("_text"))).cast("double")
     value = F.when(number_error("_text"), wrong).otherwise(parse_number("_text"))
@@ -62,9 +74,9 @@ def _cells(
         "feature",
         "description",
         F.col("sample_idx").cast("long").alias("sample_idx"),
-        F.trim(F.get("header", F.col("sample_idx"))).alias("sample"),
+        F.trim("_name").alias("sample"),
         value.alias("value"),
-        F.get("_calls", F.col("sample_idx")).alias("call"),
+        F.col("_call").alias("call"),
     )
     return out if calls is not None else out.drop("call")
 

@@ -21,46 +21,57 @@ DEFAULT_CALL = "P"
 MISSING_TEXT = "na"
 
 
-def _samples(features: DataFrame) -> DataFrame:
-    """One row: sample names in column order."""
-    names = features.select("sample_idx", "sample").distinct()
-    return names.agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("sample_idx", "sample"))), lambda x: x["sample"]
-        ).alias("_samples")
+def _dense_text(cells: Column, width: Column, empty: str) -> Column:
+    """Texts of sorted (no, text) cells, each after a tab, absent numbers below
+    ``width`` filled with ``empty``; one pass over the cells."""
+    gap = "\t" + empty
+
+    def piece(c: Column, i: Column) -> Column:
+        prior = F.when(i > 0, F.get(cells, i - 1)["no"]).otherwise(F.lit(-1).cast("long"))
+        skipped = (c["no"] - prior - 1).cast("int")
+        return F.concat(F.repeat(F.lit(gap), skipped), F.lit("\t"), c["text"])
+
+    last = F.element_at(cells, -1)["no"]
+    return F.concat(
+        F.array_join(F.transform(cells, piece), ""),
+        F.repeat(F.lit(gap), (width - 1 - last).cast("int")),
     )
 
 
 def _wide(features: DataFrame, with_call: bool) -> tuple[DataFrame, DataFrame]:
     """(row number, file number, feature, description, cell texts) and the
     sample header; a row array is as long as there are samples."""
-    header = _samples(features)
-    description = "description" if "description" in features.columns else None
-    desc = F.coalesce(F.min(description), F.lit(MISSING_TEXT)) if description else F.lit(MISSING_TEXT)
+    samples = number_rows(
+        features.select("sample_idx", "sample").distinct(),
+        [F.col("sample_idx").asc(), F.col("sample").asc()],
+        name="no",
+    )
+    names = F.array_sort(F.collect_list(F.struct("no", "sample")))
+    header = samples.agg(F.transform(names, lambda x: x["sample"]).alias("_samples"))
+    described = "description" in features.columns
+    desc = F.coalesce(F.min("description"), F.lit(MISSING_TEXT)) if described else F.lit(MISSING_TEXT)
     text = F.coalesce(F.col("value").cast("string"), F.lit(""))
     if with_call:
         call = F.col("call") if "call" in features.columns else F.lit(None).cast("string")
         text = F.concat_ws("\t", text, F.coalesce(call, F.lit(DEFAULT_CALL)))
-    rows = features.groupBy("row_idx", "feature").agg(
-        desc.alias("description"),
-        F.map_from_entries(F.collect_list(F.struct(F.col("sample"), text))).alias("_cells"),
+    rows = (
+        features.withColumn("text", text)
+        .join(samples.select("sample", "no"), "sample")
+        .groupBy("row_idx", "feature")
+        .agg(
+            desc.alias("description"),
+            F.array_sort(F.collect_list(F.struct("no", "text"))).alias("_cells"),
+        )
     )
     empty = "\t" + DEFAULT_CALL if with_call else ""
-    rows = number_rows(rows, [F.col("row_idx").asc()], name="_row")
-    rows = with_one_row(rows, header).select(
-        "_row",
-        F.expr(f"_row div {ROWS_PER_FILE}").alias("_file"),
+    rows = with_one_row(rows, samples.agg(F.count(F.lit(1)).alias("_width"))).select(
+        "row_idx",
         "feature",
         "description",
-        F.array_join(
-            F.transform(
-                "_samples",
-                lambda s: F.coalesce(F.try_element_at(F.col("_cells"), s), F.lit(empty)),
-            ),
-            "\t",
-        ).alias("_text"),
+        _dense_text(F.col("_cells"), F.col("_width"), empty).alias("_text"),
     )
-    return rows, header
+    rows = number_rows(rows, [F.col("row_idx").asc()], name="_row")
+    return rows.withColumn("_file", F.expr(f"_row div {ROWS_PER_FILE}")), header
 
 
 def _write_files(
@@ -98,13 +109,13 @@ def write_gct(features: DataFrame, path: str) -> None:
         F.concat_ws("\t", F.col("_n_rows").cast("string"), F.size("_samples").cast("string")),
         _names_line("NAME", "DESCRIPTION"),
     ]
-    _write_files(rows, F.concat_ws("\t", "feature", "description", "_text"), header, heads, path)
+    _write_files(rows, F.concat("feature", F.lit("\t"), "description", "_text"), header, heads, path)
 
 
 def write_txt_matrix(features: DataFrame, path: str) -> None:
     rows, header = _wide(features, False)
     heads = [_names_line("NAME", "DESCRIPTION")]
-    _write_files(rows, F.concat_ws("\t", "feature", "description", "_text"), header, heads, path)
+    _write_files(rows, F.concat("feature", F.lit("\t"), "description", "_text"), header, heads, path)
 
 
 def write_pcl(features: DataFrame, path: str) -> None:
@@ -114,7 +125,7 @@ def write_pcl(features: DataFrame, path: str) -> None:
         _names_line("UNIQID", "NAME", "GWEIGHT"),
         F.concat(F.lit("EWEIGHT\t\t\t"), F.array_join(ones, "\t")),
     ]
-    line = F.concat_ws("\t", "feature", "description", F.lit("1"), "_text")
+    line = F.concat("feature", F.lit("\t"), "description", F.lit("\t1"), "_text")
     _write_files(rows, line, header, heads, path)
 
 
@@ -126,7 +137,7 @@ def write_res(features: DataFrame, path: str) -> None:
         F.lit(""),
         F.col("_n_rows").cast("string"),
     ]
-    _write_files(rows, F.concat_ws("\t", "description", "feature", "_text"), header, heads, path)
+    _write_files(rows, F.concat("description", F.lit("\t"), "feature", "_text"), header, heads, path)
 
 
 def write_rnk(ranked: DataFrame, path: str) -> None:
@@ -157,23 +168,23 @@ def write_gmx(sets: DataFrame, path: str) -> None:
     """Sets in columns; line i holds member i of every set."""
     has_desc = "description" in sets.columns
     desc = F.coalesce(F.min("description"), F.lit(MISSING_TEXT)) if has_desc else F.lit(MISSING_TEXT)
-    names = sets.groupBy("set_name").agg(desc.alias("description"))
-    order = F.array_sort(F.collect_list(F.struct("set_name", "description")))
+    names = number_rows(
+        sets.groupBy("set_name").agg(desc.alias("description")),
+        [F.col("set_name").asc()],
+        name="no",
+    )
+    order = F.array_sort(F.collect_list(F.struct("no", "set_name", "description")))
     header = names.agg(order.alias("_sets"))
     placed = number_rows(
         sets, [F.col("member_pos").asc(), F.col("member").asc()], ["set_name"], name="_row"
     )
-    rows = placed.groupBy("_row").agg(
-        F.map_from_entries(F.collect_list(F.struct("set_name", "member"))).alias("_cells")
-    )
-    body = with_one_row(rows, header).select(
+    cells = F.array_sort(F.collect_list(F.struct("no", F.col("member").alias("text"))))
+    rows = placed.join(names, "set_name").groupBy("_row").agg(cells.alias("_cells"))
+    width = names.agg(F.count(F.lit(1)).alias("_width"))
+    body = with_one_row(rows, width).select(
         F.col("_row").alias("_at"),
-        F.array_join(
-            F.transform(
-                "_sets",
-                lambda s: F.coalesce(F.try_element_at(F.col("_cells"), s["set_name"]), F.lit("")),
-            ),
-            "\t",
+        F.substring(
+            _dense_text(F.col("_cells"), F.col("_width"), ""), F.lit(2), F.lit(1 << 30)
         ).alias("value"),
     )
     top = header.select(
