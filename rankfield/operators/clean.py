@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import POWER_GUARD, is_finite, is_negative, is_positive
 from ..functions.scalars import with_one_row
-from .rank import attach_sizes, rerank
+from .rank import attach_sizes, number_rows, rerank
 
 # Sample counts below which a run is refused.
 MIN_SAMPLES_TWO_CLASS = 6
@@ -95,8 +95,8 @@ def extract_rows_by_rank(
 
 def select_samples_for_labels(features: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled samples only, renumbered class first, then position."""
-    order = Window.partitionBy("phenotype").orderBy("class_idx", "position")
-    placed = labels.withColumn("sample_pos", F.row_number().over(order) - 1)
+    order = [F.col(c).asc() for c in ("class_idx", "position", "sample")]
+    placed = number_rows(labels, order, ["phenotype"], name="sample_pos")
     return features.join(
         placed.select("sample", "class_name", "class_idx", "sample_pos"), "sample"
     ).select(*features.columns, "class_name", "class_idx", "sample_pos")
@@ -194,13 +194,3 @@ def filter_results(
 ) -> DataFrame:
     key = F.col(order_by)
     return results.filter(condition).orderBy(key.asc() if ascending else key.desc())
-
-
-def first_and_last(ranked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Flags a list whose first or last score is not finite."""
-    sized = attach_sizes(ranked, ranked, by)
-    last = F.col("rank") == F.col("n_features") - 1
-    return sized.groupBy(*by).agg(
-        F.max(F.when(F.col("rank") == 0, ~is_finite("score"))).alias("first_non_finite"),
-        F.max(F.when(last, ~is_finite("score"))).alias("last_non_finite"),
-    )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_null_token
+from .measures import group_median
 from .rank import rank_scores
 
 MODES = ("max", "median", "mean", "sum", "absmax", "remap")
@@ -30,8 +31,6 @@ def _combine(mode: str, value: str, order: str) -> Column:
     v = F.col(value)
     if mode == "max":
         return F.max(v)
-    if mode == "median":
-        return F.median(v)
     if mode == "mean":
         return F.avg(v)
     if mode == "sum":
@@ -44,16 +43,24 @@ def _combine(mode: str, value: str, order: str) -> Column:
     raise ValueError(f"unknown collapse mode {mode!r}; one of {MODES}")
 
 
+def _grouped(
+    df: DataFrame, by: list[str], mode: str, value: str, order: str
+) -> DataFrame:
+    """One value per group. All modes but the median aggregate map-side; the
+    median has its own way with large groups."""
+    if mode == "median":
+        return group_median(df, by, value, value)
+    return df.groupBy(*by).agg(_combine(mode, value, order).alias(value))
+
+
 def collapse(
     features: DataFrame, id_map: DataFrame, mode: str = "max", keep_unmapped: bool = False
 ) -> DataFrame:
     """Per (symbol, sample), over the probes of the symbol, skipping missing
     values. Result rows are numbered by nothing but their symbol."""
     mapped = annotate(features, id_map, keep_unmapped)
-    return (
-        mapped.groupBy("symbol", "sample")
-        .agg(_combine(mode, "value", "row_idx").alias("value"))
-        .withColumnRenamed("symbol", "feature")
+    return _grouped(mapped, ["symbol", "sample"], mode, "value", "row_idx").withColumnRenamed(
+        "symbol", "feature"
     )
 
 
@@ -88,13 +95,9 @@ def collapse_ranked_list(
     ranked: DataFrame, id_map: DataFrame, mode: str = "max", by: Sequence[str] = ()
 ) -> DataFrame:
     """Collapse scores and rank again, descending."""
-    scores = (
-        annotate(ranked, id_map)
-        .groupBy(*by, "symbol")
-        .agg(_combine(mode, "score", "rank").alias("score"))
-        .withColumnRenamed("symbol", "feature")
-    )
-    return rank_scores(scores, by=by)
+    mapped = annotate(ranked, id_map)
+    scores = _grouped(mapped, [*by, "symbol"], mode, "score", "rank")
+    return rank_scores(scores.withColumnRenamed("symbol", "feature"), by=by)
 
 
 def collapse_details(features: DataFrame, id_map: DataFrame) -> DataFrame:

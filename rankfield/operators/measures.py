@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import is_negative, stddev_floor, tie_key, variance
 from ..functions.scalars import with_one_row
-from .rank import attach_sizes
+from ..session import cut
+from .rank import attach_sizes, running_total
 
 
 def variances(features: DataFrame, by: Sequence[str] = ("feature",)) -> DataFrame:
@@ -29,13 +30,50 @@ def floored_stddev(
     )
 
 
+# Values of one group up to which its median is aggregated in one task.
+MEDIAN_GROUP = 1_000_000
+
+
+def group_median(
+    df: DataFrame, by: Sequence[str], value: str, name: str, limit: int = MEDIAN_GROUP
+) -> DataFrame:
+    """Exact median per group, missing values skipped.
+
+    The built-in median keeps the values of a group in one task. Groups above
+    ``limit`` are found by a map-side count and solved from running totals of
+    their distinct values instead."""
+    by = list(by)
+    sizes = df.groupBy(*by).agg(F.count(value).alias("_n"))
+    large = cut(sizes.filter(F.col("_n") > limit))
+    if large.isEmpty():
+        return df.groupBy(*by).agg(F.median(value).alias(name))
+    small = df.join(large, by, "left_anti").groupBy(*by).agg(F.median(value).alias(name))
+    counted = (
+        df.filter(F.col(value).isNotNull())
+        .join(large, by, "left_semi")
+        .groupBy(*by, value)
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+    upto = running_total(counted, [F.col(value).asc()], by, "_c", "_upto").join(large, by)
+    first = F.col("_upto") - F.col("_c")
+
+    def holds(place):
+        return (first <= place) & (place < F.col("_upto"))
+
+    low, high = F.expr("(_n - 1) div 2"), F.expr("_n div 2")
+    middle = upto.groupBy(*by).agg(
+        (
+            (F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value)))) / 2
+        ).alias(name)
+    )
+    return small.unionByName(middle)
+
+
 def missing_safe_stats(features: DataFrame, by: Sequence[str] = ("feature",)) -> DataFrame:
-    return features.groupBy(*by).agg(
-        F.avg("value").alias("mean"),
-        F.median("value").alias("median"),
-        F.sum("value").alias("sum"),
-        F.max("value").alias("max"),
+    others = features.groupBy(*by).agg(
+        F.avg("value").alias("mean"), F.sum("value").alias("sum"), F.max("value").alias("max")
     )
+    return others.join(group_median(features, by, "value", "median"), list(by))
 
 
 def max_deviation(df: DataFrame, column: str, index: str, by: Sequence[str]) -> DataFrame:
@@ -87,12 +125,15 @@ def row_scale_stats(
 ) -> DataFrame:
     """Relative place of each cell in its row: 0..0.5 up to the row's centre,
     0.5..1 above it, then cut into ``buckets``."""
-    centre = F.median("value") if median else F.avg("value")
     rows = features.groupBy("feature").agg(
         F.min("value").alias("row_min"),
         F.max("value").alias("row_max"),
-        centre.alias("row_centre"),
+        F.avg("value").alias("row_centre"),
     )
+    if median:
+        rows = rows.drop("row_centre").join(
+            group_median(features, ["feature"], "value", "row_centre"), "feature"
+        )
     v, lo, hi, mid = (F.col(c) for c in ("value", "row_min", "row_max", "row_centre"))
     place = F.when(v <= mid, F.try_divide(0.5 * (v - lo), mid - lo)).otherwise(
         0.5 + F.try_divide(0.5 * (v - mid), hi - mid)
@@ -144,7 +185,3 @@ def equal_bin_histogram(
             F.count(F.lit(1)).alias("n"),
         )
     )
-
-
-def running_in_order(by: Sequence[str], order: str) -> Window:
-    return Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

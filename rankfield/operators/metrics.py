@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import stddev_floor, variance
+from .measures import group_median
 
 
 def class_stats(
@@ -39,9 +40,12 @@ def class_stats(
             F.avg(v).alias(f"mean{i}"),
             variance(v, biased).alias(f"var{i}"),
         ]
-        if median:
-            aggs.append(F.median(v).alias(f"median{i}"))
-    out = joined.groupBy(*by, "feature", "row_idx").agg(*aggs)
+    key = [*by, "feature", "row_idx"]
+    out = joined.groupBy(*key).agg(*aggs)
+    if median:
+        for i in (0, 1):
+            part = joined.filter(F.col("class_idx") == i)
+            out = out.join(group_median(part, key, "value", f"median{i}"), key, "left")
     for i in (0, 1):
         out = out.withColumn(f"centre{i}", F.col(f"median{i}" if median else f"mean{i}"))
         out = out.withColumn(
@@ -116,13 +120,17 @@ def class_marker_stats(
     stats = class_stats(features, labels, **options)
     both = features.filter(F.col("value").isNotNull()).join(labels.select("sample"), "sample")
     whole = both.groupBy("feature").agg(
-        (F.median("value") if median else F.avg("value")).alias("centre_all"),
+        F.avg("value").alias("centre_all"),
         stddev_floor(
             F.sqrt(variance("value", options.get("biased", False))),
             F.avg("value"),
             options.get("fix_low", True),
         ).alias("sd_all"),
     )
+    if median:
+        whole = whole.drop("centre_all").join(
+            group_median(both, ["feature"], "value", "centre_all"), "feature"
+        )
     usable = (F.col("n0") > 0) & (F.col("n1") > 0)
     shown = [
         CLASS_METRICS[metric](options.get("biased", False)).alias("score"),

@@ -30,8 +30,11 @@ from .rank import list_sizes, rank_features
 
 # Largest list whose weights are broadcast (three columns, 48 MB of doubles).
 LIST_LIMIT = 2_000_000
-# Largest membership table that is broadcast (64 MB of row numbers).
-MEMBER_LIMIT = 8_000_000
+# Largest membership table that is broadcast (16 MB of row numbers).
+MEMBER_LIMIT = 2_000_000
+# Most samples of a matrix whose rows travel to Python as arrays: an Arrow batch
+# of 10,000 such rows stays near 1 GB.
+SAMPLE_LIMIT = 10_000
 # Cells of one broadcast block of permuted labels (64 MB of doubles).
 LABEL_CELLS = 8_000_000
 # Cells of one dense block of matrix rows in a task.
@@ -285,7 +288,7 @@ def null_by_labels(
     samples = labels.select("sample").distinct()
     n_samples = samples.count()
     n_members = sets.count()
-    if not fast or n_samples > LABEL_CELLS or n_members > MEMBER_LIMIT:
+    if not fast or n_samples > SAMPLE_LIMIT or n_members > MEMBER_LIMIT:
         return null_by_labels_plan(
             features, labels, sets, n, seed, metric, scheme, kind, mode, ascending, **options
         )
@@ -295,7 +298,7 @@ def null_by_labels(
             features, labels, sets, n, seed, metric, scheme, kind, mode, ascending, **options
         )
     spark = features.sparkSession
-    # samples of one labelling, at most LABEL_CELLS names
+    # samples of one labelling, at most SAMPLE_LIMIT names
     names = sorted(r["sample"] for r in samples.collect())
     numbered = spark.createDataFrame(
         pd.DataFrame({"sample": names, "sample_no": np.arange(len(names), dtype=np.int32)})

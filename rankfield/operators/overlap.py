@@ -94,7 +94,7 @@ def number_sets(sets: DataFrame) -> DataFrame:
 def _bits(mask: Column) -> Column:
     return F.filter(
         F.sequence(F.lit(0), F.lit(WORD - 1)),
-        lambda i: F.call_function("getbit", mask, i) == 1,
+        lambda i: F.getbit(mask, i) == 1,
     )
 
 
@@ -259,17 +259,23 @@ def co_member_pairs(sets: DataFrame) -> DataFrame:
     words = at.groupBy("set_no", F.floor(F.col("m_no") / WORD).alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(m_no % {WORD} as int))")).alias("mask")
     )
-    # membership signature: as long as there are sets holding the member
+    # membership signature: one mask per block of 64 sets
     kinds = (
-        at.groupBy("m_no")
-        .agg(F.array_sort(F.collect_list("set_no")).alias("in_sets"))
+        _masks(sets, numbered)
+        .groupBy("member")
+        .agg(F.array_sort(F.collect_list(F.struct("word", "mask"))).alias("in_sets"))
         .groupBy("in_sets")
         .agg(F.count(F.lit(1)).alias("n_alike"))
     )
     kinds = number_rows(kinds, [F.col("in_sets").asc()], name="kind")
+    set_no = (F.col("_w.word") * WORD + F.col("_bit")).alias("set_no")
+    within = (
+        kinds.select("kind", F.explode("in_sets").alias("_w"))
+        .select("kind", "_w", F.explode(_bits(F.col("_w.mask"))).alias("_bit"))
+        .select("kind", set_no)
+    )
     partners = (
-        kinds.select("kind", F.explode("in_sets").alias("set_no"))
-        .join(words, "set_no")
+        within.join(words, "set_no")
         .groupBy("kind", "word")
         .agg(F.bit_or("mask").alias("mask"))
         .groupBy("kind")

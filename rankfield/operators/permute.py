@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import distinct_draws, stream_bases
 from ..functions.scalars import with_one_row
-from .rank import list_sizes
+from .rank import list_sizes, number_rows
 from .sets import set_sizes
 
 KINDS = ("no_balance", "balance_class0", "balance_class1", "equalize_and_balance")
@@ -33,9 +33,8 @@ def _times(df: DataFrame, n: int, first: int = 0) -> DataFrame:
 def permute_labels(
     labels: DataFrame, n: int, seed: int = 149, kind: str = "no_balance", first: int = 0
 ) -> DataFrame:
-    """(perm, sample, class_idx) for ``n`` shuffles of a two-class labelling.
-
-    A window holds the samples of one permutation, i.e. the matrix width."""
+    """(perm, sample, class_idx) for ``n`` shuffles of a two-class labelling: the
+    samples with the least hashes make up class 0."""
     if kind not in KINDS:
         raise ValueError(f"unknown kind {kind!r}; one of {KINDS}")
     base = labels.select("sample", "class_idx")
@@ -43,12 +42,12 @@ def permute_labels(
         F.count(F.when(F.col("class_idx") == 0, 1)).alias("_n0"),
         F.count(F.when(F.col("class_idx") == 1, 1)).alias("_n1"),
     )
-    rows = with_one_row(_times(base, n, first), sizes)
-    key = shuffle_key(seed, "perm", "sample")
+    rows = _times(base, n, first).withColumn("_key", shuffle_key(seed, "perm", "sample"))
+    order = [F.col("_key").asc(), F.col("sample").asc()]
     if kind == "no_balance":
-        order = Window.partitionBy("perm").orderBy(key, "sample")
-        stay = F.row_number().over(order) <= F.col("_n0")
-        return rows.select("perm", "sample", F.when(stay, 0).otherwise(1).alias("class_idx"))
+        placed = with_one_row(number_rows(rows, order, ["perm"], "_place", start=1), sizes)
+        stay = F.col("_place") <= F.col("_n0")
+        return placed.select("perm", "sample", F.when(stay, 0).otherwise(1).alias("class_idx"))
     n0, n1 = F.col("_n0"), F.col("_n1")
     half0, half1 = F.floor(n0 / 2), F.floor(n1 / 2)
     from0 = {
@@ -57,11 +56,11 @@ def permute_labels(
         "equalize_and_balance": n0 - half0,
     }[kind]
     from1 = n0 - from0
-    order = Window.partitionBy("perm", "class_idx").orderBy(key, "sample")
-    place = F.row_number().over(order)
+    placed = number_rows(rows, order, ["perm", "class_idx"], "_place", start=1)
+    place = F.col("_place")
     wrong = F.raise_error(F.lit(f"class sizes do not allow {kind}")).cast("int")
     new = F.when(place <= F.when(F.col("class_idx") == 0, from0).otherwise(from1), 0).otherwise(1)
-    return rows.select(
+    return with_one_row(placed, sizes).select(
         "perm",
         "sample",
         F.when((from0 < 0) | (from0 > n0) | (from1 > n1), wrong).otherwise(new).alias("class_idx"),
@@ -72,16 +71,17 @@ def permute_numeric_profile(
     labels: DataFrame, n: int, seed: int = 149, first: int = 0
 ) -> DataFrame:
     """(perm, sample, num_value): profile values shuffled over the samples."""
-    at = Window.partitionBy("phenotype").orderBy("position")
-    placed = labels.select(
-        "phenotype", "sample", "num_value", (F.row_number().over(at) - 1).alias("_at")
-    )
-    order = Window.partitionBy("phenotype", "perm").orderBy(
-        shuffle_key(seed, "perm", "sample"), "sample"
+    placed = number_rows(
+        labels.select("phenotype", "sample", "position", "num_value"),
+        [F.col("position").asc(), F.col("sample").asc()],
+        ["phenotype"],
+        "_at",
     )
-    shuffled = _times(placed.drop("num_value", "_at"), n, first).withColumn(
-        "_at", F.row_number().over(order) - 1
+    rows = _times(labels.select("phenotype", "sample"), n, first).withColumn(
+        "_key", shuffle_key(seed, "perm", "sample")
     )
+    order = [F.col("_key").asc(), F.col("sample").asc()]
+    shuffled = number_rows(rows, order, ["phenotype", "perm"], "_at")
     values = placed.select("phenotype", "_at", "num_value")
     return shuffled.join(values, ["phenotype", "_at"]).select("perm", "sample", "num_value")
 

@@ -13,49 +13,79 @@ from ..session import cut
 _POSITION_BITS = 33
 
 
-def number_rows(
-    df: DataFrame,
-    order: Sequence[Column],
-    by: Sequence[str] = (),
-    name: str = "rank",
-    start: int = 0,
-) -> DataFrame:
-    """Consecutive numbers in ``order`` within each ``by`` group.
+def _placed(df: DataFrame, order: Sequence[Column], by: Sequence[str]) -> DataFrame:
+    """Rows range-partitioned and sorted by (by, order), with the number of
+    their task and their position in it.
 
-    One range shuffle over (by, order) spreads any single group, and any run of
-    equal leading sort keys, over all tasks; the position inside a task plus the
-    counts of the tasks before it is the row number. ``order`` should end in a
-    unique column. The placed rows are checkpointed, so a lost executor cannot
-    lead to other range bounds."""
-    by = list(by)
+    One range shuffle spreads any single group, and any run of equal leading
+    sort keys, over all tasks. The placed rows are checkpointed, so that a lost
+    executor cannot lead to other range bounds."""
     keys = [F.col(c) for c in by]
     placed = (
         df.repartitionByRange(*keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn("_at", F.monotonically_increasing_id())
     )
-    placed = (
+    return (
         cut(placed)
         .withColumn("_task", F.shiftright("_at", _POSITION_BITS))
         .withColumn("_pos", F.col("_at").bitwiseAND((1 << _POSITION_BITS) - 1))
     )
-    tasks = placed.groupBy(*by, "_task").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first")
-    )
-    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_task").rowsBetween(
+
+
+def _earlier_tasks(by: Sequence[str]):
+    """Window over per-task totals: at most one row per (group, task)."""
+    return Window.partitionBy(*(by or [F.lit(0)])).orderBy("_task").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    tasks = tasks.select(
-        *by,
-        "_task",
-        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+
+
+def number_rows(
+    df: DataFrame,
+    order: Sequence[Column],
+    by: Sequence[str] = (),
+    name: str = "rank",
+    start: int = 0,
+) -> DataFrame:
+    """Consecutive numbers in ``order`` within each ``by`` group: the position
+    inside a task plus the counts of the tasks before it. ``order`` should end
+    in a unique column."""
+    by = list(by)
+    placed = _placed(df, order, by)
+    tasks = placed.groupBy(*by, "_task").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first")
     )
+    before = F.coalesce(F.sum("_n").over(_earlier_tasks(by)), F.lit(0))
+    tasks = tasks.select(*by, "_task", (before - F.col("_first")).alias("_shift"))
     return placed.join(tasks, [*by, "_task"]).select(
         *[placed[c] for c in df.columns if c != name],
         (F.col("_pos") + F.col("_shift") + start).cast("long").alias(name),
     )
 
 
+def running_total(
+    df: DataFrame, order: Sequence[Column], by: Sequence[str], amount: str, name: str
+) -> DataFrame:
+    """Inclusive running sum of ``amount`` in ``order`` within ``by``; rows are
+    summed inside their task, task totals across."""
+    by = list(by)
+    placed = _placed(df, order, by)
+    tasks = placed.groupBy(*by, "_task").agg(F.sum(amount).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(_earlier_tasks(by)), F.lit(0))
+    tasks = tasks.select(*by, "_task", before.alias("_before"))
+    inside = Window.partitionBy(*by, "_task").orderBy("_pos").rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    return (
+        placed.withColumn("_inside", F.sum(amount).over(inside))
+        .join(tasks, [*by, "_task"])
+        .select(
+            *[F.col(c) for c in df.columns if c != name],
+            (F.col("_inside") + F.col("_before")).alias(name),
+        )
+    )
+
+
 def score_order(
     mode: str = "real", ascending: bool = False, tie: Sequence[str] = ("row_idx",)
 ) -> list[Column]:

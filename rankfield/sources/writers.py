@@ -17,6 +17,8 @@ from .result_files import ROOT_TAG, ROW_TAG
 
 # Rows of one matrix file.
 ROWS_PER_FILE = 100_000
+# Sets of one column-oriented set file.
+SETS_PER_FILE = 256
 DEFAULT_CALL = "P"
 MISSING_TEXT = "na"
 
@@ -165,43 +167,57 @@ def write_gmt(sets: DataFrame, path: str) -> None:
 
 
 def write_gmx(sets: DataFrame, path: str) -> None:
-    """Sets in columns; line i holds member i of every set."""
+    """Sets in columns; line i holds member i of every set. Each file holds a
+    block of ``SETS_PER_FILE`` sets and is complete by itself."""
     has_desc = "description" in sets.columns
     desc = F.coalesce(F.min("description"), F.lit(MISSING_TEXT)) if has_desc else F.lit(MISSING_TEXT)
     names = number_rows(
         sets.groupBy("set_name").agg(desc.alias("description")),
         [F.col("set_name").asc()],
-        name="no",
+        name="_no",
+    ).select(
+        "set_name",
+        "description",
+        F.expr(f"_no div {SETS_PER_FILE}").alias("_file"),
+        F.expr(f"_no % {SETS_PER_FILE}").alias("no"),
     )
-    order = F.array_sort(F.collect_list(F.struct("no", "set_name", "description")))
-    header = names.agg(order.alias("_sets"))
     placed = number_rows(
-        sets, [F.col("member_pos").asc(), F.col("member").asc()], ["set_name"], name="_row"
+        sets.select("set_name", "member", "member_pos"),
+        [F.col("member_pos").asc(), F.col("member").asc()],
+        ["set_name"],
+        name="_at",
     )
-    cells = F.array_sort(F.collect_list(F.struct("no", F.col("member").alias("text"))))
-    rows = placed.join(names, "set_name").groupBy("_row").agg(cells.alias("_cells"))
-    width = names.agg(F.count(F.lit(1)).alias("_width"))
-    body = with_one_row(rows, width).select(
-        F.col("_row").alias("_at"),
-        F.substring(
-            _dense_text(F.col("_cells"), F.col("_width"), ""), F.lit(2), F.lit(1 << 30)
-        ).alias("value"),
-    )
-    top = header.select(
-        F.posexplode(
-            F.array(
-                F.array_join(F.transform("_sets", lambda s: s["set_name"]), "\t"),
-                F.array_join(F.transform("_sets", lambda s: s["description"]), "\t"),
+    texts = (
+        names.select("_file", F.lit(-2).cast("long").alias("_at"), "no", F.col("set_name").alias("text"))
+        .unionByName(
+            names.select(
+                "_file", F.lit(-1).cast("long").alias("_at"), "no", F.col("description").alias("text")
             )
-        ).alias("_at", "value")
-    ).select((F.col("_at") - 2).cast("long").alias("_at"), "value")
-    # the format keeps all sets side by side, so a collection is one file
+        )
+        .unionByName(
+            placed.join(names, "set_name").select(
+                "_file", "_at", "no", F.col("member").alias("text")
+            )
+        )
+    )
+    width = names.groupBy("_file").agg(F.count(F.lit(1)).alias("_width"))
+    lines = texts.groupBy("_file", "_at").agg(
+        F.array_sort(F.collect_list(F.struct("no", "text"))).alias("_cells")
+    )
     (
-        body.unionByName(top)
-        .repartition(1)
-        .sortWithinPartitions("_at")
-        .select("value")
+        lines.join(width, "_file")
+        .select(
+            F.format_string("%06d", F.col("_file")).alias("part"),
+            "_at",
+            F.substring(
+                _dense_text(F.col("_cells"), F.col("_width"), ""), F.lit(2), F.lit(1 << 30)
+            ).alias("value"),
+        )
+        .repartition("part")
+        .sortWithinPartitions("part", "_at")
+        .select("part", "value")
         .write.mode("overwrite")
+        .partitionBy("part")
         .text(path)
     )
 
