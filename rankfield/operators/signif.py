@@ -141,9 +141,10 @@ def fdr(es_nes: DataFrame, null_nes: DataFrame) -> DataFrame:
             "set_name",
             "fdr_num",
             F.when(F.col("fdr_num").isNotNull(), F.col("fdr_den")).alias("fdr_den"),
-            F.when(F.signum("es") != F.signum("nes"), F.when(q.isNotNull(), F.lit(1.0)))
-            .otherwise(F.least(q, F.lit(1.0)))
-            .alias("fdr"),
+            F.when(
+                q.isNotNull(),
+                F.when(F.signum("es") != F.signum("nes"), 1.0).otherwise(F.least(q, F.lit(1.0))),
+            ).alias("fdr"),
         )
     )
 

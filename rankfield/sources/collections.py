@@ -35,7 +35,7 @@ def _unique_members(rows: DataFrame) -> DataFrame:
     )
 
 
-def read_gmt(spark: SparkSession, path: str, known_hosts: Sequence[str] = ()) -> DataFrame:
+def read_gmt(spark: SparkSession, path: str) -> DataFrame:
     """One set per line: name (upper-cased), description, members. Lines need no
     order, so they are not numbered."""
     raw = (
@@ -45,19 +45,16 @@ def read_gmt(spark: SparkSession, path: str, known_hosts: Sequence[str] = ()) ->
         .filter((F.col("line") != "") & ~F.col("line").startswith("#"))
     )
     tokens = F.filter(F.split("line", "\t"), lambda x: x != "")
+    # the check is part of what is exploded: no later filter can drop the line
+    short = F.concat(F.lit("a set line needs two fields: "), F.get("_t", F.lit(0)))
+    listed = F.when(F.size("_t") > 1, F.slice("_t", 3, 1 << 30)).otherwise(
+        F.array(F.raise_error(short).cast("string"))
+    )
     rows = raw.select("file", tokens.alias("_t")).select(
         source_name(F.col("file"), ".gmt").alias("collection"),
-        F.upper(
-            F.trim(
-                require(
-                    F.size("_t") > 1,
-                    F.concat(F.lit("a set line needs two fields: "), F.get("_t", F.lit(0))),
-                    F.get("_t", F.lit(0)),
-                )
-            )
-        ).alias("set_name"),
+        F.upper(F.trim(F.get("_t", F.lit(0)))).alias("set_name"),
         F.trim(F.get("_t", F.lit(1))).alias("description"),
-        F.posexplode_outer(F.slice("_t", 3, 1 << 30)).alias("member_pos", "member"),
+        F.posexplode(listed).alias("member_pos", "member"),
     )
     members = rows.withColumn("member", F.trim("member")).filter(~is_null_token("member"))
     return _unique_members(members)
@@ -146,7 +143,8 @@ def _rnk_rows(spark: SparkSession, path: str) -> DataFrame:
         "file",
         "line_no",
         clean_feature_name(F.col("_f")[0]).alias("feature"),
-        F.when(number_error(F.col("_f")[1]), wrong)
+        # naming the line keeps a later not-null filter above the header filter
+        F.when((F.col("line_no") >= 0) & number_error(F.col("_f")[1]), wrong)
         .otherwise(parse_number(F.col("_f")[1]))
         .alias("score"),
     )
