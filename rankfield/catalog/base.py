@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -269,8 +270,7 @@ SELECT p.perm, l.sample,
     <= (SELECT count(*) FROM vector_labels WHERE class_idx = 0) THEN 0 ELSE 1 END AS class_idx
 FROM vector_labels l, (SELECT unnest(range({PERMS})) AS perm) p""",
 }
-for _name, _scored in (("class_stats", "class_cells"),):
-    PARTS[_name] = f"""
+PARTS["class_stats"] = """
 SELECT feature, row_idx,
   count(*) FILTER (class_idx = 0) AS n0, count(*) FILTER (class_idx = 1) AS n1,
   avg(value) FILTER (class_idx = 0) AS mean0, avg(value) FILTER (class_idx = 1) AS mean1,
@@ -278,7 +278,7 @@ SELECT feature, row_idx,
   median(value) FILTER (class_idx = 1) AS median1,
   coalesce(stddev_samp(value) FILTER (class_idx = 0), 0) AS raw0,
   coalesce(stddev_samp(value) FILTER (class_idx = 1), 0) AS raw1
-FROM {_scored} GROUP BY feature, row_idx"""
+FROM class_cells GROUP BY feature, row_idx"""
 
 
 def floor_sql(sd: str, mean: str) -> str:
@@ -340,25 +340,73 @@ JOIN (SELECT set_name, count(*) AS n FROM part_sets GROUP BY set_name) y ON y.se
 GROUP BY a.set_name, b.set_name"""
 
 
-def sql(select: str) -> str:
-    """``select`` preceded by the parts it names, and those they name."""
-    import re
+# ---- parts of whole runs, put in place of the ones above --------------------
 
+_S2N = "(mean0 - mean1) / (sd0 + sd1)"
+MATRIX_RUN = {
+    "ranked": f"""
+SELECT feature, score, row_number() OVER (ORDER BY score DESC, row_idx) - 1 AS rank
+FROM (SELECT feature, row_idx, {_S2N} AS score FROM class_sds WHERE n0 > 0 AND n1 > 0)""",
+    "run_shuffled": f"""
+SELECT p.perm, l.sample,
+  CASE WHEN row_number() OVER (
+    PARTITION BY p.perm ORDER BY md5('{SEED}:' || p.perm || ':' || l.sample), l.sample)
+    <= (SELECT count(*) FROM side_labels WHERE class_idx = 0) THEN 0 ELSE 1 END AS class_idx
+FROM side_labels l, (SELECT unnest(range({PERMS})) AS perm) p""",
+    "run_stats": """
+SELECT s.perm, f.feature, f.row_idx,
+  avg(f.value) FILTER (s.class_idx = 0) AS mean0, avg(f.value) FILTER (s.class_idx = 1) AS mean1,
+  coalesce(stddev_samp(f.value) FILTER (s.class_idx = 0), 0) AS raw0,
+  coalesce(stddev_samp(f.value) FILTER (s.class_idx = 1), 0) AS raw1
+FROM features f JOIN run_shuffled s USING (sample)
+WHERE f.feature IN (SELECT feature FROM ranked)
+GROUP BY s.perm, f.feature, f.row_idx""",
+    "run_lists": f"""
+SELECT perm, feature, score,
+  row_number() OVER (PARTITION BY perm ORDER BY score DESC, row_idx) - 1 AS rank
+FROM (SELECT perm, feature, row_idx, CASE WHEN mean0 IS NULL OR mean1 IS NULL THEN 0
+  ELSE (mean0 - mean1) / ({floor_sql("raw0", "mean0")} + {floor_sql("raw1", "mean1")}) END AS score
+  FROM run_stats)""",
+    "null_hits": """
+SELECT s.set_name, l.perm, z.size, l.rank, abs(l.score) AS w,
+  row_number() OVER o - 1 AS k, sum(abs(l.score)) OVER o AS reached,
+  sum(abs(l.score)) OVER (PARTITION BY s.set_name, l.perm) AS total,
+  (SELECT count(*) FROM ranked) AS n_features
+FROM run_lists l JOIN kept s ON s.member = l.feature JOIN kept_sizes z ON z.set_name = s.set_name
+WINDOW o AS (PARTITION BY s.set_name, l.perm ORDER BY l.rank)""",
+}
+COLLAPSED_RUN = {
+    "run_cells": """
+SELECT m.symbol AS feature, f.sample, max(f.value) AS value
+FROM features f JOIN id_map m ON m.probe = f.feature WHERE m.symbol <> ''
+GROUP BY m.symbol, f.sample""",
+    "class_cells": """
+SELECT f.feature, f.feature AS row_idx, f.value, l.class_idx
+FROM run_cells f JOIN side_labels l USING (sample)""",
+    "ranked": MATRIX_RUN["ranked"],
+    "kept": """
+SELECT s.set_name, s.member
+FROM symbol_sets s JOIN ranked r ON s.member = r.feature
+WHERE s.set_name IN (SELECT set_name FROM symbol_sets GROUP BY set_name HAVING count(*) >= 15)
+QUALIFY count(*) OVER (PARTITION BY s.set_name) BETWEEN 15 AND 100000""",
+}
+
+
+def sql(select: str, **replaced: str) -> str:
+    """``select`` preceded by the parts it reads, and those they read."""
+    parts = {**PARTS, **replaced}
     needed: list[str] = []
 
     def visit(text: str) -> None:
-        for word in dict.fromkeys(re.findall(r"[a-z_0-9]+", text)):
-            if word in PARTS and word not in needed and _reads(text, word):
-                visit(PARTS[word])
+        for word in re.findall(r"(?:FROM|JOIN)\s+([a-z_0-9]+)\b", text):
+            if word in parts and word not in needed:
+                visit(parts[word])
                 if word not in needed:
                     needed.append(word)
 
-    def _reads(text: str, word: str) -> bool:
-        return re.search(rf"(FROM|JOIN)\s+{word}\b", text) is not None
-
     visit(select)
     if not needed:
         return select
     # a part read more than once is computed once
-    body = ",\n".join(f"{n} AS MATERIALIZED ({PARTS[n].strip()})" for n in needed)
+    body = ",\n".join(f"{n} AS MATERIALIZED ({parts[n].strip()})" for n in needed)
     return f"WITH {body}\n{select.strip()}"

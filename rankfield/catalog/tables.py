@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from .. import inputs as i
 from ..operators import leading, reports
 from ..plans import runs
-from .base import NUDGE, PERMS, SEED, Entry, r6, r6_fraction, sql
+from .base import COLLAPSED_RUN, MATRIX_RUN, NUDGE, PERMS, SEED, Entry, r6, r6_fraction, sql
 from .stats import edge_parts, results, scored
 
 ENTRIES: dict[str, Entry] = {}
 
 
-def add(name: str, query, twin: str | None) -> None:
-    ENTRIES[name] = Entry(query, sql(twin) if twin else None)
+def add(name: str, query, twin: str | None, **replaced: str) -> None:
+    ENTRIES[name] = Entry(query, sql(twin, **replaced) if twin else None)
 
 
 def _report(text: bool):
@@ -239,6 +239,16 @@ def enrich_ranked(spark, d, nperm: int = PERMS):
 add("enrich_ranked", lambda spark, d: _shape(enrich_ranked(spark, d)), _RESULT)
 
 
+def _enrich_lists(spark, d):
+    run = runs.enrich_lists(i.flag_ranked(spark, d), i.part_sets(spark, d), nperm=PERMS, seed=SEED)
+    cols = ("list_id", "set_name", "size", "es", "rank_at_max", "nes", "np", "fdr", "fwer")
+    return r6(run.results.select(*cols), *_NUMBERS)
+
+
+# every list is checked against the single-list run in the tests
+add("enrich_lists", _enrich_lists, None)
+
+
 def enrich_matrix(spark, d, nperm: int = PERMS, **options):
     return runs.enrich_matrix(
         i.features(spark, d),
@@ -250,8 +260,7 @@ def enrich_matrix(spark, d, nperm: int = PERMS, **options):
     )
 
 
-# a whole matrix run: its steps have twins of their own
-add("enrich_matrix", lambda spark, d: _shape(enrich_matrix(spark, d)), None)
+add("enrich_matrix", lambda spark, d: _shape(enrich_matrix(spark, d)), _RESULT, **MATRIX_RUN)
 
 
 def _matrix_collapsed(spark, d):
@@ -270,7 +279,7 @@ def _matrix_collapsed(spark, d):
     return _shape(run)
 
 
-add("enrich_matrix_collapsed", _matrix_collapsed, None)
+add("enrich_matrix_collapsed", _matrix_collapsed, _RESULT, **COLLAPSED_RUN)
 add(
     "collapse_dataset",
     lambda spark, d: r6(

@@ -20,6 +20,12 @@ def _part(c: str):
     return F.concat(F.lit("P"), F.col(c).cast("string"))
 
 
+def _constant(text: str, c: str):
+    """``text`` on every row with a ``c``. A literal would not do: an equi join
+    on a literal column has no keys left and becomes a product."""
+    return F.when(F.col(c).isNotNull(), F.lit(text))
+
+
 def _customer(c: str):
     return F.concat(F.lit("C"), F.col(c).cast("string"))
 
@@ -80,7 +86,7 @@ def region_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
-            F.lit("region").alias("phenotype"),
+            _constant("region", "r_name").alias("phenotype"),
             _supplier("s_suppkey").alias("sample"),
             F.col("s_suppkey").alias("position"),
             F.col("r_name").alias("class_name"),
@@ -95,7 +101,7 @@ def side_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     west = F.col("class_name").isin(*WEST)
     return (
         region_labels(spark, sf_dir)
-        .withColumn("phenotype", F.lit("side"))
+        .withColumn("phenotype", _constant("side", "class_name"))
         .withColumn("class_idx", F.when(west, 0).otherwise(1))
         .withColumn("class_name", F.when(west, "WEST").otherwise("EAST"))
     )
@@ -105,7 +111,7 @@ def vector_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors in two classes by label, with the label as profile."""
     low = F.col("label") < 5
     return table(spark, sf_dir, "embeddings").select(
-        F.lit("label").alias("phenotype"),
+        _constant("label", "label").alias("phenotype"),
         F.concat(F.lit("V"), F.col("vec_id").cast("string")).alias("sample"),
         F.col("vec_id").alias("position"),
         F.when(low, "LOW").otherwise("HIGH").alias("class_name"),
@@ -134,6 +140,25 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_scores(scores(spark, sf_dir)).select("feature", "score", "rank")
 
 
+def flag_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One list per return flag: mean discount of each part on such lines
+    against the mean on all lines of the flag."""
+    from .operators.rank import rank_scores
+
+    lines = table(spark, sf_dir, "lineitem")
+    overall = lines.groupBy("l_returnflag").agg(F.avg("l_discount").alias("_all"))
+    parts = lines.groupBy("l_returnflag", "l_partkey").agg(F.avg("l_discount").alias("_mean"))
+    return rank_scores(
+        parts.join(overall, "l_returnflag").select(
+            F.col("l_returnflag").alias("list_id"),
+            _part("l_partkey").alias("feature"),
+            F.col("l_partkey").alias("row_idx"),
+            F.round(F.col("_mean") - F.col("_all"), 6).alias("score"),
+        ),
+        by=["list_id"],
+    )
+
+
 def order_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list naming customers several times: one entry per order."""
     from .operators.rank import rank_scores

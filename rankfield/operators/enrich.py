@@ -25,6 +25,7 @@ from ..functions.numbers import (
     is_finite,
     tie_key,
 )
+from ..functions.scalars import attach
 from .rank import list_sizes
 
 # Ranks per block of a running sum.
@@ -75,9 +76,11 @@ SUMS_TO_ONE = {"classic", "weighted", "weighted_p2", "weighted_p1.5_symmetric"}
 
 
 def set_hits(ranked: DataFrame, sets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by.., set_name, feature, score, rank) of list features in a set."""
+    """(by.., set_name, feature, score, rank) of list features in a set. Sets may
+    carry the ``by`` columns themselves, else they apply to every list."""
+    own = [c for c in by if c in sets.columns]
     return ranked.select(*by, "feature", "score", "rank").join(
-        sets.select("set_name", F.col("member").alias("feature")), "feature"
+        sets.select(*own, "set_name", F.col("member").alias("feature")), [*own, "feature"]
     )
 
 
@@ -122,7 +125,7 @@ def score_hits(
         F.coalesce(F.sum("_bf").over(before), zero).alias("_f0"),
         F.coalesce(F.sum("_bn").over(before), zero).alias("_n0"),
     )
-    blocks = with_sizes(blocks, sizes, by)
+    blocks = attach(blocks, sizes, by)
     inside = Window.partitionBy(*key, "_block").orderBy("rank").rowsBetween(
         Window.unboundedPreceding, 0
     )
@@ -150,14 +153,6 @@ def score_hits(
     )
 
 
-def with_sizes(df: DataFrame, sizes: DataFrame, by: Sequence[str]) -> DataFrame:
-    if by:
-        return df.join(sizes, list(by))
-    from ..functions.scalars import with_one_row
-
-    return with_one_row(df, sizes)
-
-
 def hits(
     ranked: DataFrame, sets: DataFrame, scheme: str = "weighted", by: Sequence[str] = ()
 ) -> DataFrame:

@@ -9,27 +9,32 @@ does the whole job.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbers import POWER_GUARD, TIE_SCALE, WEIGHTED_GUARD
 from .enrich import hits, pick_extreme, score_hits
 from .metrics import CLASS_METRICS, score_features
 from .permute import (
+    PERMS_PER_TASK,
     draw_tasks,
     permute_labels,
     permute_numeric_profile,
     random_ranks,
+    ranks_of_tasks,
     runs_of,
 )
 from .rank import list_sizes, rank_features
 
 # Largest list whose weights are broadcast (three columns, 48 MB of doubles).
 LIST_LIMIT = 2_000_000
+# Draws of one group of a list's tasks.
+DRAWS_PER_GROUP = 20_000_000
 # Largest membership table that is broadcast (16 MB of row numbers).
 MEMBER_LIMIT = 2_000_000
 # Most samples of a matrix whose rows travel to Python as arrays: an Arrow batch
@@ -47,17 +52,25 @@ FAST_CLASS_METRICS = tuple(CLASS_METRICS)
 
 
 def null_by_sets_plan(
-    ranked: DataFrame, sets: DataFrame, n: int, seed: int = 149, scheme: str = "weighted"
+    ranked: DataFrame,
+    sets: DataFrame,
+    n: int,
+    seed: int = 149,
+    scheme: str = "weighted",
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """(set_name, perm, es) with joins and windows only."""
-    drawn = random_ranks(sets, ranked, n, seed).join(ranked.select("rank", "score"), "rank")
-    scored = score_hits(drawn, _sizes_by_perm(ranked, n), scheme, ["perm"])
-    return pick_extreme(scored, scheme, ["perm"]).select("set_name", "perm", "es")
+    """(by.., set_name, perm, es): drawn ranks joined to the list, then the same
+    windows as the real score."""
+    return _plan_of_draws(random_ranks(sets, ranked, n, seed, by), ranked, n, scheme, by)
 
 
-def _sizes_by_perm(ranked: DataFrame, n: int) -> DataFrame:
+def _plan_of_draws(drawn: DataFrame, ranked: DataFrame, n: int, scheme: str, by) -> DataFrame:
+    by = list(by)
+    scores = ranked.select(*by, "rank", "score")
     perms = F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("perm")
-    return list_sizes(ranked).select(perms, "n_features")
+    sizes = list_sizes(ranked, by).select(*by, "n_features", perms)
+    scored = score_hits(drawn.join(scores, [*by, "rank"]), sizes, scheme, [*by, "perm"])
+    return pick_extreme(scored, scheme, [*by, "perm"]).select(*by, "set_name", "perm", "es")
 
 
 def weigh(scores: np.ndarray, scheme: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,10 +131,10 @@ def null_by_sets(
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = shared.value
         for batch in batches:
-            for name, perms, ranks, total in runs_of(batch, n, seed):
+            for at, perms, ranks, total in runs_of(batch, n, seed):
                 yield pd.DataFrame(
                     {
-                        "set_name": name,
+                        "set_name": batch["set_name"].iloc[at],
                         "perm": perms.astype(np.int32),
                         "es": extreme_of_rows(ranks, weights, total),
                     }
@@ -130,6 +143,64 @@ def null_by_sets(
     return tasks.mapInPandas(emit, "set_name string, perm int, es double")
 
 
+def null_by_sets_of_lists(
+    ranked: DataFrame,
+    sets: DataFrame,
+    n: int,
+    by: Sequence[str],
+    seed: int = 149,
+    scheme: str = "weighted",
+) -> DataFrame:
+    """(by.., set_name, perm, es) for many lists in one job.
+
+    Drawing tasks of a list meet its scores in as many groups as its draws call
+    for, so one heavy list is not one task; lists above LIST_LIMIT go through
+    joins and windows. ``sets`` carries the ``by`` columns."""
+    by = list(by)
+    tasks = draw_tasks(sets, ranked, n, by)
+    fits = F.col("n_features") <= LIST_LIMIT
+    work = tasks.filter(fits).groupBy(*by).agg(
+        F.ceil(F.sum(F.col("size") * PERMS_PER_TASK) / DRAWS_PER_GROUP).alias("_groups")
+    )
+    group = F.pmod(F.xxhash64("stream", "perm_from"), F.col("_groups")).alias("_group")
+    small = tasks.filter(fits).join(work, by).select(*tasks.columns, group)
+    used = small.select(*by, "_group").distinct()
+    lists = ranked.select(*by, "rank", F.col("score").cast("double").alias("score")).join(used, by)
+    schema = T.StructType(
+        [
+            *[tasks.schema[k] for k in (*by, "set_name")],
+            T.StructField("perm", T.IntegerType()),
+            T.StructField("es", T.DoubleType()),
+        ]
+    )
+
+    def emit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ordered = right.sort_values("rank")["score"].to_numpy(dtype=float)
+        weights = weigh(ordered, scheme)
+        parts = []
+        for at, perms, ranks, total in runs_of(left, n, seed):
+            out = {k: left[k].iloc[at] for k in (*by, "set_name")}
+            out["perm"] = perms.astype(np.int32)
+            out["es"] = extreme_of_rows(ranks, weights, total)
+            parts.append(pd.DataFrame(out))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=schema.names)
+
+    # the two sides share ancestors: fresh names keep their keys apart
+    right_keys = [f"_right_{k}" for k in (*by, "_group")]
+    lists = lists.select(
+        *[F.col(k).alias(r) for k, r in zip((*by, "_group"), right_keys)], "rank", "score"
+    )
+    fast = (
+        small.groupBy(*by, "_group").cogroup(lists.groupBy(*right_keys)).applyInPandas(emit, schema)
+    )
+    big = list_sizes(ranked, by).filter(~fits).select(*by)
+    if big.isEmpty():
+        return fast
+    drawn = ranks_of_tasks(tasks.filter(~fits), n, seed, by)
+    slow = _plan_of_draws(drawn, ranked.join(big, by, "left_semi"), n, scheme, by)
+    return fast.unionByName(slow)
+
+
 # ---- permuted labels -------------------------------------------------------
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.draws import distinct_draws, stream_bases
-from ..functions.scalars import with_one_row
+from ..functions.scalars import attach, with_one_row
 from .rank import list_sizes, number_rows
 from .sets import set_sizes
 
@@ -86,49 +87,71 @@ def permute_numeric_profile(
     return shuffled.join(values, ["phenotype", "_at"]).select("perm", "sample", "num_value")
 
 
-def draw_tasks(sets: DataFrame, ranked: DataFrame, n: int) -> DataFrame:
-    """One row per (set, run of permutations), the unit of drawing."""
+def draw_tasks(
+    sets: DataFrame, ranked: DataFrame, n: int, by: Sequence[str] = ()
+) -> DataFrame:
+    """One row per (list, set, run of permutations), the unit of drawing;
+    ``stream`` names the random stream of the set."""
     runs = F.sequence(F.lit(0), F.lit(max(n - 1, 0)), F.lit(PERMS_PER_TASK))
-    sizes = with_one_row(set_sizes(sets), list_sizes(ranked))
+    sizes = attach(set_sizes(sets, by), list_sizes(ranked, by), by)
     if n == 0:
         sizes = sizes.filter(F.lit(False))
-    return sizes.select("set_name", "size", "n_features", F.explode(runs).alias("perm_from"))
+    return sizes.select(
+        *by,
+        "set_name",
+        F.concat_ws(":", *[F.col(c).cast("string") for c in by], "set_name").alias("stream"),
+        "size",
+        "n_features",
+        F.explode(runs).alias("perm_from"),
+    )
 
 
 def runs_of(
     batch: pd.DataFrame, n: int, seed: int
-) -> Iterator[tuple[str, np.ndarray, np.ndarray, int]]:
-    """(set, permutation numbers, sorted ranks per permutation, list size)."""
-    for name, size, total, start in zip(
-        batch["set_name"], batch["size"], batch["n_features"], batch["perm_from"]
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(row of the batch, permutation numbers, sorted ranks per permutation,
+    list size)."""
+    for at, (stream, size, total, start) in enumerate(
+        zip(batch["stream"], batch["size"], batch["n_features"], batch["perm_from"])
     ):
         size, total = int(size), int(total)
         stop = min(int(start) + PERMS_PER_TASK, n)
         step = max(1, BLOCK_CELLS // max(size, 1))
         for lo in range(int(start), stop, step):
             perms = np.arange(lo, min(lo + step, stop))
-            bases = stream_bases([f"{seed}:{name}:{p}" for p in perms])
-            yield name, perms, distinct_draws(bases, size, total), total
+            bases = stream_bases([f"{seed}:{stream}:{p}" for p in perms])
+            yield at, perms, distinct_draws(bases, size, total), total
+
+
+def random_ranks(
+    sets: DataFrame, ranked: DataFrame, n: int, seed: int = 149, by: Sequence[str] = ()
+) -> DataFrame:
+    """(by.., set_name, perm, rank): for every set and permutation as many
+    distinct ranks as the set has members. Only (set, run) rows reach the tasks;
+    no list is hashed or sorted as a whole."""
+    return ranks_of_tasks(draw_tasks(sets, ranked, n, by), n, seed, by)
 
 
-def random_ranks(sets: DataFrame, ranked: DataFrame, n: int, seed: int = 149) -> DataFrame:
-    """(set_name, perm, rank): for every set and permutation as many distinct
-    ranks as the set has members. Only (set, run) rows reach the tasks; no list
-    is hashed or sorted as a whole."""
-    tasks = draw_tasks(sets, ranked, n).repartition("set_name", "perm_from")
+def ranks_of_tasks(tasks: DataFrame, n: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    keys = [*by, "set_name"]
+    spread = tasks.repartition(*keys, "perm_from")
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, perms, ranks, _ in runs_of(batch, n, seed):
-                yield pd.DataFrame(
-                    {
-                        "set_name": name,
-                        "perm": np.repeat(perms, ranks.shape[1]).astype(np.int32),
-                        "rank": ranks.ravel(),
-                    }
-                )
-
-    return tasks.mapInPandas(emit, "set_name string, perm int, rank long")
+            for at, perms, ranks, _ in runs_of(batch, n, seed):
+                out = {k: batch[k].iloc[at] for k in keys}
+                out["perm"] = np.repeat(perms, ranks.shape[1]).astype(np.int32)
+                out["rank"] = ranks.ravel()
+                yield pd.DataFrame(out)
+
+    schema = T.StructType(
+        [
+            *[tasks.schema[k] for k in keys],
+            T.StructField("perm", T.IntegerType()),
+            T.StructField("rank", T.LongType()),
+        ]
+    )
+    return spread.mapInPandas(emit, schema)
 
 
 def random_sets(ranked: DataFrame, sets: DataFrame, n: int, seed: int = 149) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import with_one_row
+from ..functions.scalars import attach
 from ..session import cut
 
 _POSITION_BITS = 33
@@ -137,10 +137,7 @@ def list_sizes(ranked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def attach_sizes(df: DataFrame, ranked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add ``n_features`` of the row's ranked list."""
-    sizes = list_sizes(ranked, by)
-    if by:
-        return df.join(sizes, list(by))
-    return with_one_row(df, sizes)
+    return attach(df, list_sizes(ranked, by), by)
 
 
 def top_bottom_k(ranked: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:

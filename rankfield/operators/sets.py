@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ DEFAULT_MAX = 500
 REJECTED = "Rejected!"
 
 
-def set_sizes(sets: DataFrame) -> DataFrame:
-    return sets.groupBy("set_name").agg(F.count(F.lit(1)).alias("size"))
+def set_sizes(sets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return sets.groupBy(*by, "set_name").agg(F.count(F.lit(1)).alias("size"))
 
 
 def restrict(sets: DataFrame, features: DataFrame) -> DataFrame:
@@ -42,6 +44,30 @@ def filter_sets_by_size(
     return inside.join(kept, "set_name", "left_semi").select(sets.columns)
 
 
+def filter_sets_by_list(
+    sets: DataFrame,
+    ranked: DataFrame,
+    by: Sequence[str],
+    min_size: int = DEFAULT_MIN,
+    max_size: int = DEFAULT_MAX,
+) -> DataFrame:
+    """The size filter for many lists at once: (by.., set_name, member)."""
+    inside = ranked.select(*by, F.col("feature").alias("member")).join(
+        sets.select("set_name", "member"), "member"
+    )
+    if min_size == max_size:
+        return inside.select(*by, "set_name", "member")
+    large = set_sizes(sets).filter(F.col("size") >= min_size).select("set_name")
+    inside = inside.join(large, "set_name", "left_semi")
+    kept = (
+        inside.groupBy(*by, "set_name")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter((F.col("_n") >= min_size) & (F.col("_n") <= max_size))
+        .select(*by, "set_name")
+    )
+    return inside.join(kept, [*by, "set_name"], "left_semi").select(*by, "set_name", "member")
+
+
 def require_sets(sets: DataFrame) -> DataFrame:
     """Fail where the size filter left nothing."""
     if sets.isEmpty():

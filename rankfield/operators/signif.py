@@ -8,11 +8,13 @@ null has no value of the needed sign the result is NULL.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import TIE_SCALE
-from ..functions.scalars import with_one_row
+from ..functions.scalars import attach, with_one_row
 from .rank import number_rows
 
 # Cut-offs of the significance counts.
@@ -20,9 +22,9 @@ NOMINAL_CUTS = (0.01, 0.05)
 FDR_CUT = 0.25
 
 
-def _same_sign_means(null_es: DataFrame) -> DataFrame:
+def _same_sign_means(null_es: DataFrame, key: list[str]) -> DataFrame:
     e = F.col("es")
-    return null_es.groupBy("set_name").agg(
+    return null_es.groupBy(*key).agg(
         F.avg(F.when(e >= 0, e)).alias("_pos"), F.avg(F.when(e <= 0, e)).alias("_neg")
     )
 
@@ -35,7 +37,7 @@ def _by_mean(c: str) -> Column:
 
 
 def normalize(
-    es: DataFrame, null_es: DataFrame, mode: str = "meandiv"
+    es: DataFrame, null_es: DataFrame, mode: str = "meandiv", by: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """(es with ``nes``, null with ``nes``). ``meandiv`` divides by the mean of
     the same-sign null of the same set, ``none`` keeps the score."""
@@ -43,23 +45,25 @@ def normalize(
         return es.withColumn("nes", F.col("es")), null_es.withColumn("nes", F.col("es"))
     if mode != "meandiv":
         raise ValueError(f"unknown normalisation {mode!r}; meandiv or none")
-    means = _same_sign_means(null_es)
-    real = es.join(means, "set_name", "left").select(*es.columns, _by_mean("es").alias("nes"))
-    null = null_es.join(means, "set_name").select(*null_es.columns, _by_mean("es").alias("nes"))
+    key = [*by, "set_name"]
+    means = _same_sign_means(null_es, key)
+    real = es.join(means, key, "left").select(*es.columns, _by_mean("es").alias("nes"))
+    null = null_es.join(means, key).select(*null_es.columns, _by_mean("es").alias("nes"))
     return real, null
 
 
-def nominal_p(es: DataFrame, null_es: DataFrame) -> DataFrame:
+def nominal_p(es: DataFrame, null_es: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Shares of the null strictly beyond ES: ``np`` among the same-sign null,
     ``np_all`` among all of it."""
-    real = es.select("set_name", F.col("es").alias("_real"))
+    key = [*by, "set_name"]
+    real = es.select(*key, F.col("es").alias("_real"))
     e, real_es = F.col("es"), F.col("_real")
     pos = real_es >= 0
     same = F.when(pos, e >= 0).otherwise(e <= 0)
     beyond = F.when(pos, e > real_es).otherwise(e < real_es)
     return (
-        null_es.join(real, "set_name")
-        .groupBy("set_name")
+        null_es.join(real, key)
+        .groupBy(*key)
         .agg(
             F.avg(F.when(same, beyond.cast("double"))).alias("np"),
             F.avg(beyond.cast("double")).alias("np_all"),
@@ -73,31 +77,34 @@ def _level(c: Column | str) -> Column:
     return F.floor(c * TIE_SCALE + 0.5)
 
 
-def rank_of_nes(nes: DataFrame) -> DataFrame:
+def rank_of_nes(nes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rank of every set among all real NES from each end, ties by name."""
     ties = F.col("set_name").asc()
-    down = number_rows(nes, [_level("nes").desc_nulls_last(), ties], name="_rank_down")
-    return number_rows(down, [_level("nes").asc_nulls_last(), ties], name="_rank_up")
+    down = number_rows(nes, [_level("nes").desc_nulls_last(), ties], by, "_rank_down")
+    return number_rows(down, [_level("nes").asc_nulls_last(), ties], by, "_rank_up")
 
 
-def fdr(es_nes: DataFrame, null_nes: DataFrame) -> DataFrame:
-    """(set_name, fdr) with its parts.
+def fdr(es_nes: DataFrame, null_nes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., set_name, fdr) with its parts.
 
     Numerator: mean over permutations having a same-sign null of the share of
     that null at least as extreme. Denominator: share of same-sign real sets at
     least as extreme, by rank over all sets. Real and null scores of a
     permutation and sign meet in one window of at most 2*S rows, so no pair of
     (set, set) is formed. A set with ES 0 or without NES has no q."""
-    real = es_nes.select("set_name", "es", "nes")
-    placed = rank_of_nes(real)
-    signs = real.agg(
+    by = list(by)
+    key = [*by, "set_name"]
+    real = es_nes.select(*key, "es", "nes")
+    placed = rank_of_nes(real, by)
+    signs = real.groupBy(*by).agg(
         F.count(F.when(F.col("nes") >= 0, 1)).alias("_n_pos"),
         F.count(F.when(F.col("nes") <= 0, 1)).alias("_n_neg"),
     )
-    perms = null_nes.agg(F.max("perm").alias("_last"))
+    perms = null_nes.groupBy(*by).agg(F.max("perm").alias("_last"))
     usable = real.filter("es <> 0 AND nes IS NOT NULL")
     side = F.when(F.col("es") > 0, 1).otherwise(-1)
-    real_rows = with_one_row(usable, perms).filter("_last IS NOT NULL").select(
+    real_rows = attach(usable, perms, by).filter("_last IS NOT NULL").select(
+        *by,
         F.explode(F.sequence(F.lit(0).cast("int"), F.col("_last"))).alias("perm"),
         side.alias("side"),
         _level("nes").alias("level"),
@@ -111,6 +118,7 @@ def fdr(es_nes: DataFrame, null_nes: DataFrame) -> DataFrame:
         .otherwise(F.array(F.lit(1), F.lit(-1)))
     )
     null_rows = null.select(
+        *by,
         "perm",
         sides.alias("side"),
         _level("nes").alias("level"),
@@ -118,16 +126,16 @@ def fdr(es_nes: DataFrame, null_nes: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("set_name"),
     )
     extreme_first = (F.col("side") * F.col("level")).desc()
-    upto = Window.partitionBy("perm", "side").orderBy(extreme_first).rangeBetween(
+    upto = Window.partitionBy(*by, "perm", "side").orderBy(extreme_first).rangeBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    whole = Window.partitionBy("perm", "side")
+    whole = Window.partitionBy(*by, "perm", "side")
     shares = (
         real_rows.unionByName(null_rows)
         .withColumn("_beyond", F.sum("is_null").over(upto))
         .withColumn("_size", F.sum("is_null").over(whole))
         .filter((F.col("is_null") == 0) & (F.col("_size") > 0))
-        .groupBy("set_name")
+        .groupBy(*key)
         .agg(F.avg(F.col("_beyond") / F.col("_size")).alias("fdr_num"))
     )
     pos = F.col("es") > 0
@@ -135,10 +143,10 @@ def fdr(es_nes: DataFrame, null_nes: DataFrame) -> DataFrame:
     count = F.when(pos, F.col("_n_pos")).otherwise(F.col("_n_neg"))
     q = F.try_divide(F.col("fdr_num"), F.col("fdr_den"))
     return (
-        with_one_row(placed.join(shares, "set_name", "left"), signs)
+        attach(placed.join(shares, key, "left"), signs, by)
         .withColumn("fdr_den", F.try_divide(place, count))
         .select(
-            "set_name",
+            *key,
             "fdr_num",
             F.when(F.col("fdr_num").isNotNull(), F.col("fdr_den")).alias("fdr_den"),
             F.when(
@@ -149,31 +157,33 @@ def fdr(es_nes: DataFrame, null_nes: DataFrame) -> DataFrame:
     )
 
 
-def fwer(es_nes: DataFrame, null_nes: DataFrame) -> DataFrame:
+def fwer(es_nes: DataFrame, null_nes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Share of permutations whose best null NES over all sets is strictly
     beyond NES. The best of each permutation (P numbers) reach every set as one
     scalar array."""
-    best = null_nes.groupBy("perm").agg(F.max("nes").alias("hi"), F.min("nes").alias("lo"))
-    packed = best.agg(F.collect_list("hi").alias("_hi"), F.collect_list("lo").alias("_lo"))
+    key = [*by, "set_name"]
+    best = null_nes.groupBy(*by, "perm").agg(F.max("nes").alias("hi"), F.min("nes").alias("lo"))
+    packed = best.groupBy(*by).agg(F.collect_list("hi").alias("_hi"), F.collect_list("lo").alias("_lo"))
     nes = F.col("nes")
     above = F.size(F.filter("_hi", lambda x: _level(x) > _level(nes)))
     below = F.size(F.filter("_lo", lambda x: _level(x) < _level(nes)))
     count = F.when(nes >= 0, above).otherwise(below)
-    return with_one_row(es_nes.select("set_name", "nes"), packed).select(
-        "set_name",
+    return attach(es_nes.select(*key, "nes"), packed, by).select(
+        *key,
         F.when(nes.isNotNull(), F.try_divide(count.cast("double"), F.size("_hi"))).alias("fwer"),
     )
 
 
 def significance(
-    es: DataFrame, null_es: DataFrame, mode: str = "meandiv"
+    es: DataFrame, null_es: DataFrame, mode: str = "meandiv", by: Sequence[str] = ()
 ) -> DataFrame:
     """ES table plus nes, np, fdr and fwer."""
-    real, null = normalize(es, null_es, mode)
+    key = [*by, "set_name"]
+    real, null = normalize(es, null_es, mode, by)
     return (
-        real.join(nominal_p(es, null_es).select("set_name", "np"), "set_name", "left")
-        .join(fdr(real, null).select("set_name", "fdr"), "set_name", "left")
-        .join(fwer(real, null), "set_name", "left")
+        real.join(nominal_p(es, null_es, by).select(*key, "np"), key, "left")
+        .join(fdr(real, null, by).select(*key, "fdr"), key, "left")
+        .join(fwer(real, null, by), key, "left")
     )
 
 

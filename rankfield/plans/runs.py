@@ -23,7 +23,7 @@ from ..operators.idmap import (
 )
 from ..operators.leading import leading_edge_members, leading_edge_stats
 from ..operators.metrics import CLASS_METRICS, score_features
-from ..operators.nulls import null_by_labels, null_by_sets
+from ..operators.nulls import null_by_labels, null_by_sets, null_by_sets_of_lists
 from ..operators.overlap import (
     incidence_matrix,
     jaccard_histogram,
@@ -33,7 +33,7 @@ from ..operators.overlap import (
     score_incidence,
 )
 from ..operators.rank import number_rows, rank_features
-from ..operators.sets import DEFAULT_MAX, DEFAULT_MIN, filter_sets_by_size
+from ..operators.sets import DEFAULT_MAX, DEFAULT_MIN, filter_sets_by_list, filter_sets_by_size
 from ..operators.signif import significance
 from ..session import cut
 
@@ -89,6 +89,29 @@ def enrich_ranked(
     return _finish(listed, kept, null_es, scheme, norm)
 
 
+def enrich_lists(
+    ranked: DataFrame,
+    sets: DataFrame,
+    by: str = "list_id",
+    *,
+    set_min: int = DEFAULT_MIN,
+    set_max: int = DEFAULT_MAX,
+    nperm: int = 1000,
+    seed: int = 149,
+    scheme: str = "weighted",
+    norm: str = "meandiv",
+) -> Run:
+    """:func:`enrich_ranked` for a table of lists, as one job instead of one per
+    list; every table of the run carries ``by``."""
+    key = [by]
+    listed = cut(unique_ranked(ranked, key).select(by, "feature", "score", "rank"))
+    kept = cut(filter_sets_by_list(sets, listed, key, set_min, set_max))
+    null_es = cut(null_by_sets_of_lists(listed, kept, nperm, key, seed, scheme))
+    scored = cut(hits(listed, kept, scheme, key))
+    es = cut(score_at(pick_extreme(scored, scheme, key), listed, key))
+    return Run(listed, kept, scored, cut(significance(es, null_es, norm, key)), null_es)
+
+
 def prepare_matrix(
     features: DataFrame,
     labels: DataFrame,

@@ -175,3 +175,35 @@ def test_random_sets_are_distinct_and_reproducible(case):
     assert drawn.exceptAll(again).count() == 0
     other = permute.random_sets(ranked, kept, 5, 4)
     assert drawn.exceptAll(other).count() > 0
+
+
+def test_many_lists_equal_single_runs(spark, case, monkeypatch):
+    from rankfield.operators import signif
+    from rankfield.plans import runs
+
+    scores, _, ranked, members = case
+    other = rank.rank_scores(
+        ranked.select("feature", (-F.col("score") + 0.3).alias("score"), (-F.col("rank")).alias("row_idx"))
+        .filter("abs(row_idx) % 4 > 0")
+    ).select("feature", "score", "rank")
+    lists = ranked.withColumn("list_id", F.lit("a")).unionByName(other.withColumn("list_id", F.lit("b")))
+    options = dict(set_min=2, set_max=100, nperm=30, seed=3)
+    both = runs.enrich_lists(lists, members, **options)
+    got = {(r["list_id"], r["set_name"]): r for r in both.results.collect()}
+    # one list through joins and windows gives the same null
+    monkeypatch.setattr(nulls, "LIST_LIMIT", 100)
+    again = runs.enrich_lists(lists, members, **options)
+    a, b = both.null_es, again.null_es
+    keys = ["list_id", "set_name", "perm"]
+    gap = a.join(b.withColumnRenamed("es", "x"), keys).agg(F.count(F.lit(1)), F.max(F.abs(F.col("es") - F.col("x"))))
+    assert a.count() == b.count() == gap.head()[0] and gap.head()[1] < 1e-9
+    for name in "ab":
+        null = both.null_es.filter(F.col("list_id") == name).select("set_name", "perm", "es")
+        one = lists.filter(F.col("list_id") == name).select("feature", "score", "rank")
+        kept = sets.filter_sets_by_size(members, one, 2, 100)
+        want = signif.significance(enrich.enrichment(one, kept), null).collect()
+        assert len(want) == sum(k[0] == name for k in got)
+        for w in want:
+            g = got[name, w["set_name"]]
+            for c in ("es", "rank_at_max", "nes", "np", "fdr", "fwer"):
+                assert g[c] == (None if w[c] is None else pytest.approx(w[c], abs=1e-9)), (name, w["set_name"], c)
