@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import inputs as i
 from ..operators import leading, reports
 from ..plans import runs
-from .base import COLLAPSED_RUN, MATRIX_RUN, NUDGE, PERMS, SEED, Entry, r6, r6_fraction, sql
+from .base import COLLAPSED_RUN, MATRIX_RUN, NUDGE, PARTS, PERMS, SEED, Entry, r6, r6_fraction, sql
 from .stats import edge_parts, results, scored
 
 ENTRIES: dict[str, Entry] = {}
@@ -17,6 +17,11 @@ def add(name: str, query, twin: str | None, **replaced: str) -> None:
     ENTRIES[name] = Entry(query, sql(twin, **replaced) if twin else None)
 
 
+def add_complete(name: str, query, twin: str) -> None:
+    """A twin that brings its own parts."""
+    ENTRIES[name] = Entry(query, twin)
+
+
 def _report(text: bool):
     def query(spark, d):
         parts, res, _ = results(spark, d)
@@ -245,8 +250,17 @@ def _enrich_lists(spark, d):
     return r6(run.results.select(*cols), *_NUMBERS)
 
 
-# every list is checked against the single-list run in the tests
-add("enrich_lists", _enrich_lists, None)
+def _one_list(flag: str) -> str:
+    """The run of one list: its scores, and random streams named after it."""
+    scores = PARTS["scores"].replace(
+        "FROM lineitem", f"FROM lineitem WHERE l_returnflag = '{flag}'"
+    )
+    drawn = PARTS["drawn"].replace(f"'{SEED}:' ||", f"'{SEED}:{flag}:' ||")
+    body = sql(_RESULT, scores=scores, drawn=drawn)
+    return f"SELECT '{flag}' AS list_id, * FROM ({body})"
+
+
+add_complete("enrich_lists", _enrich_lists, " UNION ALL ".join(_one_list(f) for f in ("A", "N", "R")))
 
 
 def enrich_matrix(spark, d, nperm: int = PERMS, **options):
