@@ -159,7 +159,7 @@ FROM (
 SELECT set_name, size, run AS es, rank AS rank_at_max, score AS score_at_max, n_features
 FROM walk
 QUALIFY row_number() OVER (
-  PARTITION BY set_name ORDER BY floor(abs(run) * 1e10 + 0.5) DESC, rank) = 1""",
+  PARTITION BY set_name ORDER BY floor(abs(run) * 1e9 + 0.5) DESC, rank) = 1""",
     "hits": """
 SELECT set_name, feature, score, rank, run AS running_es, size AS n_hits, n_features,
   row_number() OVER (PARTITION BY set_name ORDER BY rank) - 1 AS hit_no
@@ -187,7 +187,7 @@ SELECT set_name, perm, v AS es FROM (
     reached / total - (rank - k) / (n_features - size)::DOUBLE FROM null_hits
 )
 QUALIFY row_number() OVER (
-  PARTITION BY set_name, perm ORDER BY floor(abs(v) * 1e10 + 0.5) DESC, spot) = 1""",
+  PARTITION BY set_name, perm ORDER BY floor(abs(v) * 1e9 + 0.5) DESC, spot) = 1""",
     "means": """
 SELECT set_name, avg(es) FILTER (es >= 0) AS mp, avg(es) FILTER (es <= 0) AS mn
 FROM null_es GROUP BY set_name""",
@@ -207,8 +207,8 @@ FROM es e JOIN null_es n USING (set_name) GROUP BY e.set_name""",
     "fdr_num": """
 SELECT set_name, avg(share) AS fdr_num FROM (
   SELECT r.set_name, n.perm,
-    avg(CASE WHEN r.es > 0 THEN (floor(n.nes * 1e10 + 0.5) >= floor(r.nes * 1e10 + 0.5))::INT
-             ELSE (floor(n.nes * 1e10 + 0.5) <= floor(r.nes * 1e10 + 0.5))::INT END) AS share
+    avg(CASE WHEN r.es > 0 THEN (floor(n.nes * 1e9 + 0.5) >= floor(r.nes * 1e9 + 0.5))::INT
+             ELSE (floor(n.nes * 1e9 + 0.5) <= floor(r.nes * 1e9 + 0.5))::INT END) AS share
   FROM nes r JOIN null_nes n
     ON CASE WHEN r.es > 0 THEN n.nes >= 0 ELSE n.nes <= 0 END
   WHERE r.es <> 0 AND r.nes IS NOT NULL
@@ -220,18 +220,18 @@ SELECT set_name, fdr_num, den AS fdr_den,
 FROM (
   SELECT r.set_name, r.es, r.nes, f.fdr_num,
     CASE WHEN r.es > 0 THEN
-      row_number() OVER (ORDER BY floor(r.nes * 1e10 + 0.5) DESC NULLS LAST, r.set_name)
+      row_number() OVER (ORDER BY floor(r.nes * 1e9 + 0.5) DESC NULLS LAST, r.set_name)
         / (SELECT count(*) FROM nes WHERE nes >= 0)::DOUBLE
     ELSE
-      row_number() OVER (ORDER BY floor(r.nes * 1e10 + 0.5) ASC NULLS LAST, r.set_name)
+      row_number() OVER (ORDER BY floor(r.nes * 1e9 + 0.5) ASC NULLS LAST, r.set_name)
         / nullif((SELECT count(*) FROM nes WHERE nes <= 0), 0)::DOUBLE
     END AS den
   FROM nes r LEFT JOIN fdr_num f USING (set_name)
 )""",
     "fwers": """
 SELECT r.set_name,
-  avg(CASE WHEN r.nes >= 0 THEN (floor(b.hi * 1e10 + 0.5) > floor(r.nes * 1e10 + 0.5))::INT
-           ELSE (floor(b.lo * 1e10 + 0.5) < floor(r.nes * 1e10 + 0.5))::INT END) AS fwer
+  avg(CASE WHEN r.nes >= 0 THEN (floor(b.hi * 1e9 + 0.5) > floor(r.nes * 1e9 + 0.5))::INT
+           ELSE (floor(b.lo * 1e9 + 0.5) < floor(r.nes * 1e9 + 0.5))::INT END) AS fwer
 FROM nes r, (SELECT perm, max(nes) AS hi, min(nes) AS lo FROM null_nes GROUP BY perm) b
 GROUP BY r.set_name""",
     "results": """

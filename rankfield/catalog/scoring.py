@@ -191,7 +191,7 @@ add(
     """
 SELECT feature, round(value, 6) AS max_dev, sample_idx AS max_dev_index FROM dense_features
 QUALIFY row_number() OVER (PARTITION BY feature
-  ORDER BY floor(abs(value) * 1e10 + 0.5) DESC, sign(value) DESC, sample_idx) = 1""",
+  ORDER BY floor(abs(value) * 1e9 + 0.5) DESC, sign(value) DESC, sample_idx) = 1""",
 )
 add(
     "range_mean",

@@ -149,7 +149,7 @@ FROM {_walk(*_forms)} WHERE hit""",
 SELECT set_name, size, round(run + {NUDGE}, 6) AS es, rank AS rank_at_max, score AS score_at_max
 FROM {_walk(*_forms)}
 QUALIFY row_number() OVER (
-  PARTITION BY set_name ORDER BY floor(abs(run) * 1e10 + 0.5) DESC, rank) = 1""",
+  PARTITION BY set_name ORDER BY floor(abs(run) * 1e9 + 0.5) DESC, rank) = 1""",
     )
 
 add(
@@ -256,7 +256,7 @@ SELECT set_name, perm, round(v, 6) AS es FROM (
   SELECT set_name, perm, rank, reached / total - (rank - k) / (n - size)::DOUBLE FROM label_hits
 )
 QUALIFY row_number() OVER (
-  PARTITION BY set_name, perm ORDER BY floor(abs(v) * 1e10 + 0.5) DESC, spot) = 1"""
+  PARTITION BY set_name, perm ORDER BY floor(abs(v) * 1e9 + 0.5) DESC, spot) = 1"""
 
 
 def _null_by_labels(path):

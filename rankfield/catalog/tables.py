@@ -79,7 +79,7 @@ SELECT h.set_name, h.hit_no, h.feature, h.rank, round(h.score, 3) AS score,
 FROM hits h
 JOIN (SELECT set_name, running_es AS dev, rank AS spot FROM hits
       QUALIFY row_number() OVER (PARTITION BY set_name
-        ORDER BY floor(abs(running_es) * 1e10 + 0.5) DESC, sign(running_es) DESC, rank) = 1) m
+        ORDER BY floor(abs(running_es) * 1e9 + 0.5) DESC, sign(running_es) DESC, rank) = 1) m
   USING (set_name)
 LEFT JOIN id_map t ON t.probe = h.feature""",
 )

@@ -16,7 +16,7 @@ POWER_GUARD = 1e-6
 SD_FLOOR = 0.2
 NEAR_ZERO = 1e-9
 # Two deviations closer than this are one tie (double noise must not pick it).
-TIE_SCALE = 1e10
+TIE_SCALE = 1e9
 
 
 def col(c: Column | str) -> Column:

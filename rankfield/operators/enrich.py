@@ -30,6 +30,8 @@ from .rank import list_sizes
 
 # Ranks per block of a running sum.
 BLOCK = 1 << 16
+# Bits of a rank beside a deviation of at most 1 in one long.
+RANK_BITS = 33
 
 Scheme = tuple[Column, Column, Column]
 
@@ -165,38 +167,39 @@ def pick_extreme(
 ) -> DataFrame:
     """(by.., set_name, size, es, rank_at_max): the first largest deviation."""
     key = [*by, "set_name"]
-
-    def point(es: Column, rank: Column) -> Column:
-        return F.struct(es.alias("es"), rank.alias("rank"))
-
-    at = point(F.col("running_es"), F.col("rank"))
-    ahead = point(F.col("before_es"), F.col("rank") - 1)
-    here = F.when(
-        (F.col("rank") > F.col("hit_no"))
-        & (tie_key("before_es") >= tie_key("running_es")),
-        ahead,
-    ).otherwise(at)
-    best = scored.select(*key, "rank", "n_hits", "n_features", "weight", here.alias("_p"))
-    es, rank = F.col("_p.es"), F.col("_p.rank")
+    ahead = (F.col("rank") > F.col("hit_no")) & (tie_key("before_es") >= tie_key("running_es"))
+    points = scored.select(
+        *key,
+        "rank",
+        "n_hits",
+        "n_features",
+        "weight",
+        F.when(ahead, F.col("before_es")).otherwise(F.col("running_es")).alias("_es"),
+        F.when(ahead, F.col("rank") - 1).otherwise(F.col("rank")).alias("_at"),
+    )
+    # deviation above, then the smaller rank, in one long: hash aggregation
+    # keeps plain numbers, it would have to sort for a struct
+    order = F.shiftleft(tie_key("_es"), RANK_BITS) + ((1 << RANK_BITS) - 1 - F.col("_at"))
     aggs = [
-        F.max_by("_p", F.struct(tie_key(es), -rank)).alias("_best"),
         F.max("n_hits").alias("size"),
-        F.max("n_features").alias("n_features"),
+        F.max_by("_es", order).alias("es"),
+        F.max_by("_at", order).alias("rank_at_max"),
     ]
     if scheme in SUMS_TO_ONE:
-        return best.groupBy(*key).agg(*aggs).select(
-            *key, "size", F.col("_best.es").alias("es"), F.col("_best.rank").alias("rank_at_max")
-        )
-    aggs += [F.sum("weight").alias("_all"), F.max("rank").alias("_last")]
-    end = point(F.col("_all") - 1, F.col("n_features") - 1)
+        return points.groupBy(*key).agg(*aggs)
+    aggs += [
+        F.sum("weight").alias("_all"),
+        F.max("rank").alias("_last"),
+        F.max("n_features").alias("n_features"),
+    ]
     further = (F.col("_last") < F.col("n_features") - 1) & (
-        tie_key(F.col("_all") - 1) > tie_key("_best.es")
+        tie_key(F.col("_all") - 1) > tie_key("es")
     )
-    return (
-        best.groupBy(*key)
-        .agg(*aggs)
-        .withColumn("_best", F.when(further, end).otherwise(F.col("_best")))
-        .select(*key, "size", F.col("_best.es").alias("es"), F.col("_best.rank").alias("rank_at_max"))
+    return points.groupBy(*key).agg(*aggs).select(
+        *key,
+        "size",
+        F.when(further, F.col("_all") - 1).otherwise(F.col("es")).alias("es"),
+        F.when(further, F.col("n_features") - 1).otherwise(F.col("rank_at_max")).alias("rank_at_max"),
     )
 
 

@@ -36,7 +36,7 @@ def scan(scores, members, scheme):
     run, best, at = 0.0, 0.0, 0
     for r in range(total_n):
         run += hit[r] if r in members else -miss
-        if abs(run) > abs(best) + 1e-10:
+        if abs(run) > abs(best) + 1e-9:
             best, at = run, r
     return best, at
 
