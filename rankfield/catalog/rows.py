@@ -113,8 +113,7 @@ add("read_gmx", _read_sets(_describe(writers.write_gmx), coll.read_gmx, ".gmx"),
 
 def _read_grp(spark, d):
     path = scratch_path(spark, "io")
-    one = i.part_sets(spark, d).filter("collection = 'type'")
-    writers.write_grp(one.select("set_name", "member", "member_pos"), path)
+    writers.write_grp(i.part_sets(spark, d).select("set_name", "member", "member_pos"), path)
     return coll.read_grp(spark, path).groupBy("set_name").agg(
         F.count(F.lit(1)).alias("n_members"),
         F.min("member").alias("first_member"),
@@ -128,7 +127,7 @@ add(
     """
 SELECT set_name, count(*) AS n_members,
   min(member) AS first_member, max(member) AS last_member
-FROM part_sets WHERE collection = 'type' GROUP BY set_name""",
+FROM part_sets GROUP BY set_name""",
 )
 
 
@@ -674,15 +673,15 @@ add(
     lambda spark, d: r6(
         clean.extract_rows_by_rank(
             i.features(spark, d),
-            i.part_sets(spark, d).filter("collection = 'size'"),
+            i.part_sets(spark, d),
             i.ranked(spark, d),
         ).select("set_name", "rank", "feature", "sample", "value"),
         "value",
     ),
     """
 SELECT s.set_name, r.rank, f.feature, f.sample, round(f.value, 6) AS value
-FROM features f JOIN part_sets s ON s.member = f.feature JOIN ranked r ON r.feature = f.feature
-WHERE s.collection = 'size'""",
+FROM features f JOIN part_sets s ON s.member = f.feature
+JOIN ranked r ON r.feature = f.feature""",
 )
 add(
     "select_samples_for_labels",
@@ -1040,9 +1039,9 @@ add(
     "collapse_details",
     lambda spark, d: idmap.collapse_details(i.features(spark, d), i.id_map(spark, d)),
     """
-SELECT m.symbol, count(*) AS n_probes, string_agg(f.feature, ',' ORDER BY f.feature) AS probes
+SELECT m.symbol, count(*) OVER (PARTITION BY m.symbol) AS n_probes, f.feature AS probe
 FROM (SELECT DISTINCT feature FROM features) f JOIN id_map m ON m.probe = f.feature
-WHERE m.symbol <> '' GROUP BY m.symbol""",
+WHERE m.symbol <> ''""",
 )
 add(
     "map_sets_to_platform",

@@ -177,6 +177,19 @@ SELECT feature, round(avg(value), 6) AS mean, round(median(value), 6) AS median,
 FROM order_features GROUP BY feature""",
 )
 
+_AGGREGATES = {"mean": "avg", "median": "median", "sum": "sum", "max": "max"}
+for _stat, _function in _AGGREGATES.items():
+
+    def _one_stat(spark, d, stat=_stat):
+        out = measures.missing_safe_stats(i.features(spark, d)).select("feature", stat)
+        return r6(out.withColumnRenamed(stat, "value"), "value")
+
+    add(
+        _stat,
+        _one_stat,
+        f"SELECT feature, round({_function}(value), 6) AS value FROM features GROUP BY feature",
+    )
+
 
 def _deviation(spark, d):
     cells = i.dense_features(spark, d)

@@ -101,15 +101,12 @@ def collapse_ranked_list(
 
 
 def collapse_details(features: DataFrame, id_map: DataFrame) -> DataFrame:
-    """Probes per symbol. The probe text is built from at most the probes of one
-    symbol in the id map, never from matrix cells."""
-    return (
-        annotate(features.select("feature").distinct(), id_map)
-        .groupBy("symbol")
-        .agg(
-            F.count(F.lit(1)).alias("n_probes"),
-            F.array_join(F.array_sort(F.collect_list("feature")), ",").alias("probes"),
-        )
+    """(symbol, n_probes, probe): the probes of every symbol as rows, so a symbol
+    of very many probes is no single value."""
+    probes = annotate(features.select("feature").distinct(), id_map)
+    counts = probes.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_probes"))
+    return probes.join(counts, "symbol").select(
+        "symbol", "n_probes", F.col("feature").alias("probe")
     )
 
 
