@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near, packing, secrets, toxicity
+from . import chat, decontaminate, langid, near, packing, runlength_index, secrets, sentence_spans, topk, toxicity
 from .staging import documents
 
 
@@ -15,11 +15,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.remove_repeated_spans(documents(spark, sf_dir))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
     return found.drop("key")
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(documents(spark, sf_dir))
 
@@ -34,19 +43,41 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op7_runlength_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runlength_index.remove_repeated_bytes(documents(spark, sf_dir))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(documents(spark, sf_dir))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = chat.derived_calls(_table(spark, sf_dir, "conversations"))
+    return chat.link_tool_calls(calls, results, chat.TOOLS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_sentence_spans,
         op2_decontamination,
+        op3_top_k,
         op4_secret_scan,
         op5_toxicity,
         op6_packing,
+        op7_runlength_index,
         op8_near_dedup,
+        op9_language,
+        op10_tool_calls,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontaminate.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": decontaminate.SQL,
+    "op3_top_k": topk.SQL,
+    "op10_tool_calls": chat.SQL,
+}

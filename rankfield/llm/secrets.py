@@ -16,7 +16,7 @@ from .staging import stage
 SAMPLE = 20_000  # texts a model is trained on, at most: the smallest hashes of doc_id and text
 TOKEN = 16  # characters of a token that the model judges, at least
 RATIO = 18.4  # log-likelihood ratio of a secret, at least: one in 10**8 tokens is a secret beforehand
-SMOOTHING = 0.5
+SMOOTHING = 4.0  # weight of the characters' own frequencies in every transition's
 KINDS = ("assign", "access", "hex", "markov")
 
 #: Fixed patterns of the contract.
@@ -110,7 +110,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
 
     Labelled samples: what the fixed patterns match (the value of an assignment, an access key behind
     its first four characters, a hexadecimal run) is secret; words of four or more letters in texts that
-    match nothing are ordinary. Counts are smoothed; without either kind all ratios are 0.
+    match nothing are ordinary. Transitions are smoothed by the characters' frequencies; without either kind all ratios are 0.
     """
     text = F.coalesce("text", F.lit(""))
     some = (
@@ -146,8 +146,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     logs = []
     for k in range(2):
         row = [sum(n[k][a * _STATES : (a + 1) * _STATES]) for a in range(_STATES)]
+        column = [sum(n[k][b::_STATES]) for b in range(_STATES)]
+        own = [(c + 0.5) / (sum(column) + 0.5 * _STATES) for c in column]
         logs.append(
-            [math.log((n[k][p] + SMOOTHING) / (row[p // _STATES] + SMOOTHING * _STATES)) for p in range(_STATES * _STATES)]
+            [
+                math.log((n[k][p] + SMOOTHING * own[p % _STATES]) / (row[p // _STATES] + SMOOTHING))
+                for p in range(_STATES * _STATES)
+            ]
         )
     return [b - a for a, b in zip(*logs)]
 
