@@ -24,7 +24,7 @@ from .wordhash import U, in_worker, mix, powers, slices
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-PACKER_PIECES = 200_000  # pieces of a packer, about
+PACKER_PIECES = 4_000  # pieces of a packer, about: some thousand sequences, of which one stays open
 CACHED_WORDS = 1_500_000  # of a Python worker: about 100 MB
 _SLOTS = 22  # bits of the table that finds them
 
@@ -282,16 +282,15 @@ def pack(
     )
     total = pieces.count()
     packers = max(1, -(-total // packer_pieces))
-    spread = F.pmod(F.xxhash64("ids_crc32", "doc_id", "piece", "length"), F.lit(packers)).cast("int")
-    # Copies of a document differ in doc_id; repeated rows of one doc_id are told apart by number.
-    if packers > 1:
-        spread = F.pmod(F.xxhash64("ids_crc32", "doc_id", "piece", "length", F.monotonically_increasing_id()), F.lit(packers)).cast("int")
-    dealt = pieces.withColumn("packer", spread)
+    # The row number tells repeated rows apart; the pieces are on disk, so it stays when a task is run again.
+    number = F.monotonically_increasing_id()
+    dealt = pieces.withColumn("packer", F.pmod(F.xxhash64("doc_id", "piece", number), F.lit(packers)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         packer = np.asarray(table.column("packer"))
         length = np.asarray(table.column("length"))
         where = np.empty(len(packer), np.int64)

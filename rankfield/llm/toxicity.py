@@ -176,8 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` rows as (doc_id, severity, p_toxic, grade): expected grade, probability of any grade
-    above 0, and the most probable grade. NULL, empty and wordless texts score as texts without any
+    """``docs`` rows as (doc_id, severity, p_toxic, grade, n_features): expected grade, probability of any
+    grade above 0, the most probable grade, and how many features of the model the text has. NULL, empty and wordless texts score as texts without any
     feature. Repeated rows are scored one by one; other columns are ignored."""
     held = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
@@ -194,17 +194,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     "severity": pa.array(above.sum(axis=1)),
                     "p_toxic": pa.array(above[:, 0]),
                     "grade": pa.array(mass.argmax(axis=1).astype(np.int32)),
+                    "n_features": pa.array(np.bincount(who, minlength=part.num_rows).astype(np.int32)),
                 }
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, severity double, p_toxic double, grade int"
+        run, "doc_id long, severity double, p_toxic double, grade int, n_features int"
     )
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
     """``docs`` without the rows whose text has a probability of ``reject`` or more to be toxic; all
-    columns stay as they are. NULL and empty texts stay."""
+    columns stay as they are. Texts without any feature of the model, NULL and empty ones included, stay."""
     model = fit(docs, labels)
     held = docs.sparkSession.sparkContext.broadcast(tuple(model))
     names = docs.columns
@@ -215,6 +216,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> Da
             who, what = _known(known, part.column("text"))
             s = np.bincount(who, weight[what], part.num_rows) if len(who) else np.zeros(part.num_rows)
             p = 1 / (1 + np.exp(-np.clip(s - cuts[0], -40, 40)))
-            yield part.filter(pa.array(p < reject))
+            known_any = np.bincount(who, minlength=part.num_rows) > 0
+            yield part.filter(pa.array((p < reject) | ~known_any))
 
     return docs.select(*names).mapInArrow(run, docs.schema)
