@@ -411,7 +411,7 @@ def remove_repeated_bytes(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     crowd = stage(crowd.select(F.col("gram").alias("_gram")), "crowded-grams")
 
     locs = open_.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "loc")).alias("locs"))
-    texts = with_id.join(locs, "doc_id").select("doc_id", "text", "locs")
+    texts = with_id.join(locs.hint("merge"), "doc_id").select("doc_id", "text", "locs")
     contexts = stage(
         texts.mapInArrow(_context_bytes, "gram long, doc_id long, loc long, bytes binary"), "context-bytes"
     )
@@ -438,7 +438,7 @@ def remove_repeated_bytes(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
         gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("loc").alias("locs")), "removed-runs"
     )
     return (
-        docs.join(places, F.col("doc_id") == F.col("_doc"), "left")
+        docs.join(places.hint("merge"), F.col("doc_id") == F.col("_doc"), "left")
         .select("doc_id", "text", "locs")
         .mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     )

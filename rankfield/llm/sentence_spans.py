@@ -172,7 +172,7 @@ def remove_repeated_spans(docs: DataFrame) -> DataFrame:
         "repeated-spans",
     )
     return (
-        docs.join(places, F.col("doc_id") == F.col("_doc"), "left")
+        docs.join(places.hint("merge"), F.col("doc_id") == F.col("_doc"), "left")
         .select("doc_id", "text", "places")
         .mapInArrow(_clean, "doc_id long, n_sentences long, n_removed long, n_words_removed long, text string")
     )
