@@ -181,14 +181,14 @@ FROM region_labels""",
 
 
 def _by_sample(spark, d):
-    table = i.side_labels(spark, d).orderBy("position").select(
+    table = i.side_labels(spark, d).select(
         "sample",
         F.col("class_name").alias("SIDE"),
         F.col("num_value").alias("NUMERIC"),
         F.lit("free text").alias("COMMENT"),
     )
     path = scratch_path(spark, "io")
-    table.coalesce(1).write.csv(path, sep="\t", header=True)
+    table.write.csv(path, sep="\t", header=True)  # every part file is a sample table
     return label_files.read_cls_by_sample(spark, path).select(
         "phenotype", "sample", "class_name", "num_value"
     )
@@ -206,10 +206,8 @@ UNION ALL SELECT 'NUMERIC', sample, NULL, num_value FROM side_labels""",
 def _read_probes_cls(spark, d):
     features = i.dense_features(spark, d)
     path = scratch_path(spark, "io")
-    names = features.select("feature").distinct()
-    names.agg(F.concat(F.lit("#probes\n"), F.array_join(F.collect_list("feature"), "\n"))).write.text(
-        path
-    )
+    names = features.select(F.col("feature").alias("#probes")).distinct()
+    names.write.csv(path, header=True)  # every part file begins with the mark
     out = label_files.read_probes_cls(spark, path, features)
     return r6(out.select("phenotype", "sample", "position", "num_value"), "num_value")
 
@@ -386,9 +384,8 @@ UNION ALL SELECT string_agg(class_name, ' ' ORDER BY position) FROM side_labels"
 )
 add(
     "write_chip",
-    _text_lines(
-        lambda df, path: writers.write_chip(df.coalesce(1), path), ".chip", i.id_map
-    ),
+    # every part file carries the header
+    lambda spark, d: _text_lines(writers.write_chip, ".chip", i.id_map)(spark, d).distinct(),
     """
 SELECT 'Probe Set ID' || chr(9) || 'Gene Symbol' || chr(9) || 'Gene Title' AS line
 UNION ALL SELECT probe || chr(9) || symbol || chr(9) || title FROM id_map""",
@@ -864,7 +861,7 @@ SELECT class_name AS phenotype, sample, position, class_name, 0 AS class_idx FRO
 add("labels_single_class", _lab(labels.labels_single_class), _SINGLE)
 add(
     "labels_all_derived",
-    _lab(lambda df: labels.labels_all_derived(df, 5)),
+    _lab(labels.labels_all_derived),
     f"{_FORTH} UNION ALL {_BACK} UNION ALL {_PAIRS} UNION ALL {_SINGLE}",
 )
 add(

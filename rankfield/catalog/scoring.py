@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import inputs as i
-from ..operators import measures, metrics, nulls, rank, reports
-from .base import PERMS, Entry, floor_sql, r6, sql
+from ..operators import clean, measures, metrics, nulls, rank, reports
+from .base import MATRIX_RUN, PERMS, Entry, floor_sql, r6, sql
 
 ENTRIES: dict[str, Entry] = {}
 
 
-def add(name: str, query, twin: str | None) -> None:
-    ENTRIES[name] = Entry(query, sql(twin) if twin else None)
+def add(name: str, query, twin: str | None, **replaced: str) -> None:
+    ENTRIES[name] = Entry(query, sql(twin, **replaced) if twin else None)
 
 
 # ---- class metrics ----------------------------------------------------------
@@ -181,8 +181,7 @@ _AGGREGATES = {"mean": "avg", "median": "median", "sum": "sum", "max": "max"}
 for _stat, _function in _AGGREGATES.items():
 
     def _one_stat(spark, d, stat=_stat):
-        out = measures.missing_safe_stats(i.features(spark, d)).select("feature", stat)
-        return r6(out.withColumnRenamed(stat, "value"), "value")
+        return r6(measures.missing_safe_stat(i.features(spark, d), stat), "value")
 
     add(
         _stat,
@@ -327,12 +326,21 @@ add(
 )
 
 
+def _marker_cells(spark, d):
+    labels = i.side_labels(spark, d)
+    return clean.omit_features_without_class_data(i.features(spark, d), labels), labels
+
+
 def _lists(spark, d):
-    scores = nulls.permuted_scores(i.dense_features(spark, d), i.vector_labels(spark, d), PERMS)
-    return nulls.permuted_lists(scores)
+    return nulls.permuted_lists(nulls.permuted_scores(*_marker_cells(spark, d), PERMS))
 
 
-_MARKERS = 20
+_MARKERS = reports.MARKERS
+_MARKER_RUN = {
+    **MATRIX_RUN,
+    "perm_lists": "SELECT perm, feature, score, rank FROM run_lists",
+    "real_scores": "SELECT feature, rank AS row_idx, score FROM ranked",
+}
 _LEVELS = " UNION ALL ".join(
     f"SELECT {v}::DOUBLE AS level, {reports.level_index(v, PERMS, False)} AS up,"
     f" {reports.level_index(v, PERMS, True)} AS down"
@@ -359,14 +367,13 @@ add(
         reports.marker_significance(_lists(spark, d), PERMS, _MARKERS), "up", "down"
     ),
     f"SELECT position, level, round(up, 6) AS up, round(down, 6) AS down FROM ({_MARKER_SQL})",
+    **_MARKER_RUN,
 )
 
 
 def _butterfly(spark, d):
     real = rank.rank_features(
-        metrics.class_metric(
-            "signal_to_noise", i.dense_features(spark, d), i.vector_labels(spark, d)
-        )
+        metrics.class_metric("signal_to_noise", *_marker_cells(spark, d))
     )
     sig = reports.marker_significance(_lists(spark, d), PERMS, _MARKERS)
     return r6(
@@ -391,4 +398,5 @@ JOIN (
     SELECT 'bottom', row_number() OVER (ORDER BY score, row_idx DESC), score FROM real_scores
   ) GROUP BY position
 ) o ON o.position = m.position""",
+    **_MARKER_RUN,
 )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import inputs as i
 from ..operators import leading, reports
 from ..plans import runs
+from ..session import scratch_path
 from .base import COLLAPSED_RUN, MATRIX_RUN, NUDGE, PARTS, PERMS, SEED, Entry, r6, r6_fraction, sql
 from .stats import edge_parts, results, scored
 
@@ -334,3 +335,19 @@ add(
 SELECT feature AS member, count(*) AS n_sets FROM edge JOIN es USING (set_name)
 WHERE es.es > 0 GROUP BY feature""",
 )
+
+
+def _stored_leading_edge(spark, d):
+    """The run is saved, loaded again and analysed from its tables alone."""
+    path = scratch_path(spark, "run")
+    enrich_ranked(spark, d).save(path)
+    run = runs.load_run(spark, path)
+    chosen = run.results.filter("es > 0").select("set_name")
+    return runs.leading_edge(run, chosen)["members"].select("set_name", "member")
+
+
+add(
+    "leading_edge_of_stored_run",
+    _stored_leading_edge,
+    "SELECT set_name, feature AS member FROM edge JOIN es USING (set_name) WHERE es.es > 0",
+)

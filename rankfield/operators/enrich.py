@@ -177,9 +177,11 @@ def pick_extreme(
         F.when(ahead, F.col("before_es")).otherwise(F.col("running_es")).alias("_es"),
         F.when(ahead, F.col("rank") - 1).otherwise(F.col("rank")).alias("_at"),
     )
-    # deviation above, then the smaller rank, in one long: hash aggregation
-    # keeps plain numbers, it would have to sort for a struct
-    order = F.shiftleft(tie_key("_es"), RANK_BITS) + ((1 << RANK_BITS) - 1 - F.col("_at"))
+    # deviation above, then the smaller rank, in one decimal of 38 digits: hash
+    # aggregation keeps plain numbers, it would have to sort for a struct
+    order = tie_key("_es").cast("decimal(19,0)") * F.lit(1 << RANK_BITS).cast("decimal(11,0)") + (
+        F.lit((1 << RANK_BITS) - 1) - F.col("_at")
+    ).cast("decimal(11,0)")
     aggs = [
         F.max("n_hits").alias("size"),
         F.max_by("_es", order).alias("es"),

@@ -54,10 +54,15 @@ def labels_reversed(labels: DataFrame) -> DataFrame:
 
 
 def labels_one_vs_rest(labels: DataFrame, both_ways: bool = False) -> DataFrame:
-    """Each class against REST; needs at least three classes."""
+    """Each class against REST; a labelling of fewer than three classes is an error."""
     classes = F.array_sort(F.collect_set("class_name"))  # as many as there are classes
+    few = F.raise_error(
+        F.concat(F.lit("one class against the rest needs three classes: "), F.col("phenotype"))
+    ).cast("array<string>")
     named = labels.join(
-        labels.groupBy("phenotype").agg(classes.alias("_classes")).filter("size(_classes) >= 3"),
+        labels.groupBy("phenotype")
+        .agg(classes.alias("_classes"))
+        .select("phenotype", F.when(F.size("_classes") < 3, few).otherwise(F.col("_classes")).alias("_classes")),
         "phenotype",
     ).select(*labels.columns, F.explode("_classes").alias("_one"))
     is_one = F.col("class_name") == F.col("_one")
@@ -105,17 +110,21 @@ def labels_single_class(labels: DataFrame) -> DataFrame:
     )
 
 
-def labels_all_derived(labels: DataFrame, n_classes: int) -> DataFrame:
-    """All labellings a parent offers, by its number of classes."""
-    single = labels_single_class(labels)
-    if n_classes == 1:
-        return single
-    if n_classes == 2:
-        return labels_forward(labels).unionByName(labels_reversed(labels)).unionByName(single)
+def labels_all_derived(labels: DataFrame) -> DataFrame:
+    """All labellings each phenotype offers, by its own number of classes: one
+    class itself, two classes both ways, more every class against the rest and
+    every ordered pair, each with the single classes."""
+    counted = labels.join(
+        labels.groupBy("phenotype").agg(F.count_distinct("class_name").alias("_k")), "phenotype"
+    )
+    two = counted.filter("_k = 2").select(labels.columns)
+    many = counted.filter("_k > 2").select(labels.columns)
     return (
-        labels_one_vs_rest(labels, both_ways=True)
-        .unionByName(labels_all_pairs(labels))
-        .unionByName(single)
+        labels_single_class(labels)
+        .unionByName(labels_forward(two))
+        .unionByName(labels_reversed(two))
+        .unionByName(labels_one_vs_rest(many, both_ways=True))
+        .unionByName(labels_all_pairs(many))
     )
 
 

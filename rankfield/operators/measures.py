@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import is_negative, stddev_floor, tie_key, variance
 from ..functions.scalars import with_one_row
-from ..session import cut
 from .rank import attach_sizes, running_total
 
 
@@ -30,31 +29,15 @@ def floored_stddev(
     )
 
 
-# Values of one group up to which its median is aggregated in one task.
-MEDIAN_GROUP = 1_000_000
+def group_median(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+    """Exact median per group, missing values skipped, NULL where there is none.
 
-
-def group_median(
-    df: DataFrame, by: Sequence[str], value: str, name: str, limit: int = MEDIAN_GROUP
-) -> DataFrame:
-    """Exact median per group, missing values skipped.
-
-    The built-in median keeps the values of a group in one task. Groups above
-    ``limit`` are found by a map-side count and solved from running totals of
-    their distinct values instead."""
+    Counted from running totals of the distinct values, so that no task holds a
+    group, whatever its size."""
     by = list(by)
     sizes = df.groupBy(*by).agg(F.count(value).alias("_n"))
-    large = cut(sizes.filter(F.col("_n") > limit))
-    if large.isEmpty():
-        return df.groupBy(*by).agg(F.median(value).alias(name))
-    small = df.join(large, by, "left_anti").groupBy(*by).agg(F.median(value).alias(name))
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .join(large, by, "left_semi")
-        .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    upto = running_total(counted, [F.col(value).asc()], by, "_c", "_upto").join(large, by)
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    upto = running_total(counted, [F.col(value).asc()], by, "_c", "_upto").join(sizes, by)
     first = F.col("_upto") - F.col("_c")
 
     def holds(place):
@@ -66,7 +49,15 @@ def group_median(
             (F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value)))) / 2
         ).alias(name)
     )
-    return small.unionByName(middle)
+    return sizes.select(*by).join(middle, by, "left")
+
+
+def missing_safe_stat(features: DataFrame, stat: str, by: Sequence[str] = ("feature",)) -> DataFrame:
+    """(by.., value): mean, median, sum or max of the values that are there."""
+    if stat == "median":
+        return group_median(features, by, "value", "value")
+    ways = {"mean": F.avg, "sum": F.sum, "max": F.max}
+    return features.groupBy(*by).agg(ways[stat]("value").alias("value"))
 
 
 def missing_safe_stats(features: DataFrame, by: Sequence[str] = ("feature",)) -> DataFrame:

@@ -316,12 +316,14 @@ def profile_scores(a: np.ndarray, profiles: np.ndarray) -> np.ndarray:
     have = ~np.isnan(a)
     mask = have.astype(float)
     x = np.where(have, a - np.nanmean(a, axis=1, keepdims=True), 0.0)
-    y = profiles - profiles.mean(axis=0, keepdims=True)
-    n = mask.sum(axis=1, keepdims=True)
+    # a sample counts where the row and the profile both have a value
+    known = (~np.isnan(profiles)).astype(float)
+    y = np.where(known > 0, profiles - np.nanmean(profiles, axis=0, keepdims=True), 0.0)
+    n = mask @ known
     sy, syy, sxy = mask @ y, mask @ (y * y), x @ y
-    sxx = (x * x).sum(axis=1, keepdims=True)
+    sx, sxx = x @ known, (x * x) @ known
     with np.errstate(divide="ignore", invalid="ignore"):
-        r = sxy / np.sqrt(sxx * (syy - sy * sy / n))
+        r = (sxy - sx * sy / n) / np.sqrt((sxx - sx * sx / n) * (syy - sy * sy / n))
     return np.where((n > 1) & np.isfinite(r), r, np.nan)
 
 
@@ -418,7 +420,8 @@ def _null_block(
             .select("perm", "sample_no", F.lit(1.0).alias("num_value"))
         )
     got = cells.toPandas()
-    table = np.zeros((len(names), n))
+    # a sample without a row, or with a NULL, has no profile value; labels: class 1
+    table = np.full((len(names), n), np.nan if numeric else 0.0)
     table[got["sample_no"].to_numpy(), got["perm"].to_numpy() - first] = got["num_value"]
     shared = spark.sparkContext.broadcast(table)
     fix_low, biased = options.get("fix_low", True), options.get("biased", False)

@@ -57,6 +57,8 @@ def number_rows(
     )
     before = F.coalesce(F.sum("_n").over(_earlier_tasks(by)), F.lit(0))
     tasks = tasks.select(*by, "_task", (before - F.col("_first")).alias("_shift"))
+    if not by:
+        tasks = F.broadcast(tasks)  # one row per task
     return placed.join(tasks, [*by, "_task"]).select(
         *[placed[c] for c in df.columns if c != name],
         (F.col("_pos") + F.col("_shift") + start).cast("long").alias(name),
@@ -73,6 +75,8 @@ def running_total(
     tasks = placed.groupBy(*by, "_task").agg(F.sum(amount).alias("_sum"))
     before = F.coalesce(F.sum("_sum").over(_earlier_tasks(by)), F.lit(0))
     tasks = tasks.select(*by, "_task", before.alias("_before"))
+    if not by:
+        tasks = F.broadcast(tasks)  # one row per task
     inside = Window.partitionBy(*by, "_task").orderBy("_pos").rowsBetween(
         Window.unboundedPreceding, 0
     )

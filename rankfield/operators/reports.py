@@ -114,9 +114,13 @@ def ranked_feature_report(ranked: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def run_summary(
-    results: DataFrame, ranked: DataFrame, all_sets: DataFrame, native_features: DataFrame
+    results: DataFrame,
+    ranked: DataFrame,
+    all_sets: DataFrame,
+    native_features: DataFrame,
+    warnings: DataFrame | None = None,
 ) -> DataFrame:
-    """(key, value) counts of a run."""
+    """(key, value) counts of a run, and 1 or 0 for each of its ``warnings`` (warning, applies)."""
     counts = count_significant(results)
     per_side = counts.select(
         F.explode(
@@ -160,6 +164,13 @@ def run_summary(
         single(native_features.select("feature").distinct(), "n_native_features"),
     ]
     out = per_side.unionByName(markers)
+    if warnings is not None:
+        parts.append(
+            warnings.select(
+                F.concat(F.lit("warning_"), "warning").alias("key"),
+                F.col("applies").cast("double").alias("value"),
+            )
+        )
     for part in parts:
         out = out.unionByName(part)
     return out

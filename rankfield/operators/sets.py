@@ -56,7 +56,11 @@ def filter_sets_by_list(
         sets.select("set_name", "member"), "member"
     )
     if min_size == max_size:
-        return inside.select(*by, "set_name", "member")
+        # whole sets, as for one list; a set without any hit in a list has no score there
+        met = inside.select(*by, "set_name").distinct()
+        return met.join(sets.select("set_name", "member"), "set_name").select(
+            *by, "set_name", "member"
+        )
     large = set_sizes(sets).filter(F.col("size") >= min_size).select("set_name")
     inside = inside.join(large, "set_name", "left_semi")
     kept = (

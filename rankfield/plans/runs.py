@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import warnings
+from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.clean import (
+    min_samples_check,
     omit_features_without_class_data,
     unique_features,
     unique_ranked,
 )
 from ..operators.enrich import hits, pick_extreme, score_at
 from ..operators.idmap import (
+    check_species_version,
     collapse,
     collapse_details,
     collapse_ranked_list,
@@ -33,8 +36,14 @@ from ..operators.overlap import (
     score_incidence,
 )
 from ..operators.rank import number_rows, rank_features
-from ..operators.sets import DEFAULT_MAX, DEFAULT_MIN, filter_sets_by_list, filter_sets_by_size
-from ..operators.signif import significance
+from ..operators.sets import (
+    DEFAULT_MAX,
+    DEFAULT_MIN,
+    filter_sets_by_list,
+    filter_sets_by_size,
+    require_sets,
+)
+from ..operators.signif import significance, validate_results
 from ..session import cut
 
 COLLAPSE_CHOICES = ("Collapse", "Remap_Only", "No_Collapse")
@@ -57,11 +66,74 @@ class Run:
         return leading_edge_stats(self.hits, self.results)
 
 
-def _finish(ranked, kept, null_es, scheme: str, norm: str) -> Run:
-    scored = cut(hits(ranked, kept, scheme))
-    es = cut(score_at(pick_extreme(scored, scheme), ranked))
+    def save(self, path: str) -> None:
+        """All five tables as Parquet below ``path``."""
+        for name in TABLES:
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+TABLES = tuple(f.name for f in fields(Run))
+
+# These metrics divide by the spread within a class.
+SPREAD_METRICS = ("signal_to_noise", "t_test")
+
+
+def load_run(spark: SparkSession, path: str) -> Run:
+    """A run that :meth:`Run.save` stored."""
+    return Run(*[spark.read.parquet(f"{path}/{name}") for name in TABLES])
+
+
+def check_labels(labels: DataFrame, metric: str) -> None:
+    """Fail where the metric does not go with the labelling, or the classes are too small for it."""
+    if metric in CLASS_METRICS:
+        classes = labels.agg(
+            F.count(F.when(~F.col("class_idx").isin(0, 1) | F.col("class_idx").isNull(), 1)).alias("other"),
+            F.count(F.when(F.col("class_idx") == 0, 1)).alias("a"),
+            F.count(F.when(F.col("class_idx") == 1, 1)).alias("b"),
+        ).first()
+        if classes.other or not classes.a or not classes.b:
+            raise ValueError(f"{metric} needs a labelling of two classes")
+        if metric not in SPREAD_METRICS:
+            return
+        bad = min_samples_check(labels).filter("not ok")
+    else:
+        if labels.filter("num_value is not null").isEmpty():
+            raise ValueError(f"{metric} needs a numeric labelling")
+        bad = min_samples_check(labels, numeric=True).filter("not ok")
+    first = bad.first()
+    if first is not None:
+        raise ValueError(f"{metric}: {first.check} has {first.actual} samples, {first.required} are needed")
+
+
+def check_sources(versions: DataFrame | None) -> None:
+    """Fail where collections and platforms are of several species, warn where of several versions.
+    ``versions`` is (source, kind, species, version)."""
+    if versions is None:
+        return
+    found = check_species_version(versions).first()
+    if not found.species_ok:
+        raise ValueError("collections and platforms are of several species")
+    if not found.version_ok:
+        warnings.warn("collections and platforms are of several versions", stacklevel=3)
+
+
+def _validated(results: DataFrame, null_es: DataFrame, key=()) -> DataFrame:
+    """Fail where a run has no results, repeats a set or lacks permutations of one."""
+    if key:
+        name = F.concat_ws("\x01", *[F.col(k).cast("string") for k in (*key, "set_name")])
+        results, null_es = results.withColumn("set_name", name), null_es.withColumn("set_name", name)
+    bad = validate_results(results, null_es).filter("not ok").first()
+    if bad is not None:
+        raise ValueError(f"results fail the check {bad.check}: {bad.n_bad} rows")
+
+
+def _finish(ranked, kept, null_es, scheme: str, norm: str, key=()) -> Run:
+    scored = cut(hits(ranked, kept, scheme, key))
+    es = cut(score_at(pick_extreme(scored, scheme, key), ranked, key))
     null_es = cut(null_es)
-    return Run(ranked, kept, scored, cut(significance(es, null_es, norm)), null_es)
+    results = cut(significance(es, null_es, norm, key))
+    _validated(results, null_es, key)
+    return Run(ranked, kept, scored, results, null_es)
 
 
 def enrich_ranked(
@@ -77,14 +149,19 @@ def enrich_ranked(
     seed: int = 149,
     scheme: str = "weighted",
     norm: str = "meandiv",
+    versions: DataFrame | None = None,
 ) -> Run:
-    """Enrichment of an externally ranked list; the null is random sets."""
+    """Enrichment of an externally ranked list; the null is random sets.
+    An empty collapsed list, no set left and incomplete results are errors."""
+    check_sources(versions)
     listed = unique_ranked(ranked)
     if collapse_choice != "No_Collapse":
         mode = "remap" if collapse_choice == "Remap_Only" else collapse_mode
         listed = collapse_ranked_list(listed, id_map, mode)
     listed = cut(listed.select("feature", "score", "rank"))
-    kept = cut(filter_sets_by_size(sets, listed, set_min, set_max))
+    if listed.isEmpty():
+        raise ValueError("no feature is left to rank")
+    kept = require_sets(cut(filter_sets_by_size(sets, listed, set_min, set_max)))
     null_es = null_by_sets(listed, kept, nperm, seed, scheme)
     return _finish(listed, kept, null_es, scheme, norm)
 
@@ -93,23 +170,32 @@ def enrich_lists(
     ranked: DataFrame,
     sets: DataFrame,
     by: str = "list_id",
+    id_map: DataFrame | None = None,
     *,
+    collapse_choice: str = "No_Collapse",
+    collapse_mode: str = "max",
     set_min: int = DEFAULT_MIN,
     set_max: int = DEFAULT_MAX,
     nperm: int = 1000,
     seed: int = 149,
     scheme: str = "weighted",
     norm: str = "meandiv",
+    versions: DataFrame | None = None,
 ) -> Run:
     """:func:`enrich_ranked` for a table of lists, as one job instead of one per
     list; every table of the run carries ``by``."""
+    check_sources(versions)
     key = [by]
-    listed = cut(unique_ranked(ranked, key).select(by, "feature", "score", "rank"))
-    kept = cut(filter_sets_by_list(sets, listed, key, set_min, set_max))
-    null_es = cut(null_by_sets_of_lists(listed, kept, nperm, key, seed, scheme))
-    scored = cut(hits(listed, kept, scheme, key))
-    es = cut(score_at(pick_extreme(scored, scheme, key), listed, key))
-    return Run(listed, kept, scored, cut(significance(es, null_es, norm, key)), null_es)
+    listed = unique_ranked(ranked, key)
+    if collapse_choice != "No_Collapse":
+        mode = "remap" if collapse_choice == "Remap_Only" else collapse_mode
+        listed = collapse_ranked_list(listed, id_map, mode, key)
+    listed = cut(listed.select(by, "feature", "score", "rank"))
+    if listed.isEmpty():
+        raise ValueError("no feature is left to rank")
+    kept = require_sets(cut(filter_sets_by_list(sets, listed, key, set_min, set_max)))
+    null_es = null_by_sets_of_lists(listed, kept, nperm, key, seed, scheme)
+    return _finish(listed, kept, null_es, scheme, norm, key)
 
 
 def prepare_matrix(
@@ -154,10 +240,16 @@ def enrich_matrix(
     seed: int = 149,
     scheme: str = "weighted",
     norm: str = "meandiv",
+    versions: DataFrame | None = None,
     **metric_options,
 ) -> Run:
     """Enrichment of a matrix against a labelling; the null permutes labels
-    (``phenotype``) or draws random sets (``gene_set``)."""
+    (``phenotype``) or draws random sets (``gene_set``).
+
+    A metric that does not go with the labelling, too few samples, an empty
+    collapsed matrix, no set left and incomplete results are errors."""
+    check_sources(versions)
+    check_labels(labels, metric)
     numeric = metric not in CLASS_METRICS
     cells = cut(
         prepare_matrix(features, labels, id_map, collapse_choice, collapse_mode, numeric)
@@ -166,7 +258,9 @@ def enrich_matrix(
     ranked = cut(
         rank_features(scores, mode=sort, ascending=ascending).select("feature", "score", "rank")
     )
-    kept = cut(filter_sets_by_size(sets, ranked, set_min, set_max))
+    if ranked.isEmpty():
+        raise ValueError("no feature is left to rank")
+    kept = require_sets(cut(filter_sets_by_size(sets, ranked, set_min, set_max)))
     if permute == "gene_set":
         null_es = null_by_sets(ranked, kept, nperm, seed, scheme)
     else:

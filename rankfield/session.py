@@ -12,11 +12,13 @@ _fallback: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir``, or a temporary
-    folder where the session names none (single-machine tests)."""
+    """Folder all executors can reach: ``spark.checkpoint.dir``. Only a local
+    master, where every task runs on this machine, may leave it unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = tempfile.mkdtemp(prefix="rankfield-")
