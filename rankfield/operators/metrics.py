@@ -43,9 +43,9 @@ def class_stats(
     key = [*by, "feature", "row_idx"]
     out = joined.groupBy(*key).agg(*aggs)
     if median:
-        for i in (0, 1):
-            part = joined.filter(F.col("class_idx") == i)
-            out = out.join(group_median(part, key, "value", f"median{i}"), key, "left")
+        both = group_median(joined.filter("class_idx in (0, 1)"), [*key, "class_idx"], "value", "_median")
+        sides = [F.max(F.when(F.col("class_idx") == i, F.col("_median"))).alias(f"median{i}") for i in (0, 1)]
+        out = out.join(both.groupBy(*key).agg(*sides), key, "left")
     for i in (0, 1):
         out = out.withColumn(f"centre{i}", F.col(f"median{i}" if median else f"mean{i}"))
         out = out.withColumn(
