@@ -83,17 +83,17 @@ _ALL = """
 add(
     "union_size",
     lambda spark, d: overlap.union_size(i.part_sets(spark, d)),
-    f"SELECT a, b, union_size FROM {_ALL} WHERE a < b",
+    f"SELECT a, b, union_size FROM {_ALL} WHERE a < b AND inter > 0",
 )
 add(
     "overlap_fraction",
     lambda spark, d: r6(overlap.overlap_fraction(i.part_sets(spark, d)), "overlap_fraction"),
-    f"SELECT a, b, round(inter / n_a::DOUBLE, 6) AS overlap_fraction FROM {_ALL}",
+    f"SELECT a, b, round(inter / n_a::DOUBLE, 6) AS overlap_fraction FROM {_ALL} WHERE inter > 0",
 )
 add(
     "jaccard_matrix",
     lambda spark, d: r6(overlap.jaccard_matrix(i.part_sets(spark, d)), "jaccard"),
-    f"SELECT a, b, round(jaccard, 6) AS jaccard FROM {_ALL}",
+    f"SELECT a, b, round(jaccard, 6) AS jaccard FROM {_ALL} WHERE inter > 0",
 )
 add(
     "jaccard_mean",
@@ -140,11 +140,7 @@ FROM (SELECT count(*) AS n FROM part_sets GROUP BY set_name)""",
 add(
     "incidence_matrix",
     lambda spark, d: overlap.incidence_matrix(i.part_sets(spark, d)),
-    """
-SELECT s.set_name, m.member, CASE WHEN p.member IS NULL THEN 0 ELSE 1 END AS present
-FROM (SELECT DISTINCT set_name FROM part_sets) s
-CROSS JOIN (SELECT DISTINCT member FROM part_sets) m
-LEFT JOIN part_sets p ON p.set_name = s.set_name AND p.member = m.member""",
+    "SELECT DISTINCT set_name, member, 1 AS present FROM part_sets",
 )
 add(
     "score_incidence",

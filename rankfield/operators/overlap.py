@@ -19,6 +19,8 @@ from ..session import cut
 from .rank import number_rows
 from .sets import set_sizes
 
+# Mask words of one member joined in one task.
+WORDS_PER_TASK = 64
 WORD = 64
 JACCARD_BIN = 0.02
 # Default filters of the similarity network.
@@ -111,10 +113,25 @@ def shared_members(sets: DataFrame, numbered: DataFrame) -> DataFrame:
     """(i, j, inter) for pairs i <= j of set numbers with a common member; the
     diagonal holds the set sizes."""
     masks = _masks(sets, numbered)
-    left = masks.select("member", F.col("word").alias("wi"), F.col("mask").alias("mi"))
-    right = masks.select("member", F.col("word").alias("wj"), F.col("mask").alias("mj"))
+    # a member of very many sets is dealt over tasks: its left words by number, its right words to all
+    words = masks.groupBy("member").agg(
+        F.ceil(F.count(F.lit(1)) / WORDS_PER_TASK).cast("int").alias("_parts")
+    )
+    masks = masks.join(words, "member")
+    left = masks.select(
+        "member",
+        F.pmod("word", "_parts").cast("int").alias("_part"),
+        F.col("word").alias("wi"),
+        F.col("mask").alias("mi"),
+    )
+    right = masks.select(
+        "member",
+        F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"),
+        F.col("word").alias("wj"),
+        F.col("mask").alias("mj"),
+    )
     patterns = (
-        left.join(right, "member")
+        left.join(right, ["member", "_part"])
         .filter("wi <= wj")
         .groupBy("wi", "mi", "wj", "mj")
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -158,27 +175,17 @@ def pair_overlap(sets: DataFrame) -> DataFrame:
     )
 
 
-def _all_cells(numbered: DataFrame) -> DataFrame:
-    """Every cell (i, j) of the S x S result: each set's row expands to S."""
-    count = numbered.agg(F.count(F.lit(1)).alias("_s"))
-    return with_one_row(numbered.select(F.col("set_no").alias("i")), count).select(
-        "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_s") - 1)).alias("j")
-    )
-
-
 def overlap_matrix(sets: DataFrame) -> DataFrame:
-    """The full S x S matrix, diagonal and zero cells included, with
-    ``overlap_fraction`` = inter / size of the first set."""
+    """The cells of the S x S matrix whose sets share a member, both halves and
+    the diagonal, with ``overlap_fraction`` = inter / size of the first set.
+    Every other cell has inter, fraction and jaccard 0."""
     numbered = number_sets(sets)
     half = shared_members(sets, numbered)
     both = half.unionByName(
         half.filter("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "inter")
     )
-    cells = _all_cells(numbered).join(both, ["i", "j"], "left").withColumn(
-        "inter", F.coalesce("inter", F.lit(0).cast("long"))
-    )
     return (
-        _measures(_named(cells, numbered))
+        _measures(_named(both, numbered))
         .withColumn(
             "overlap_fraction",
             F.coalesce(F.try_divide(F.col("inter"), F.col("n_a")), F.lit(0.0)),
@@ -192,6 +199,7 @@ def intersection_size(sets: DataFrame) -> DataFrame:
 
 
 def union_size(sets: DataFrame) -> DataFrame:
+    """Of pairs sharing a member; of any other pair it is the sum of both sizes."""
     return overlap_matrix(sets).filter("a < b").select("a", "b", "union_size")
 
 
@@ -294,19 +302,8 @@ def co_member_pairs(sets: DataFrame) -> DataFrame:
 
 
 def incidence_matrix(sets: DataFrame) -> DataFrame:
-    """Long 0/1 matrix (set_name, member, present), zeros included: every member
-    row expands to one cell per set."""
-    numbered = number_sets(sets).select("set_name", "set_no")
-    count = numbered.agg(F.count(F.lit(1)).alias("_s"))
-    cells = with_one_row(sets.select("member").distinct(), count).select(
-        "member", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_s") - 1)).alias("set_no")
-    )
-    ones = sets.select("set_name", "member").distinct().withColumn("present", F.lit(1))
-    return (
-        cells.join(numbered, "set_no")
-        .join(ones, ["set_name", "member"], "left")
-        .select("set_name", "member", F.coalesce("present", F.lit(0)).alias("present"))
-    )
+    """(set_name, member, present) of the ones of the 0/1 matrix; cells without a row are 0."""
+    return sets.select("set_name", "member").distinct().withColumn("present", F.lit(1))
 
 
 def incidence_wide(sets: DataFrame, members: list[str]) -> DataFrame:
