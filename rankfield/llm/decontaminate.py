@@ -131,7 +131,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     suspects = candidates.select("key").distinct()
     held = stage(
-        _key(docs).join(suspects, "key", "left_semi").select("doc_id", "key", words(F.col("text")).alias("w")).distinct(),
+        _key(docs).join(suspects.hint("merge"), "key", "left_semi").select("doc_id", "key", words(F.col("text")).alias("w")).distinct(),
         "suspects",
     )
     place = candidates.alias("c")
@@ -185,7 +185,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text is contaminated; all columns stay as they are."""
     bad = contamination(docs, benchmark).filter("contaminated").select(F.col("key").alias("_bad")).distinct()
     keyed = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
-    return docs.withColumn("_key", keyed).join(bad, F.col("_key") == F.col("_bad"), "left_anti").select(*docs.columns)
+    return docs.withColumn("_key", keyed).join(bad.hint("merge"), F.col("_key") == F.col("_bad"), "left_anti").select(*docs.columns)
 
 
 SQL = rf"""
