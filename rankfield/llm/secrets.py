@@ -11,9 +11,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import sampled, stage
 
-SAMPLE = 20_000  # texts a model is trained on, at most: the smallest hashes of doc_id and text
+SAMPLE = 20_000  # texts a model is trained on, about: those of the smallest hashes
 TOKEN = 16  # characters of a token that the model judges, at least
 RATIO = 18.4  # log-likelihood ratio of a secret, at least: one in 10**8 tokens is a secret beforehand
 SMOOTHING = 4.0  # weight of the characters' own frequencies in every transition's
@@ -113,20 +113,18 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     match nothing are ordinary. Transitions are smoothed by the characters' frequencies; without either kind all ratios are 0.
     """
     text = F.coalesce("text", F.lit(""))
-    some = (
-        docs.select(text.alias("text"), F.xxhash64(F.col("doc_id"), text).alias("order"))
-        .withColumn("found", base_spans(F.col("text")))
-    )
+    some = sampled(docs.select(text.alias("text"), F.xxhash64(text).alias("key")), "key", sample)
+    # A text counts once, however often it is repeated.
+    some = some.groupBy("key").agg(F.min("text").alias("text")).select("text", base_spans(F.col("text")).alias("found"))
+    some = stage(some, "secret-sample")
     value = F.transform(
         "found",
         lambda s: F.when(s["kind"] == 0, _assign_value(s["m"])).when(s["kind"] == 1, F.substring(s["m"], F.lit(5), F.char_length(s["m"]))).otherwise(s["m"]),
     )
-    # Half of the sample for either kind; rows are chosen by their hash alone.
-    secret = some.filter(F.size("found") > 0).select(value.alias("tokens"), "order").orderBy("order").limit(sample // 2)
-    plain = some.filter((F.size("found") == 0) & (F.char_length("text") > 0)).select("order", "text")
-    plain = plain.orderBy("order").limit(sample // 2).select(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{4,}"), F.lit(0)).alias("tokens"))
+    secret = some.filter(F.size("found") > 0).select(value.alias("tokens"))
+    plain = some.filter(F.size("found") == 0).select(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{4,}"), F.lit(0)).alias("tokens"))
     counts = None
-    for label, part in ((1, secret.select("tokens")), (0, plain)):
+    for label, part in ((1, secret), (0, plain)):
         one = (
             part.select(F.explode("tokens").alias("token"))
             .filter(F.char_length("token") > 1)
@@ -157,8 +155,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     return [b - a for a, b in zip(*logs)]
 
 
-def find_secrets(docs: DataFrame, ratios: list[float]) -> DataFrame:
-    """``docs`` with ``found``: array of (start, kind, end, m), by start and kind. Kind 3 is the model's:
+def find_secrets(docs: DataFrame, ratios: list[float], name: str = "found") -> DataFrame:
+    """``docs`` with a column ``name``: array of (start, kind, end, m), by start and kind. Kind 3 is the model's:
     maximal tokens of at least 16 characters, letters and digits mixed, whose summed ratio reaches
     ``RATIO`` and that no fixed pattern's span overlaps. NULL texts have no spans."""
     text = F.coalesce("text", F.lit(""))
@@ -169,7 +167,7 @@ def find_secrets(docs: DataFrame, ratios: list[float]) -> DataFrame:
     start = docs.withColumn("_base", base_spans(text)).withColumn("_tokens", mixed)
     scored = start.join(F.broadcast(model))
     return scored.withColumn(
-        "found",
+        name,
         F.array_sort(
             F.concat(
                 "_base",
@@ -220,10 +218,10 @@ def redact(docs: DataFrame, sample: int = SAMPLE, mark: str = "<SECRET>") -> Dat
     ``n_chars``, where there is such a column, counted anew for changed texts. No row is dropped."""
     names = docs.columns
     ratios = train(docs.select("doc_id", "text"), sample)
-    found = find_secrets(docs, ratios)
+    found = find_secrets(docs, ratios, "_found")
     text = F.col("text")
     step = F.aggregate(
-        "found",
+        "_found",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.struct(
             F.greatest(a["at"], s["end"]).alias("at"),
@@ -233,10 +231,10 @@ def redact(docs: DataFrame, sample: int = SAMPLE, mark: str = "<SECRET>") -> Dat
         ),
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))),
     )
-    new = F.when(F.size("found") > 0, step).otherwise(text)
+    new = F.when(F.size("_found") > 0, step).otherwise(text)
     done = found.withColumn("_new", new)
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
-        length = F.when(F.size("found") > 0, F.char_length("_new").cast(kind)).otherwise(F.col("n_chars"))
+        length = F.when(F.size("_found") > 0, F.char_length("_new").cast(kind)).otherwise(F.col("n_chars"))
         done = done.withColumn("n_chars", length)
     return done.withColumn("text", F.col("_new")).select(*names)

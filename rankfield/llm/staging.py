@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -34,3 +35,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def sampled(df: DataFrame, key: str, size: int) -> DataFrame:
+    """About ``size`` rows of ``df``, all where there are fewer: those whose 64-bit hash ``key`` falls into a
+    share of all hashes. Needs a count only, sorts nothing and does not depend on the partitioning."""
+    parts = 1_000_000_007
+    n = df.count()
+    if n <= size:
+        return df
+    return df.filter(F.pmod(F.col(key), F.lit(parts)) < int(parts * size / n))

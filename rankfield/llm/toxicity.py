@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import sampled, stage
 from .wordhash import U, lower_table, mix, prefix_hash, range_hash, signed, slices, text_bytes, words
 
-SAMPLE = 20_000  # labelled documents a model is fitted on, at most; the smallest hashes of doc_id
+SAMPLE = 20_000  # labelled documents a model is fitted on, about: those of the smallest hashes of doc_id
 FEATURES = 4_096  # features of a model, at most
 PREFIX = 5  # bytes of a word beginning
 LEAST = 4  # labelled documents a feature must occur in
@@ -123,8 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Model from ``labels(doc_id, toxic)`` joined to ``docs(doc_id, text)``.
 
     Grades: 0 for rows labelled not toxic; toxic rows are 1, or 2 where they hold more marker features
-    (those at least half of whose labelled documents are toxic) than the median toxic row. At most
-    ``sample`` labelled rows are used, those of the smallest hashes. Rows without doc_id or label
+    (those at least half of whose labelled documents are toxic) than the median toxic row. About
+    ``sample`` labelled documents are used, those of the smallest hashes. Rows without doc_id or label
     teach nothing; a doc_id labelled twice is toxic if one label says so. With labels of one kind
     only, the model has no features and grades everything 0.
     """
@@ -132,9 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         labels.filter("doc_id is not null and toxic is not null")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
+        .withColumn("key", F.xxhash64("doc_id"))
     )
+    said = sampled(said, "key", sample).drop("key")
     taught = stage(docs.select("doc_id", "text").join(F.broadcast(said), "doc_id"), "toxic-sample")
     total = taught.agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
     all_n, all_bad = total.n, int(total.bad or 0)
