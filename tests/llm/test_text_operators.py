@@ -71,6 +71,33 @@ def test_near_duplicates_of_chains(spark):
     assert got == brute.near_classes(dict(chain))
 
 
+def test_near_duplicates_of_a_large_group(spark):
+    """Many different copies around the threshold: all links of the group count, none is made up."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for k in range(500):
+        w = list(base)
+        for _ in range(rng.randrange(12)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        texts.append((k, " ".join(w)))
+    got = {r.doc_id: r.class_id for r in near.near_duplicates(table(spark, texts)).collect()}
+    assert got == brute.near_classes(dict(texts))
+
+
+def test_set_sketches_do_not_rule_links_out():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 2**47, n).astype(np.uint64) for n in (20, 300, 3000)]
+    near_sets = [np.concatenate([s[: int(len(s) * 0.9)], rng.integers(0, 2**47, len(s) // 10).astype(np.uint64)]) for s in sets]
+    every = sets + near_sets
+    sketch = near.bins(np.repeat(np.arange(6), [len(s) for s in every]), np.concatenate(every), 6)
+    size = np.array([len(s) for s in every])
+    assert near.possible(sketch[:3], sketch[3:], size[:3], size[3:], 0.8).all()
+    assert not near.possible(sketch[[0, 1]], sketch[[1, 2]], size[[0, 1]], size[[1, 2]], 0.8).any()
+
+
 def test_repeated_bytes(spark, texts):
     want = brute.repeated_bytes(dict(texts))
     for crowded in (5000, 2):
