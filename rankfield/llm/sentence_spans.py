@@ -18,10 +18,9 @@ from .wordhash import U, lower_table, mix, powers, prefix_hash, range_hash, sign
 
 SENTENCES = 3  # of a span, at least
 WORDS = 15  # of a span, at least
-LONG = 20  # words; longer sentences are cut further
-CUT = 10  # one word in so many ends a part of a long sentence
+WINDOW = 8  # words; each run of so many holds the end of a sentence or of a part
 
-_ENDS, _COMMAS = b".!?\n", b",;:"
+_ENDS = b".!?\n"
 
 
 def _marks(signs: bytes) -> np.ndarray:
@@ -31,11 +30,11 @@ def _marks(signs: bytes) -> np.ndarray:
 
 
 def spans(column: pa.Array):
-    """Sentences and spans of texts, as a dict of arrays.
+    """Sentences (or their parts) and spans of texts, as a dict of arrays; spans by text, start and end.
 
     ``sentence``: number of each sentence's text; ``begin``: its first byte in its text (0 for a text's
     first; a sentence ends where the next one begins); ``words``: its words; ``first``: first sentence of each text; ``start``, ``end``:
-    the sentences of each span, end exclusive; ``h1``, ``h2``: its hashes; ``text``: its text; ``repeat``: whether
+    the sentences of each span, end exclusive; ``spans``: first span of each text; ``h1``, ``h2``: its hashes; ``text``: its text; ``repeat``: whether
     its text has an equal span earlier.
     """
     buf, at = text_bytes(column)
@@ -47,7 +46,7 @@ def spans(column: pa.Array):
     if not n:
         none = np.empty(0, np.int64)
         return dict(sentence=none, begin=none, words=none, first=np.zeros(len(at), np.int64), start=none, end=none,
-                    h1=none.view(U), h2=none.view(U), text=none, repeat=none.astype(bool), at=at)
+                    spans=np.zeros(len(at), np.int64), h1=none.view(U), h2=none.view(U), text=none, repeat=none.astype(bool), at=at)
 
     def marked(signs: bytes) -> np.ndarray:
         seen = np.concatenate([[0], np.cumsum(_marks(signs)[buf])])
@@ -57,13 +56,16 @@ def spans(column: pa.Array):
 
     opens = marked(_ENDS)
     opens[w_first[:-1][np.diff(w_first) > 0]] = True
-    head = np.flatnonzero(opens)
-    size = np.diff(np.append(head, n))
-    # A long sentence ends at its commas too, and behind words that their hash chooses: such cuts depend on
-    # nothing around them, so equal passages are cut alike.
-    chosen = np.zeros(n, bool)
-    chosen[1:] = h[:-1] % U(CUT) == 0
-    opens |= (marked(_COMMAS) | chosen) & np.repeat(size > LONG, size)
+    natural = np.append(opens, True)  # whether a sentence ends in front of a word
+    # A window of words without a sentence's end is cut behind its smallest hash. A cut depends on its window only, and a
+    # window that reaches over a sentence's bounds makes none of its own: equal passages and equal sentences are cut alike.
+    if n >= WINDOW:
+        key = np.where(natural[1:], U(0), h | U(1))
+        place = np.arange(n - WINDOW + 1)
+        inside = text_of[place] == text_of[place + WINDOW - 1]
+        least = place + np.lib.stride_tricks.sliding_window_view(key, WINDOW).argmin(axis=1)
+        least = least[inside]
+        opens[least[least + 1 < n] + 1] = True
     head = np.flatnonzero(opens)
     text = text_of[head]
     first = np.searchsorted(text, np.arange(len(at)))
@@ -74,7 +76,13 @@ def spans(column: pa.Array):
     number = np.arange(len(head))
     end = np.maximum(np.searchsorted(bounds, head + WORDS), number + SENTENCES)
     whole = end <= first[1:][text]
-    start, end, text_s = number[whole], end[whole], text[whole]
+    # The last words of repeated sentences may be too few for a span that starts there: one more ends with each sentence.
+    last = np.flatnonzero(natural[bounds[1:]]) + 1
+    back = np.minimum(np.searchsorted(bounds, bounds[last] - WORDS, "right") - 1, last - SENTENCES)
+    full = back >= first[:-1][text[last - 1]]
+    pair = np.unique(np.concatenate([number[whole] * (n + 1) + end[whole], back[full] * (n + 1) + last[full]]))
+    start, end = pair // (n + 1), pair % (n + 1)
+    text_s = text[start]
     out = []
     for salt in (U(0), U(0xA5A5A5A5A5A5A5A5)):
         up, down = powers(n + 1)
@@ -86,7 +94,7 @@ def spans(column: pa.Array):
     same = (text_s[order][1:] == text_s[order][:-1]) & (out[0][order][1:] == out[0][order][:-1])
     repeat[order[1:]] = same
     return dict(sentence=text, begin=begin, words=np.diff(bounds), first=first, start=start, end=end,
-                h1=out[0], h2=out[1], text=text_s, repeat=repeat, at=at)
+                spans=np.searchsorted(text_s, np.arange(len(at))), h1=out[0], h2=out[1], text=text_s, repeat=repeat, at=at)
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +102,7 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = spans(part.column("text"))
         own = ~s["repeat"]
         ids = np.asarray(part.column("doc_id"))
-        place = s["start"] - s["first"][s["text"]]
+        place = np.arange(len(own)) - s["spans"][s["text"]]
         yield pa.record_batch(
             {
                 "h1": signed(s["h1"][own]),
@@ -113,8 +121,7 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flagged = s["repeat"].copy()
         counts = np.asarray(places.value_lengths().fill_null(0))
         if counts.any():
-            sentence = s["first"][:-1].repeat(counts) + np.asarray(places.flatten())
-            flagged |= np.isin(s["start"], sentence)
+            flagged[s["spans"][:-1].repeat(counts) + np.asarray(places.flatten())] = True
         cover = np.zeros(m + 1, np.int64)
         np.add.at(cover, s["start"][flagged], 1)
         np.add.at(cover, s["end"][flagged], -1)
@@ -142,9 +149,10 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, n_removed, n_words_removed, text) of every row of ``docs(doc_id, text)``.
 
-    A sentence ends at a full stop, question or exclamation mark or line end between two words; sentences
-    of over 20 words also at commas and at words their hash chooses. A span starts at every sentence and
-    takes the fewest sentences that make 3 sentences and 15 words. Spans are equal if their words
+    A sentence ends at a full stop, question or exclamation mark or line end between two words. Each run of 8 words
+    without such an end is cut behind the word of the smallest hash, and the parts count as sentences. A span starts at
+    every part and takes the fewest parts that make 3 parts and 15 words; another one ends with every sentence. A passage
+    of over 50 words holds a span of its own wherever it stands. Spans are equal if their words
     are, case and punctuation aside; the first is the one of the smallest doc_id, then the earliest. Every sentence
     inside another one of a span's occurrences is removed together with what follows it up to the next
     sentence; ``text`` keeps the rest as it was.
@@ -153,17 +161,15 @@ def remove_repeated_spans(docs: DataFrame) -> DataFrame:
     count as one document and are not removed against each other; rows without doc_id lose only
     what they repeat themselves. Other columns are ignored.
 
-    A document sends each of its hashes once. A hash that many documents share is aggregated before it is
+    A document sends each of its hashes once; hashes are made twice instead of being stored. A hash that many documents share is aggregated before it is
     shuffled, and its rows are split over tasks where they are joined.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = stage(
-        docs.filter("doc_id is not null").mapInArrow(_hashes, "h1 long, h2 int, doc_id long, place int"), "spans"
-    )
+    table = docs.filter("doc_id is not null").mapInArrow(_hashes, "h1 long, h2 int, doc_id long, place int")
     shared = (
         table.groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-        .filter("first_id <> last_id")
+        .agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+        .filter("n > 1")
         .select("h1", "h2", "first_id")
     )
     repeats = table.join(shared, ["h1", "h2"]).filter("doc_id <> first_id").select("doc_id", "place")

@@ -156,6 +156,42 @@ def test_sentence_spans(spark, texts):
         assert rows[k].n_sentences == (len(parts) if brute.words(t) else 0)
 
 
+def test_sentence_spans_of_passages_of_51_words(spark):
+    """Without punctuation, and as four sentences, each between other words of the same sentence."""
+    rng = random.Random(13)
+
+    def some(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    docs = []
+    for k in range(400):
+        passage = some(51)
+        if k % 2:
+            passage = [w + ("." if i % 13 == 12 and i < 39 else "") for i, w in enumerate(passage + some(1))]
+        for _ in range(2):
+            docs.append((len(docs), " ".join(some(rng.randrange(8)) + passage + some(rng.randrange(8)))))
+    got = {r.doc_id: r for r in sentence_spans.remove_repeated_spans(table(spark, docs)).collect()}
+    assert not [k for k in range(1, len(docs), 2) if got[k].n_words_removed < 15]
+    assert all(got[k].text == t for k, t in docs[::2])
+
+
+def test_sentence_spans_of_whole_sentences(spark):
+    """Three repeated sentences go as a whole, whatever stands around them."""
+    rng = random.Random(17)
+
+    def sentence():
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(5, 25))) + ". "
+
+    docs = []
+    for _ in range(100):
+        same = sentence() + sentence() + sentence()
+        for _ in range(2):
+            docs.append((len(docs), (sentence(), same, sentence())))
+    rows = sentence_spans.remove_repeated_spans(table(spark, [(k, "".join(t)) for k, t in docs])).collect()
+    got = {r.doc_id: r.text for r in rows}
+    assert all(got[k] == "".join(t if k % 2 == 0 else t[::2]) for k, t in docs)
+
+
 def test_contamination(spark, texts):
     rng = random.Random(11)
     long = dict(texts)[12].split(" ")
