@@ -1,22 +1,23 @@
 """Secret scans: three fixed patterns, and two character Markov models, in DataFrame operations only.
 
-The first model is trained on strings that the patterns label as secrets, the second on the ordinary
-words of the same texts. A token is a secret where the log-likelihood ratio of the two exceeds a threshold.
+The first model is trained on strings that the patterns label as secrets, the second on all other tokens
+of a sample of texts. A token is a secret where the log-likelihood ratio of the two exceeds a threshold.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .staging import sampled, stage
 
-SAMPLE = 20_000  # texts a model is trained on, about: those of the smallest hashes
-TOKEN = 16  # characters of a token that the model judges, at least
+SAMPLE = 20_000  # secrets one model is trained on, and texts the other is, about: those of the smallest hashes
 RATIO = 18.4  # log-likelihood ratio of a secret, at least: one in 10**8 tokens is a secret beforehand
 SMOOTHING = 4.0  # weight of the characters' own frequencies in every transition's
+NOISE = 0.01  # share of ordinary transitions that may be any: bounds what one transition adds to a ratio
 KINDS = ("assign", "access", "hex", "markov")
 
 #: Fixed patterns of the contract.
@@ -25,16 +26,15 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGN_VALUE = 6
 
-_TOKENS = rf"[A-Za-z0-9+/_=-]{{{TOKEN},}}"
-_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-_OTHER = len(_ALPHABET)  # the class of any other character
-_STATES = len(_ALPHABET) + 1
+_TOKENS = "[A-Za-z0-9+/_=-]"
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
+_STATES = 128  # transitions are numbered by ASCII codes
 
 
-def _spans(text: Column, pattern: str, kind: int, value: Column | None = None) -> Column:
-    """Array of (start, kind, end, match) of the leftmost matches: the texts between them give the places."""
-    if value is None:
-        value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _spans(text: Column, pattern: str, kind: int, only: Column | None = None) -> Column:
+    """Array of (start, kind, end, match) of the leftmost matches, or of those in ``only``: the texts between them give
+    the places."""
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     steps = F.arrays_zip(F.transform(gaps, lambda g: F.char_length(g)).alias("gap"), value.alias("m"))
     return F.filter(
@@ -44,7 +44,7 @@ def _spans(text: Column, pattern: str, kind: int, value: Column | None = None) -
             lambda a, s: F.struct(
                 (a["at"] + s["gap"] + F.coalesce(F.char_length(s["m"]), F.lit(0))).alias("at"),
                 F.when(
-                    s["m"].isNotNull(),
+                    s["m"].isNotNull() if only is None else F.array_contains(only, s["m"]),
                     F.concat(
                         a["out"],
                         F.array(
@@ -87,100 +87,118 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(assign, access, hexes))
 
 
-def _codes(token: Column) -> Column:
-    """Place of every character of a string in the alphabet."""
-    return F.transform(
-        F.sequence(F.lit(1), F.char_length(token)),
-        lambda i: F.coalesce(F.nullif(F.instr(F.lit(_ALPHABET), F.substring(token, i, F.lit(1))), F.lit(0)) - 1, F.lit(_OTHER)),
-    )
-
-
 def _pairs(token: Column) -> Column:
-    """Transition numbers of a string: place of a character times the states, plus that of the next."""
-    codes = _codes(token)
-    return F.zip_with(
-        F.slice(codes, F.lit(1), F.char_length(token) - 1),
-        F.slice(codes, F.lit(2), F.char_length(token) - 1),
-        lambda a, b: a * _STATES + b,
+    """Transition numbers of an ASCII string: code of a character times the states, plus that of the next."""
+    codes = F.transform(F.split(token, ""), F.ascii)
+    steps = F.char_length(token) - 1
+    return F.zip_with(F.slice(codes, F.lit(1), steps), F.slice(codes, F.lit(2), steps), lambda a, b: a * _STATES + b)
+
+
+def _without_secrets(text: Column) -> Column:
+    """Texts without what the fixed patterns label: keys of assignments stay, their values go."""
+    for pattern, rest in ((ASSIGN[:-2] + f"{{{ASSIGN_VALUE},}})", "$1 "), (ACCESS, " "), (HEX, " ")):
+        text = F.regexp_replace(text, pattern, rest)
+    return text
+
+
+def _counts(tokens: DataFrame, texts: int) -> DataFrame:
+    """(pair, n) of the transitions of ``tokens(token, key)`` that at least so many (1 or 2) different keys hold."""
+    ends = F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    counts = (
+        tokens.filter(F.char_length("token") > 1)
+        .groupBy("token")
+        .agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        .select(F.explode(_pairs(F.col("token"))).alias("pair"), "n", "lo", "hi")
+        .groupBy("pair")
+        .agg(F.sum("n").alias("n"), *ends)
     )
+    return (counts if texts < 2 else counts.filter("lo <> hi")).select("pair", "n")
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     """Log-likelihood ratio of every transition (secret to ordinary), by transition number.
 
-    Labelled samples: what the fixed patterns match (the value of an assignment, an access key behind
-    its first four characters, a hexadecimal run) is secret; words of four or more letters in texts that
-    match nothing are ordinary. Transitions are smoothed by the characters' frequencies; without either kind all ratios are 0.
+    Secret are what the fixed patterns match in any text (the value of an assignment, an access key behind
+    its first four characters, a hexadecimal run): about ``sample`` different strings, all if there are fewer. Ordinary are
+    all other tokens, digits and signs included, of about ``sample`` different texts; a transition that one
+    text alone holds does not count there, as a secret's own text may not make it ordinary. Transitions are smoothed by the characters'
+    frequencies, ordinary ones by ``NOISE`` besides. Without either kind nothing can be judged: a warning is given, and all ratios are 0.
     """
     text = F.coalesce("text", F.lit(""))
-    some = sampled(docs.select(text.alias("text"), F.xxhash64(text).alias("key")), "key", sample)
-    # A text counts once, however often it is repeated.
-    some = some.groupBy("key").agg(F.min("text").alias("text")).select("text", base_spans(F.col("text")).alias("found"))
-    some = stage(some, "secret-sample")
+    keyed = docs.select(text.alias("text"), F.xxhash64(text).alias("key"))
     value = F.transform(
         "found",
         lambda s: F.when(s["kind"] == 0, _assign_value(s["m"])).when(s["kind"] == 1, F.substring(s["m"], F.lit(5), F.char_length(s["m"]))).otherwise(s["m"]),
     )
-    secret = some.filter(F.size("found") > 0).select(value.alias("tokens"))
-    plain = some.filter(F.size("found") == 0).select(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{4,}"), F.lit(0)).alias("tokens"))
-    counts = None
-    for label, part in ((1, secret), (0, plain)):
-        one = (
-            part.select(F.explode("tokens").alias("token"))
-            .filter(F.char_length("token") > 1)
-            .groupBy("token")
-            .agg(F.count("*").alias("n"))
-            .select(F.explode(_pairs(F.col("token"))).alias("pair"), "n")
-            .groupBy("pair")
-            .agg(F.sum("n").alias("n"))
-            .withColumn("label", F.lit(label))
-        )
-        counts = one if counts is None else counts.union(one)
+    labelled = docs.select(base_spans(text).alias("found")).filter(F.size("found") > 0).select(F.explode(value).alias("token"))
+    labelled = stage(labelled.distinct().withColumn("key", F.xxhash64("token")), "secret-strings")
+    # A text counts once, however often it is repeated.
+    some = sampled(keyed, "key", sample).groupBy("key").agg(F.min("text").alias("text"))
+    plain = some.select(
+        "key", F.explode(F.regexp_extract_all(_without_secrets(F.col("text")), F.lit(_TOKENS + "{2,}"), F.lit(0))).alias("token")
+    )
     n = [[0.0] * (_STATES * _STATES) for _ in range(2)]
-    for r in counts.collect():  # at most two values a transition
-        n[r["label"]][r["pair"]] = float(r["n"])
+    for label, part, texts in ((1, sampled(labelled, "key", sample), 1), (0, plain, 2)):
+        for r in _counts(part, texts).collect():  # at most one value a transition
+            n[label][r["pair"]] = float(r["n"])
     if not sum(n[0]) or not sum(n[1]):
+        kind = "secrets that the fixed patterns match" if sum(n[0]) else "ordinary tokens"
+        warnings.warn(f"no {kind} to train on: only the fixed patterns are scanned for", stacklevel=2)
         return [0.0] * (_STATES * _STATES)
+    letters = [ord(c) for c in _ALPHABET]
     logs = []
-    for k in range(2):
-        row = [sum(n[k][a * _STATES : (a + 1) * _STATES]) for a in range(_STATES)]
-        column = [sum(n[k][b::_STATES]) for b in range(_STATES)]
-        own = [(c + 0.5) / (sum(column) + 0.5 * _STATES) for c in column]
+    for k, noise in ((0, NOISE), (1, 0.0)):
+        row = {a: sum(n[k][a * _STATES : (a + 1) * _STATES]) for a in letters}
+        column = {b: sum(n[k][b::_STATES]) for b in letters}
+        total = sum(column.values())
+        own = {b: (column[b] + 0.5) / (total + 0.5 * len(letters)) for b in letters}
         logs.append(
-            [
-                math.log((n[k][p] + SMOOTHING * own[p % _STATES]) / (row[p // _STATES] + SMOOTHING))
-                for p in range(_STATES * _STATES)
-            ]
+            {
+                a * _STATES + b: math.log(
+                    (1 - noise) * (n[k][a * _STATES + b] + SMOOTHING * own[b]) / (row[a] + SMOOTHING) + noise / len(letters)
+                )
+                for a in letters
+                for b in letters
+            }
         )
-    return [b - a for a, b in zip(*logs)]
+    out = [0.0] * (_STATES * _STATES)
+    for p in logs[0]:
+        out[p] = logs[1][p] - logs[0][p]
+    return out
+
+
+def least_length(ratios: list[float]) -> int | None:
+    """Characters of the shortest token that can reach ``RATIO``, None if none can."""
+    most = max(ratios)
+    return 1 + math.ceil(RATIO / most) if most > 0 else None
 
 
 def find_secrets(docs: DataFrame, ratios: list[float], name: str = "found") -> DataFrame:
     """``docs`` with a column ``name``: array of (start, kind, end, m), by start and kind. Kind 3 is the model's:
-    maximal tokens of at least 16 characters, letters and digits mixed, whose summed ratio reaches
-    ``RATIO`` and that no fixed pattern's span overlaps. NULL texts have no spans."""
+    maximal tokens whose summed ratio reaches ``RATIO`` and that no fixed pattern's span overlaps. Every token is judged that is long enough
+    to reach it at all. NULL texts have no spans."""
     text = F.coalesce("text", F.lit(""))
+    least = least_length(ratios)
+    if least is None:
+        return docs.withColumn(name, base_spans(text))
     table = F.array(*[F.lit(x) for x in ratios])
     model = docs.sparkSession.range(1, numPartitions=1).select(table.alias("_ratios"))
-    tokens = _only_where(text, r"[A-Za-z0-9+/_=-]{16,}", _spans(text, _TOKENS, 3))
-    mixed = F.filter(tokens, lambda s: s["m"].rlike("[0-9]") & s["m"].rlike("[A-Za-z]"))
-    start = docs.withColumn("_base", base_spans(text)).withColumn("_tokens", mixed)
-    scored = start.join(F.broadcast(model))
-    return scored.withColumn(
-        name,
-        F.array_sort(
-            F.concat(
-                "_base",
-                F.filter(
-                    "_tokens",
-                    lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-                    & (
-                        F.aggregate(_pairs(t["m"]), F.lit(0.0), lambda s, p: s + F.get("_ratios", p)) >= RATIO
-                    ),
-                ),
-            )
-        ),
-    ).drop("_base", "_tokens", "_ratios")
+    pattern = f"{_TOKENS}{{{least},}}"
+    # Each different token of a text is judged once; places are looked for where one is a secret.
+    judged = F.filter(
+        F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))),
+        lambda t: F.aggregate(_pairs(t), F.lit(0.0), lambda s, p: s + F.get("_ratios", p)) >= RATIO,
+    )
+
+    def placed(secret: Column, base: Column) -> Column:
+        tokens = F.when(F.size(secret) > 0, _spans(text, pattern, 3, secret)).otherwise(F.array().cast(_NONE))
+        free = F.filter(tokens, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+        return F.array_sort(F.concat(base, free))
+
+    # As a lambda's argument both are computed once a text.
+    both = F.array(F.struct(judged.alias("secret"), base_spans(text).alias("base")))
+    found = F.element_at(F.transform(both, lambda x: placed(x["secret"], x["base"])), 1)
+    return docs.join(F.broadcast(model)).withColumn(name, found).drop("_ratios")
 
 
 def _listed(found: Column) -> Column:

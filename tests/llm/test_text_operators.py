@@ -242,6 +242,52 @@ def test_secrets_without_samples(spark):
     assert [r.spans for r in got] == ["", ""]
 
 
+BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def test_secrets_rare_in_a_corpus_teach(spark):
+    """The labelled strings are sampled, not the texts: few secrets among more texts than the sample still count."""
+    rng = random.Random(19)
+    texts = [prose(rng, 20, stop=False) for _ in range(3000)]
+    for k in range(5):
+        texts[600 * k] += " password=" + "".join(rng.choice(BASE62) for _ in range(60))
+    ratios = secrets.train(table(spark, list(enumerate(texts))), sample=10)
+    assert any(ratios)
+    with pytest.warns(UserWarning, match="no secrets"):
+        assert not any(secrets.train(table(spark, [(1, "some words"), (2, "other words")])))
+
+
+@pytest.fixture(scope="module")
+def identifiers(spark):
+    """(documents, number of the first one to judge): ordinary identifiers and labelled secrets to learn from."""
+    rng = random.Random(23)
+    docs = []
+    for _ in range(1500):
+        day = f"20{rng.randrange(10, 30)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}"
+        name = rng.choice(["user_id", "order_no", "run", "log_file"])
+        hour = f"{rng.randrange(24):02}-{rng.randrange(60):02}-{rng.randrange(60):02}"
+        docs.append(
+            f"{prose(rng, 15, stop=False)} {day} {name}_{day.replace('-', '')} {day}T{hour} "
+            f"/var/log/{name}/{rng.randrange(10**6)} {rng.randrange(10**12)}"
+        )
+    docs += ["password=" + "".join(rng.choice(BASE62) for _ in range(40)) for _ in range(500)]
+    return docs
+
+
+def test_secrets_leave_ordinary_identifiers(spark, identifiers):
+    clean = ["user_id_20240115", "2024-01-15T10-22-33", "/var/log/user_id/20240115", "order_no_20191231"]
+    docs = list(enumerate([f"the {t} ing" for t in clean] + identifiers))
+    got = {r.doc_id: r.spans for r in secrets.secret_spans(table(spark, docs)).collect()}
+    assert [got[k] for k in range(len(clean))] == [""] * len(clean)
+
+
+def test_secrets_of_letters_only_and_short_ones(spark, identifiers):
+    planted = ["xKqvQZmWzjRtBbnL", "QzXvKjWqPfGhYbNmRtLc", "q7ZxK2vW9j"]
+    docs = list(enumerate([f"the {t} ing" for t in planted] + identifiers))
+    got = {r.doc_id: r.spans for r in secrets.secret_spans(table(spark, docs)).collect()}
+    assert [got[k] for k in range(len(planted))] == [f"markov:4:{4 + len(t)}" for t in planted]
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op3_top_k", "op10_tool_calls"}))
 def test_empty_tables(spark, tmp_path, name):
     import pyarrow.parquet as pq
