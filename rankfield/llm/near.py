@@ -1,6 +1,6 @@
 """MinHash near-dedup with ProbMinHash.
 
-Every distinct text gets a ProbMinHash sketch of its weighted word shingles: each shingle is a
+Every distinct text gets a ProbMinHash sketch of its word shingles, all of one weight as in the links: each shingle is a
 Poisson process whose rate is its weight, each arrival falls into one register, and a register keeps
 the shingle that arrived first. Two sketches agree in a register with the probability Jaccard
 similarity of the texts. Runs of registers are band keys; texts sharing a band key are candidates and
@@ -32,8 +32,9 @@ _STEP = 0xD1B54A32D192ED03
 
 
 def weights(count: np.ndarray) -> np.ndarray:
-    """Weight of a shingle from its occurrences in the text."""
-    return 1 + np.log(count)
+    """Weights of shingles by their occurrences in a text: equal, as links compare sets. A repeated passage of more weight
+    would lower the sketches' similarity below that of the sets."""
+    return np.ones(len(count))
 
 
 def distinct_shingles(who: np.ndarray, what: np.ndarray):

@@ -85,6 +85,19 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == brute.near_classes(dict(texts))
 
 
+def test_near_duplicates_with_a_repeated_passage(spark):
+    """A passage that one of two texts repeats a thousand times does not hide the link of their sets."""
+    rng = random.Random(29)
+    texts = []
+    for k in range(40):
+        same = " ".join(f"w{rng.randrange(10**6)}" for _ in range(180))
+        footer = " ".join(f"x{rng.randrange(10**6)}" for _ in range(30))
+        texts += [(2 * k, same), (2 * k + 1, same + f" {footer}" * 1000)]
+    assert len(brute.shingle_set(texts[0][1])) >= 0.8 * len(brute.shingle_set(texts[1][1]))
+    got = {r.doc_id: r.class_id for r in near.near_duplicates(table(spark, texts)).collect()}
+    assert got == {k: k - k % 2 for k, _ in texts}
+
+
 def test_set_sketches_do_not_rule_links_out():
     import numpy as np
 
