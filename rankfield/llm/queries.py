@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, near, packing, runlength_index, secrets, sentence_spans, topk, toxicity
+from . import (
+    chat,
+    curriculum,
+    decontaminate,
+    langid,
+    near,
+    packing,
+    periods,
+    runlength_index,
+    secrets,
+    sentence_spans,
+    token_links,
+    topk,
+    toxicity,
+)
 from .staging import documents
 
 
@@ -60,6 +74,18 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link_tool_calls(calls, results, chat.TOOLS)
 
 
+def op11_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(periods.periodic_runs(documents(spark, sf_dir), periods.periodic_tail))
+
+
+def op12_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links.digests(token_links.token_links(documents(spark, sf_dir)))
+
+
+def op13_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.taken_words(curriculum.mix(documents(spark, sf_dir))).drop("first_position")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_near_dedup,
         op9_language,
         op10_tool_calls,
+        op11_periods,
+        op12_token_links,
+        op13_curriculum,
     )
 }
 
@@ -80,4 +109,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": decontaminate.SQL,
     "op3_top_k": topk.SQL,
     "op10_tool_calls": chat.SQL,
+    "op13_curriculum": curriculum.SQL,
 }
