@@ -8,6 +8,7 @@ counts up. Keys are compared, so a pair the hash was not built for cannot take a
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -27,6 +28,7 @@ SHARD_PAIRS = 16_384  # of a part of the hash, about
 HELD_PAIRS = 4_000_000  # up to so many, hash and counts (72 MB) are broadcast; beyond, pairs meet their counts in a join
 FAN_IN = 16  # vectors that one task of the sum reads, for each part of the hash
 FLUSH_PAIRS = 1_000_000
+CACHED_CHUNKS = 300_000  # of a Python worker: about 100 MB
 
 
 def _path(name: str) -> str:
@@ -47,7 +49,7 @@ def _byte_letters() -> dict[str, int]:
 
 
 class ByteLevel:
-    """The byte-level vocabulary; a blank goes in front of each text."""
+    """The byte-level vocabulary."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -63,11 +65,11 @@ class ByteLevel:
                 self.bytes[number] = bytes(letters[c] for c in word)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class Pieces:
-    """The piece vocabulary, which puts the blank in front by itself."""
+    """The piece vocabulary, which puts a blank in front of a text by itself."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -101,19 +103,82 @@ def _pair(path_a: str | None, path_b: str | None) -> Pair:
     return in_worker(f"pair {at}", build)
 
 
+_BLANK_AFTER_SPACE = re.compile(r"\s ")
+_CUT = re.compile(r"(?<=\S)(?= )")
+
+
+def chunks(text: str) -> list[str]:
+    """A blank and ``text``, cut in front of every blank that follows another character than white space. Both
+    vocabularies cut there: the byte-level one's words begin with their blank, and no piece holds a blank behind another
+    character. So chunks are encoded one by one, and equal chunks alike."""
+    if text[:1] == " " or _BLANK_AFTER_SPACE.search(text):
+        return _CUT.split(" " + text)
+    return [" " + w for w in text.split(" ")]
+
+
+class Encoder:
+    """Ids of chunks by both vocabularies, kept by chunk."""
+
+    def __init__(self, pair: Pair):
+        self.pair = pair
+        self.lead = len(pair.b.encode(["a"])[0])  # ids of a letter in front of a chunk: no blank is added to the chunk then
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.good = np.empty(0, bool)
+        # of each side: ids of every chunk, and the ids one after the other
+        self.sides = [(np.empty(0, np.int64), np.empty(0, "<u4")) for _ in range(2)]
+
+    def _learn(self, new: list[str]) -> None:
+        a, b = self.pair.a, self.pair.b
+        ids_a = a.encode(new)
+        ids_b = [x[self.lead :] for x in b.encode(["a" + w for w in new])]
+        good = []
+        for w, x, y in zip(new, ids_a, ids_b):
+            raw = w.encode()
+            good.append(b"".join([a.bytes[i] for i in x]) == raw and b"".join([b.bytes[i] for i in y]) == raw)
+            self.number[w] = len(self.number)
+        self.good = np.append(self.good, np.array(good, bool))
+        for k, got in enumerate((ids_a, ids_b)):
+            size, ids = self.sides[k]
+            more = np.fromiter((i for x in got for i in x), "<u4")
+            self.sides[k] = np.append(size, [len(x) for x in got]).astype(np.int64), np.append(ids, more)
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both vocabularies for every text, none where the bytes differ."""
+        cut = [chunks(t) if t else [] for t in texts]
+        if len(self.number) > CACHED_CHUNKS:
+            self.forget()
+        new = list({w: None for words in cut for w in words if w not in self.number})
+        if new:
+            self._learn(new)
+        number = self.number
+        word = np.array([number[w] for words in cut for w in words], np.int64)
+        first = np.concatenate([[0], np.cumsum([len(words) for words in cut])])
+        sides = []
+        for size, ids in self.sides:
+            start, n = np.cumsum(size) - size, size[word]
+            bound = np.concatenate([[0], np.cumsum(n)])
+            take = np.arange(bound[-1]) + np.repeat(start[word] - bound[:-1], n)
+            sides.append((ids[take], bound[first]))
+        wrong = np.concatenate([[0], np.cumsum(~self.good[word])])
+        usable = wrong[first[1:]] == wrong[first[:-1]]
+        none = np.empty(0, "<u4")
+        (ids_a, at_a), (ids_b, at_b) = sides
+        return [
+            (ids_a[at_a[k] : at_a[k + 1]], ids_b[at_b[k] : at_b[k + 1]]) if usable[k] else (none, none)
+            for k in range(len(texts))
+        ]
+
+
 def _encode(path_a: str | None, path_b: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, _, _ = _pair(path_a, path_b)
-        for part in slices(batches, "text", 1 << 19):
-            texts = part.column("text").to_pylist()
-            some = [k for k, t in enumerate(texts) if t]
-            known = [texts[k] for k in some]
-            out_a, out_b = [b""] * len(texts), [b""] * len(texts)
-            for k, text, ids_a, ids_b in zip(some, known, a.encode(known), b.encode(known)):
-                raw = b" " + text.encode()
-                if b"".join([a.bytes[i] for i in ids_a]) == raw and b"".join([b.bytes[i] for i in ids_b]) == raw:
-                    out_a[k], out_b[k] = np.array(ids_a, "<u4").tobytes(), np.array(ids_b, "<u4").tobytes()
-            yield pa.record_batch({"doc_id": part.column("doc_id"), "a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
+        encoder = in_worker(f"pair encoder {path_a} {path_b}", lambda: Encoder(_pair(path_a, path_b)))
+        for part in slices(batches, "text", 1 << 20):
+            got = encoder.encode(part.column("text").to_pylist())
+            a, b = (pa.array([x[side].tobytes() for x in got], pa.binary()) for side in (0, 1))
+            yield pa.record_batch({"doc_id": part.column("doc_id"), "a": a, "b": b})
 
     return run
 
@@ -147,25 +212,31 @@ def align(part: pa.RecordBatch, pair: Pair) -> Links:
     places the tokens of all documents; each stretch between two neighbouring ends, of either side, is one link."""
     a, first_a = _ids(part.column("a"))
     b, first_b = _ids(part.column("b"))
-    end_a, end_b = np.cumsum(pair.size_a[a]), np.cumsum(pair.size_b[b])
-    ends = np.intersect1d(end_a, end_b, assume_unique=True)
-    every = np.union1d(end_a, end_b)
-    link_a, link_b = np.searchsorted(end_a, every), np.searchsorted(end_b, every)
+    size_a = pair.size_a[a]
+    n_bytes = int(size_a.sum())
+    marks = np.zeros((2, n_bytes + 1), bool)
+    marks[0, np.cumsum(size_a)] = True
+    marks[1, np.cumsum(pair.size_b[b])] = True
+    every = np.flatnonzero(marks[0] | marks[1])
+    ends_a, ends_b = marks[0, every], marks[1, every]
+    # tokens that end before each stretch does
+    link_a, link_b = np.cumsum(ends_a) - ends_a, np.cumsum(ends_b) - ends_b
+    both = ends_a & ends_b
+    group = np.cumsum(both) - both
     doc_of_a = np.repeat(np.arange(part.num_rows), np.diff(first_a))
-    group_a, group_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
-    group_doc = np.empty(len(ends), np.int64)
-    group_doc[group_a] = doc_of_a
-    return Links(a, b, first_a, first_b, group_a, group_b, group_doc, doc_of_a[link_a], a[link_a] * len(pair.size_b) + b[link_b])
+    doc = doc_of_a[link_a]
+    return Links(a, b, first_a, first_b, group[ends_a], group[ends_b], doc[both], doc, a[link_a] * len(pair.size_b) + b[link_b])
 
 
 def _distinct_links(links: Links) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, pair, links) of the different pairs of each document."""
-    order = np.lexsort((links.key, links.doc))
-    doc, key = links.doc[order], links.key[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
+    kinds, kind = np.unique(links.key, return_inverse=True)
+    both = np.sort(links.doc * max(len(kinds), 1) + kind)
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
     at = np.flatnonzero(new)
-    return doc[at], key[at], np.diff(np.append(at, len(doc)))
+    doc, kind = np.divmod(both[at], max(len(kinds), 1))
+    return doc, kinds[kind], np.diff(np.append(at, len(both)))
 
 
 def _id_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,35 +406,44 @@ def _sum(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [head["shard"]], "node": [head["node"]], "counts": [total.tobytes()]})
 
 
-def _decimals(size: int) -> list[str]:
-    return [f"{k}{sep}" for sep in ",|;" for k in range(size)]
+def _decimals(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and lengths of every id's decimal with ',', '|', ';' or nothing behind it."""
+    texts = [f"{k}{sep}".encode() for sep in (",", "|", ";", "") for k in range(size)]
+    length = np.array([len(t) for t in texts])
+    return np.array(texts).view(np.uint8).reshape(len(texts), -1), length
 
 
-def _groups_text(links: Links, n: int, names: list[str], size: int) -> list[str]:
+def _groups_text(links: Links, n: int, size: int) -> pa.Array:
     """``a1,a2|b1;a3|b2,b3`` of every document."""
-    group = np.concatenate([links.group_a, links.group_b])
-    side = np.repeat([0, 1], [len(links.a), len(links.b)])
-    order = np.argsort(group * 2 + side, kind="stable")
-    group, side = group[order], side[order]
-    ids = np.concatenate([links.a, links.b])[order]
-    sep = np.zeros(len(ids), np.int64)
-    last = np.ones(len(ids), bool)
-    last[:-1] = (group[1:] != group[:-1]) | (side[1:] != side[:-1])
-    sep[last] = np.where(side[last] == 0, 1, 2)
-    where = (sep * size + ids).tolist()
-    bound = np.searchsorted(links.group_doc[group], np.arange(n + 1)) if len(ids) else np.zeros(n + 1, int)
-    return ["".join([names[x] for x in where[bound[k] : bound[k + 1]]])[:-1] for k in range(n)]
+    table, length = in_worker(f"decimals {size}", lambda: _decimals(size))
+    groups = len(links.group_doc)
+    in_a, in_b = np.bincount(links.group_a, minlength=groups), np.bincount(links.group_b, minlength=groups)
+    # a group's first ids, then its second ones
+    at_a = np.arange(len(links.a)) + (np.cumsum(in_b) - in_b)[links.group_a]
+    at_b = np.arange(len(links.b)) + np.cumsum(in_a)[links.group_b]
+    what = np.empty(len(links.a) + len(links.b), np.int64)
+    what[at_a], what[at_b] = links.a, links.b
+    last = np.cumsum(in_a + in_b)  # behind each group
+    if groups:
+        what[last - 1] += 2 * size
+        what[last - in_b - 1] += size
+        closing = np.append(links.group_doc[1:] != links.group_doc[:-1], True)
+        what[last[closing] - 1] += size
+    sizes = length[what]
+    flat = table[what][np.arange(table.shape[1]) < sizes[:, None]]
+    bytes_upto = np.concatenate([[0], np.cumsum(sizes)])
+    tokens_upto = links.first_a + links.first_b
+    offsets = bytes_upto[tokens_upto].astype(np.int64)
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(flat.tobytes()))
 
 
 def _shape(links: Links, n: int, pair: Pair) -> dict[str, pa.Array]:
-    size = max(len(pair.size_a), len(pair.size_b))
-    names = in_worker(f"decimals {size}", lambda: _decimals(size))
     return {
         "n_a": pa.array(np.diff(links.first_a)),
         "n_b": pa.array(np.diff(links.first_b)),
         "n_groups": pa.array(np.bincount(links.group_doc, minlength=n)),
         "n_links": pa.array(np.bincount(links.doc, minlength=n)),
-        "groups": pa.array(_groups_text(links, n, names, size), pa.string()),
+        "groups": _groups_text(links, n, max(len(pair.size_a), len(pair.size_b))).cast(pa.string()),
     }
 
 
