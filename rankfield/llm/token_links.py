@@ -7,6 +7,7 @@ counts up. Keys are compared, so a pair the hash was not built for cannot take a
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -131,19 +132,25 @@ class Encoder:
         self.sides = [(np.empty(0, np.int64), np.empty(0, "<u4")) for _ in range(2)]
 
     def _learn(self, new: list[str]) -> None:
-        a, b = self.pair.a, self.pair.b
-        ids_a = a.encode(new)
+        a, b, size_a, size_b = self.pair
+        # The first vocabulary gives every byte back and cuts in front of a blank, but not one behind white space: all
+        # chunks but those that end with it are encoded as one text.
+        tails = [w for w in new if w[-1].isspace()]
+        new = [w for w in new if not w[-1].isspace()] + tails
+        raw = [w.encode() for w in new]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        flat_a = np.array([i for x in a.encode(["".join(new[: len(new) - len(tails)]), *tails]) for i in x], "<u4")
+        at = np.searchsorted(np.cumsum(size_a[flat_a]), np.cumsum(size)) + 1
         ids_b = [x[self.lead :] for x in b.encode(["a" + w for w in new])]
-        good = []
-        for w, x, y in zip(new, ids_a, ids_b):
-            raw = w.encode()
-            good.append(b"".join([a.bytes[i] for i in x]) == raw and b"".join([b.bytes[i] for i in y]) == raw)
-            self.number[w] = len(self.number)
-        self.good = np.append(self.good, np.array(good, bool))
-        for k, got in enumerate((ids_a, ids_b)):
-            size, ids = self.sides[k]
-            more = np.fromiter((i for x in got for i in x), "<u4")
-            self.sides[k] = np.append(size, [len(x) for x in got]).astype(np.int64), np.append(ids, more)
+        n_b = np.fromiter(map(len, ids_b), np.int64, len(ids_b))
+        flat_b = np.fromiter(itertools.chain.from_iterable(ids_b), "<u4", int(n_b.sum()))
+        good = np.bincount(np.repeat(np.arange(len(new)), n_b), size_b[flat_b], len(new)) == size
+        if not good.all() or b"".join([b.bytes[i] for i in flat_b.tolist()]) != b"".join(raw):
+            good = np.array([b"".join([b.bytes[i] for i in x]) == w for x, w in zip(ids_b, raw)], bool)
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        self.good = np.append(self.good, good)
+        for k, (n, ids) in enumerate(((np.diff(at, prepend=0), flat_a), (n_b, flat_b))):
+            self.sides[k] = np.append(self.sides[k][0], n), np.append(self.sides[k][1], ids)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of both vocabularies for every text, none where the bytes differ."""
