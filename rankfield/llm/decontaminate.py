@@ -183,9 +183,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text is contaminated; all columns stay as they are."""
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("key").alias("_bad")).distinct()
+    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("key").alias("bad")).distinct()
+    row = F.struct("*").alias("row")  # so that no column of the input clashes
     keyed = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
-    return docs.withColumn("_key", keyed).join(bad.hint("merge"), F.col("_key") == F.col("_bad"), "left_anti").select(*docs.columns)
+    rows = docs.select(row, keyed.alias("key"))
+    return rows.join(bad.hint("merge"), F.col("key") == F.col("bad"), "left_anti").select("row.*")
 
 
 SQL = rf"""

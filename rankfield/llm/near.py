@@ -265,8 +265,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame
     )
 
 
+def _one_row_each(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` with one row per doc_id, that of its smallest text. Ids are counted without their texts;
+    only texts of repeated ids are grouped."""
+    counted = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    twice = stage(counted, "near-repeated-ids")
+    if twice.isEmpty():
+        return docs
+    smallest = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return docs.join(twice, "doc_id", "left_anti").unionByName(smallest)
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, rep_id, class_id, n_links) for every row of ``docs(doc_id, text, ...)``.
+    """(doc_id, rep_id, class_id, n_links) for every doc_id of ``docs(doc_id, text, ...)``.
 
     Texts of the same words (case and punctuation aside) share ``rep_id``, the smallest doc_id among
     them. ``class_id`` is the smallest doc_id of the group of texts joined by links, a link being a
@@ -282,7 +293,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     two go by a sketch of the sets first, then by the sets. No pair within a component is formed
     for its own sake, and none that shares a band is given up.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    docs = _one_row_each(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null"))
     rows = stage(
         docs.mapInArrow(
             _sketches, "doc_id long, h1 long, h2 long, n_words long, bands array<long>, n_shingles long, bins binary"
@@ -399,5 +410,6 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each near-duplicate class, that of the smallest doc_id; all columns
     stay as they are. Texts without words and rows without doc_id stay."""
-    dropped = near_duplicates(docs, similarity).filter("class_id <> doc_id").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped.hint("merge"), F.col("doc_id") == F.col("_dropped"), "left_anti").select(*docs.columns)
+    dropped = near_duplicates(docs, similarity).filter("class_id <> doc_id").select(F.col("doc_id").alias("dropped"))
+    rows = docs.select(F.struct("*").alias("row"))  # so that no column of the input clashes
+    return rows.join(dropped.hint("merge"), F.col("row.doc_id") == F.col("dropped"), "left_anti").select("row.*")

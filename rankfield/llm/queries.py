@@ -49,8 +49,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
-    return scored.withColumn("toxic", (F.col("p_toxic") >= toxicity.REJECT) & (F.col("n_features") > 0))
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).withColumn("toxic", (F.col("p_toxic") >= model.reject) & (F.col("n_features") > 0))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

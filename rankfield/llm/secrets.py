@@ -236,10 +236,11 @@ def redact(docs: DataFrame, sample: int = SAMPLE, mark: str = "<SECRET>") -> Dat
     ``n_chars``, where there is such a column, counted anew for changed texts. No row is dropped."""
     names = docs.columns
     ratios = train(docs.select("doc_id", "text"), sample)
-    found = find_secrets(docs, ratios, "_found")
+    rows = docs.select(F.struct("*").alias("row"), "text")  # so that no column of the input clashes
+    found = find_secrets(rows, ratios)
     text = F.col("text")
     step = F.aggregate(
-        "_found",
+        "found",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.struct(
             F.greatest(a["at"], s["end"]).alias("at"),
@@ -249,10 +250,9 @@ def redact(docs: DataFrame, sample: int = SAMPLE, mark: str = "<SECRET>") -> Dat
         ),
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))),
     )
-    new = F.when(F.size("_found") > 0, step).otherwise(text)
-    done = found.withColumn("_new", new)
+    done = found.select("row", (F.size("found") > 0).alias("hit"), F.when(F.size("found") > 0, step).otherwise(text).alias("new"))
+    changed = {"text": F.col("new")}
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
-        length = F.when(F.size("_found") > 0, F.char_length("_new").cast(kind)).otherwise(F.col("n_chars"))
-        done = done.withColumn("n_chars", length)
-    return done.withColumn("text", F.col("_new")).select(*names)
+        changed["n_chars"] = F.when(F.col("hit"), F.char_length("new").cast(kind)).otherwise(F.col("row.n_chars"))
+    return done.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in names])

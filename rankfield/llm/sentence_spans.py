@@ -102,13 +102,11 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = spans(part.column("text"))
         own = ~s["repeat"]
         ids = np.asarray(part.column("doc_id"))
-        place = np.arange(len(own)) - s["spans"][s["text"]]
         yield pa.record_batch(
             {
                 "h1": signed(s["h1"][own]),
                 "h2": pa.array((s["h2"][own] >> U(32)).astype(np.uint32).view(np.int32)),
                 "doc_id": pa.array(ids[s["text"][own]]),
-                "place": pa.array(place[own].astype(np.int32)),
             }
         )
 
@@ -117,11 +115,14 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         s = spans(part.column("text"))
         n, m = part.num_rows, len(s["begin"])
-        places = part.column("places")
+        repeats = part.column("repeats")
         flagged = s["repeat"].copy()
-        counts = np.asarray(places.value_lengths().fill_null(0))
+        counts = np.asarray(repeats.value_lengths().fill_null(0))
         if counts.any():
-            flagged[s["spans"][:-1].repeat(counts) + np.asarray(places.flatten())] = True
+            known = np.asarray(repeats.flatten()).view(U)
+            # a span's hash together with its row, so that rows do not take each other's repeats
+            row = mix(np.arange(n, dtype=U))
+            flagged |= np.isin(s["h1"] ^ row[s["text"]], known ^ np.repeat(row, counts))
         cover = np.zeros(m + 1, np.int64)
         np.add.at(cover, s["start"][flagged], 1)
         np.add.at(cover, s["end"][flagged], -1)
@@ -158,27 +159,29 @@ def remove_repeated_spans(docs: DataFrame) -> DataFrame:
     sentence; ``text`` keeps the rest as it was.
 
     NULL texts stay NULL; empty, wordless and very short texts have no spans and stay. Rows of one doc_id
-    count as one document and are not removed against each other; rows without doc_id lose only
+    count as one document, whether their texts are equal or not, and are not removed against each other: a span that
+    another document has first is removed from all of them. Rows without doc_id lose only
     what they repeat themselves. Other columns are ignored.
+    Spans are equal if 96 bits of their words' hashes are, 64 bits within a document.
 
     A document sends each of its hashes once; hashes are made twice instead of being stored. A hash that many documents share is aggregated before it is
     shuffled, and its rows are split over tasks where they are joined.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = docs.filter("doc_id is not null").mapInArrow(_hashes, "h1 long, h2 int, doc_id long, place int")
+    table = docs.filter("doc_id is not null").mapInArrow(_hashes, "h1 long, h2 int, doc_id long")
     shared = (
         table.groupBy("h1", "h2")
         .agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
         .filter("n > 1")
         .select("h1", "h2", "first_id")
     )
-    repeats = table.join(shared, ["h1", "h2"]).filter("doc_id <> first_id").select("doc_id", "place")
-    places = stage(
-        repeats.groupBy("doc_id").agg(F.collect_list("place").alias("places")).withColumnRenamed("doc_id", "_doc"),
+    found = table.join(shared, ["h1", "h2"]).filter("doc_id <> first_id").select("doc_id", "h1")
+    repeats = stage(
+        found.groupBy("doc_id").agg(F.collect_list("h1").alias("repeats")).withColumnRenamed("doc_id", "_doc"),
         "repeated-spans",
     )
     return (
-        docs.join(places.hint("merge"), F.col("doc_id") == F.col("_doc"), "left")
-        .select("doc_id", "text", "places")
+        docs.join(repeats.hint("merge"), F.col("doc_id") == F.col("_doc"), "left")
+        .select("doc_id", "text", "repeats")
         .mapInArrow(_clean, "doc_id long, n_sentences long, n_removed long, n_words_removed long, text string")
     )

@@ -6,6 +6,7 @@ A document's features are its distinct words and word beginnings.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,10 +19,10 @@ from .staging import sampled, stage
 from .wordhash import U, lower_table, mix, prefix_hash, range_hash, signed, slices, text_bytes, words
 
 SAMPLE = 20_000  # labelled documents a model is fitted on, about: those of the smallest hashes of doc_id
-FEATURES = 4_096  # features of a model, at most
 PREFIX = 5  # bytes of a word beginning
 LEAST = 4  # labelled documents a feature must occur in
-REJECT = 0.2  # a text is toxic from this probability on: a missed one costs more than a second look
+LOST = 0.005  # clean labelled documents, out of those held out in training, that may be taken for toxic
+REJECT = 0.5  # the probability from which a text is toxic, where no clean document is there to choose it
 EVIDENCE = 15.0  # likelihood ratio statistic of feature and label, at least
 
 
@@ -29,6 +30,7 @@ class Model(NamedTuple):
     features: np.ndarray  # sorted hashes
     weight: np.ndarray
     cuts: np.ndarray  # ascending; one fewer than grades
+    reject: float  # a text is toxic from this probability on
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     total = taught.agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
     all_n, all_bad = total.n, int(total.bad or 0)
     if not 0 < all_bad < all_n:
-        return Model(np.empty(0, U), np.empty(0), np.array([40.0, 41.0]))
+        return Model(np.empty(0, U), np.empty(0), np.array([40.0, 41.0]), REJECT)
     n, bad = F.col("n").cast("double"), F.col("bad").cast("double")
     chosen = (
         taught.select("toxic", "text")
@@ -149,9 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .filter(F.col("n") >= LEAST)
         .withColumn("g", _evidence(n, bad, all_n, all_bad))
         .filter(F.col("g") >= EVIDENCE)
-        .orderBy(F.desc("g"), "feature")
-        .limit(FEATURES)
-        .collect()
+        .select("feature", "n", "bad")
+        .collect()  # of ``sample`` documents, and with evidence each
     )
     chosen = sorted((r.feature % (1 << 64), 2 * r.bad >= r.n) for r in chosen)
     known = np.array([f for f, _ in chosen], U)
@@ -162,17 +163,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             who, what = _known(known, part.column("text"))
             ends = np.searchsorted(who, np.arange(part.num_rows + 1)).astype(np.int32)
             yield pa.record_batch(
-                {"toxic": part.column("toxic"), "at": pa.ListArray.from_arrays(pa.array(ends), pa.array(what))}
+                {"doc_id": part.column("doc_id").cast(pa.int64()), "toxic": part.column("toxic"), "at": pa.ListArray.from_arrays(pa.array(ends), pa.array(what))}
             )
 
-    data = taught.select("doc_id", "toxic", "text").mapInArrow(rows, "toxic int, at array<long>").collect()
+    data = taught.select("doc_id", "toxic", "text").mapInArrow(rows, "doc_id long, toxic int, at array<long>").collect()
     toxic = np.array([r.toxic > 0 for r in data])
     who = np.repeat(np.arange(len(data)), [len(r["at"]) for r in data])
     what = np.array([x for r in data for x in r["at"]], np.int64)
     marks = np.bincount(who, marker[what] if len(what) else None, len(data))
     grade = np.where(toxic, 1 + (marks > np.median(marks[toxic])), 0).astype(int)
     weight, cuts = fit_cumulative(who, what, grade, len(known))
-    return Model(known, weight, cuts)
+    held = np.array([zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in data])
+    return Model(known, weight, cuts, _reject(who, what, grade, len(known), held))
+
+
+def _reject(who: np.ndarray, what: np.ndarray, grade: np.ndarray, n_features: int, held: np.ndarray) -> float:
+    """The least of 0.05, 0.1, .. that takes at most ``LOST`` of the held-out clean documents for toxic, under a model
+    fitted on the others."""
+    if not (held & (grade == 0)).any() or not (grade[~held] > 0).any() or not (grade[~held] == 0).any():
+        return REJECT
+    number = np.cumsum(~held) - 1
+    own = ~held[who]
+    weight, cuts = fit_cumulative(number[who[own]], what[own], grade[~held], n_features)
+    score = np.bincount(who, weight[what], len(grade)) if len(who) else np.zeros(len(grade))
+    p = 1 / (1 + np.exp(-np.clip(score - cuts[0], -40, 40)))[held & (grade == 0)]
+    return next((t for t in np.arange(1, 20) / 20 if (p >= t).mean() <= LOST), 0.95)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -182,7 +197,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def run(batches):
-        known, weight, cuts = held.value
+        known, weight, cuts, _ = held.value
         for part in slices(batches, "text"):
             who, what = _known(known, part.column("text"))
             s = np.bincount(who, weight[what], part.num_rows) if len(who) else np.zeros(part.num_rows)
@@ -203,20 +218,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, reject: float = REJECT) -> DataFrame:
-    """``docs`` without the rows whose text has a probability of ``reject`` or more to be toxic; all
-    columns stay as they are. Texts without any feature of the model, NULL and empty ones included, stay."""
+def keep_clean(docs: DataFrame, labels: DataFrame, reject: float | None = None) -> DataFrame:
+    """``docs`` without the rows whose text has a probability of ``reject`` (the model's, if not given) or more to
+    be toxic; all columns stay as they are. Texts without any feature of the model, NULL and empty ones included, stay."""
     model = fit(docs, labels)
     held = docs.sparkSession.sparkContext.broadcast(tuple(model))
     names = docs.columns
 
     def run(batches):
-        known, weight, cuts = held.value
+        known, weight, cuts, chosen = held.value
+        least = chosen if reject is None else reject
         for part in slices(batches, "text"):
             who, what = _known(known, part.column("text"))
             s = np.bincount(who, weight[what], part.num_rows) if len(who) else np.zeros(part.num_rows)
             p = 1 / (1 + np.exp(-np.clip(s - cuts[0], -40, 40)))
             known_any = np.bincount(who, minlength=part.num_rows) > 0
-            yield part.filter(pa.array((p < reject) | ~known_any))
+            yield part.filter(pa.array((p < least) | ~known_any))
 
     return docs.select(*names).mapInArrow(run, docs.schema)

@@ -49,8 +49,8 @@ def test_toxicity_on_held_out_rows(spark):
     model = toxicity.fit(docs, labels.filter("doc_id % 5 <> 0"))
     assert (np.diff(model.cuts) > 0).all()
     rows = toxicity.score(docs, model).join(labels.filter("doc_id % 5 = 0"), "doc_id").collect()
-    toxic = [r.p_toxic >= toxicity.REJECT for r in rows if r.toxic]
-    clean = [r.p_toxic >= toxicity.REJECT for r in rows if not r.toxic]
+    toxic = [r.p_toxic >= model.reject for r in rows if r.toxic]
+    clean = [r.p_toxic >= model.reject for r in rows if not r.toxic]
     assert np.mean(toxic) > 0.9 and np.mean(clean) < 0.01
     assert all(0 <= r.severity <= len(model.cuts) for r in rows)
 
@@ -235,14 +235,15 @@ def test_pipeline(spark):
     docs = staging.documents(spark, MIDDLE)
     names, before = docs.columns, docs
     labels = spark.read.parquet(f"{MIDDLE}/labels.parquet")
-    scores = {r.doc_id: r.p_toxic for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    model = toxicity.fit(docs, labels)
+    scores = {r.doc_id: r.p_toxic for r in toxicity.score(docs, model).collect()}
     kept = []
     for name, step in corpus_pipeline.STAGES[:-1]:
         docs = staging.stage(step(spark, docs, MIDDLE), f"test-{name}")
         assert docs.columns == names
         kept.append({r.doc_id: r.text for r in docs.collect()})
     texts = {r.doc_id: r.text for r in before.collect()}
-    assert kept[0] == {k: t for k, t in texts.items() if scores[k] < toxicity.REJECT}
+    assert kept[0] == {k: t for k, t in texts.items() if scores[k] < model.reject}
     classes = near_classes_fast(kept[0])
     assert set(kept[1]) == {k for k in kept[0] if classes[k] == k}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{MIDDLE}/benchmark.parquet").collect()]
