@@ -171,14 +171,16 @@ def average_rank(value: str, by: Sequence[str]) -> Column:
 
 def spearman(features: DataFrame, labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation of average ranks; without ties this equals the
-    squared-difference formula. A window holds one feature's samples."""
+    squared-difference formula. Ranks give few different values: 12 decimals are
+    kept, so that equal correlations are ties whatever way they were summed. A
+    window holds one feature's samples."""
     key = [*by, "feature"]
     ranks = (
         _pairs(features, labels, by)
         .withColumn("value", average_rank("value", key))
         .withColumn("num_value", average_rank("num_value", key))
     )
-    return pearson_of_pairs(ranks, by)
+    return pearson_of_pairs(ranks, by).withColumn("score", F.round("score", 12))
 
 
 def pearson_of_pairs(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:

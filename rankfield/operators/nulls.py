@@ -1,10 +1,8 @@
 """Null distributions of the enrichment score.
 
-Each null exists as a relational plan (the definition, any size) and as a
-vectorised path for large permutation counts. The vectorised path broadcasts
-one list, one labelling block or one membership table and is taken only where
-its size was checked against the limits below; beyond them the relational plan
-does the whole job.
+Each null exists as a relational plan, the definition, and as array work in tasks
+of bounded size: random sets here, permuted labels in :mod:`.label_null`. Both
+take lists, sets and matrices of any size the same way.
 """
 
 from __future__ import annotations
@@ -13,39 +11,29 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numbers import POWER_GUARD, TIE_SCALE, WEIGHTED_GUARD
+from ..functions.numbers import POWER_GUARD, TIE_SCALE
 from .enrich import hits, pick_extreme, score_hits
+from .label_null import null_by_labels, weigh
 from .metrics import CLASS_METRICS, score_features
 from .permute import (
-    PERMS_PER_TASK,
+    RANK_BLOCK,
+    block_tasks,
     draw_tasks,
     permute_labels,
     permute_numeric_profile,
     random_ranks,
-    ranks_of_tasks,
     runs_of,
 )
 from .rank import list_sizes, rank_features
 
-# Largest list whose weights are broadcast (three columns, 48 MB of doubles).
-LIST_LIMIT = 2_000_000
-# Draws of one group of a list's tasks.
-DRAWS_PER_GROUP = 20_000_000
-# Largest membership table that is broadcast (16 MB of row numbers).
-MEMBER_LIMIT = 2_000_000
-# Most samples of a matrix whose rows travel to Python as arrays: an Arrow batch
-# of 10,000 such rows stays near 1 GB.
-SAMPLE_LIMIT = 10_000
-# Cells of one broadcast block of permuted labels (64 MB of doubles).
-LABEL_CELLS = 8_000_000
-# Cells of one dense block of matrix rows in a task.
-MATRIX_CELLS = 1 << 21
+__all__ = ["null_by_labels", "null_by_labels_plan", "null_by_sets", "null_by_sets_of_lists", "null_by_sets_plan", "null_of_lists"]
 
-FAST_CLASS_METRICS = tuple(CLASS_METRICS)
+# Draws of one group of a block's tasks.
+DRAWS_PER_GROUP = 1_000_000
 
 
 # ---- random sets -----------------------------------------------------------
@@ -58,14 +46,12 @@ def null_by_sets_plan(
     seed: int = 149,
     scheme: str = "weighted",
     by: Sequence[str] = (),
+    rank_block: int = RANK_BLOCK,
 ) -> DataFrame:
     """(by.., set_name, perm, es): drawn ranks joined to the list, then the same
     windows as the real score."""
-    return _plan_of_draws(random_ranks(sets, ranked, n, seed, by), ranked, n, scheme, by)
-
-
-def _plan_of_draws(drawn: DataFrame, ranked: DataFrame, n: int, scheme: str, by) -> DataFrame:
     by = list(by)
+    drawn = random_ranks(sets, ranked, n, seed, by, rank_block)
     scores = ranked.select(*by, "rank", "score")
     perms = F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("perm")
     sizes = list_sizes(ranked, by).select(*by, "n_features", perms)
@@ -73,27 +59,6 @@ def _plan_of_draws(drawn: DataFrame, ranked: DataFrame, n: int, scheme: str, by)
     return pick_extreme(scored, scheme, [*by, "perm"]).select(*by, "set_name", "perm", "es")
 
 
-def weigh(scores: np.ndarray, scheme: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numpy twin of the scheme columns: share of the total, hit, fixed flag."""
-    size = np.abs(scores)
-    if scheme == "classic":
-        w = np.ones_like(scores)
-    elif scheme == "weighted":
-        w = np.where(np.isfinite(size), size, WEIGHTED_GUARD)
-    elif scheme == "weighted_p2":
-        w = size * size
-        w = np.where(np.isfinite(w), w, POWER_GUARD)
-    elif scheme in ("weighted_p1.5", "weighted_p1.5_symmetric"):
-        w = size**1.5
-        w = np.where(np.isfinite(w), w, POWER_GUARD)
-        if scheme == "weighted_p1.5":
-            usable = np.isfinite(scores) & (scores >= 0)
-            return w, np.where(usable, w, 0.0), (~usable).astype(float)
-    else:
-        raise ValueError(f"unknown scheme {scheme!r}")
-    return w, w, np.zeros_like(scores)
-
-
 def extreme_of_rows(
     ranks: np.ndarray, weights: tuple[np.ndarray, np.ndarray, np.ndarray], total: int
 ) -> np.ndarray:
@@ -114,33 +79,30 @@ def extreme_of_rows(
 
 
 def null_by_sets(
-    ranked: DataFrame, sets: DataFrame, n: int, seed: int = 149, scheme: str = "weighted"
+    ranked: DataFrame,
+    sets: DataFrame,
+    n: int,
+    seed: int = 149,
+    scheme: str = "weighted",
+    rank_block: int = RANK_BLOCK,
 ) -> DataFrame:
     """(set_name, perm, es) of random sets on the given list; same draws and
     values as :func:`null_by_sets_plan`."""
-    sized = list_sizes(ranked).head()
-    if sized["n_features"] > LIST_LIMIT:
-        return null_by_sets_plan(ranked, sets, n, seed, scheme)
-    spark = ranked.sparkSession
-    # at most LIST_LIMIT doubles
-    scores = ranked.select("rank", F.col("score").cast("double").alias("score")).toPandas()
-    ordered = scores.sort_values("rank")["score"].to_numpy(dtype=float)
-    shared = spark.sparkContext.broadcast(weigh(ordered, scheme))
-    tasks = draw_tasks(sets, ranked, n).repartition("set_name", "perm_from")
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = shared.value
-        for batch in batches:
-            for at, perms, ranks, total in runs_of(batch, n, seed):
-                yield pd.DataFrame(
-                    {
-                        "set_name": batch["set_name"].iloc[at],
-                        "perm": perms.astype(np.int32),
-                        "es": extreme_of_rows(ranks, weights, total),
-                    }
-                )
+    return null_by_sets_of_lists(ranked, sets, n, (), seed, scheme, rank_block)
 
-    return tasks.mapInPandas(emit, "set_name string, perm int, es double")
+
+def _list_blocks(ranked: DataFrame, by: list[str], rank_block: int) -> DataFrame:
+    """(by.., block, scores): the scores of a block of ranks, in order."""
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        out = {k: [rows[k].iloc[0]] for k in (*by, "block")}
+        return pd.DataFrame(out | {"scores": [rows.sort_values("rank")["score"].to_numpy(float).tobytes()]})
+
+    rows = ranked.select(
+        *by, F.floor(F.col("rank") / rank_block).alias("block"), "rank", F.col("score").cast("double").alias("score")
+    )
+    schema = T.StructType([*[rows.schema[k] for k in (*by, "block")], T.StructField("scores", T.BinaryType())])
+    return rows.groupBy(*by, "block").applyInPandas(pack, schema)
 
 
 def null_by_sets_of_lists(
@@ -150,55 +112,117 @@ def null_by_sets_of_lists(
     by: Sequence[str],
     seed: int = 149,
     scheme: str = "weighted",
+    rank_block: int = RANK_BLOCK,
 ) -> DataFrame:
     """(by.., set_name, perm, es) for many lists in one job.
 
-    Drawing tasks of a list meet its scores in as many groups as its draws call
-    for, so one heavy list is not one task; lists above LIST_LIMIT go through
-    joins and windows. ``sets`` carries the ``by`` columns."""
+    Draws are split over blocks of ranks, and the tasks of a block meet its scores
+    in as many groups as its draws call for: neither a heavy list nor a large set
+    is one task, and no list travels through the driver. Lists of one block are
+    done there. On longer ones every block first reports its hits and weights;
+    with the sums of the blocks before it, it then finds its own extreme, and the
+    greatest of a draw's blocks is the score. ``sets`` carries the ``by`` columns."""
     by = list(by)
-    tasks = draw_tasks(sets, ranked, n, by)
-    fits = F.col("n_features") <= LIST_LIMIT
-    work = tasks.filter(fits).groupBy(*by).agg(
-        F.ceil(F.sum(F.col("size") * PERMS_PER_TASK) / DRAWS_PER_GROUP).alias("_groups")
-    )
+    key = [*by, "set_name"]
+    tasks = block_tasks(draw_tasks(sets, ranked, n, by), n, seed, by, rank_block)
+    work = tasks.groupBy(*by, "block").agg(F.ceil(F.sum("draws") / DRAWS_PER_GROUP).alias("_groups"))
     group = F.pmod(F.xxhash64("stream", "perm_from"), F.col("_groups")).alias("_group")
-    small = tasks.filter(fits).join(work, by).select(*tasks.columns, group)
-    used = small.select(*by, "_group").distinct()
-    lists = ranked.select(*by, "rank", F.col("score").cast("double").alias("score")).join(used, by)
-    schema = T.StructType(
-        [
-            *[tasks.schema[k] for k in (*by, "set_name")],
-            T.StructField("perm", T.IntegerType()),
-            T.StructField("es", T.DoubleType()),
-        ]
+    dealt = tasks.join(work, [*by, "block"]).select(*tasks.columns, group)
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_groups") - 1))
+    meet = [*by, "block", "_group"]
+    lists = _list_blocks(ranked, by, rank_block).join(
+        work.select(*by, "block", numbers.alias("_group")), [*by, "block"]
     )
-
-    def emit(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ordered = right.sort_values("rank")["score"].to_numpy(dtype=float)
-        weights = weigh(ordered, scheme)
-        parts = []
-        for at, perms, ranks, total in runs_of(left, n, seed):
-            out = {k: left[k].iloc[at] for k in (*by, "set_name")}
-            out["perm"] = perms.astype(np.int32)
-            out["es"] = extreme_of_rows(ranks, weights, total)
-            parts.append(pd.DataFrame(out))
-        return pd.concat(parts) if parts else pd.DataFrame(columns=schema.names)
-
     # the two sides share ancestors: fresh names keep their keys apart
-    right_keys = [f"_right_{k}" for k in (*by, "_group")]
-    lists = lists.select(
-        *[F.col(k).alias(r) for k, r in zip((*by, "_group"), right_keys)], "rank", "score"
+    lists = lists.select(*[F.col(k).alias(f"_right_{k}") for k in meet], "scores")
+
+    def with_scores(rows: DataFrame, work_of, columns: dict[str, T.DataType]) -> DataFrame:
+        def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            parts = []
+            if len(left) and len(right):
+                weights = weigh(np.frombuffer(right["scores"].iloc[0], float), scheme)
+                parts = list(work_of(left, weights))
+            return pd.concat(parts) if parts else pd.DataFrame(columns=schema.names)
+
+        schema = T.StructType(
+            [*[tasks.schema[k] for k in key], *[T.StructField(c, t) for c, t in columns.items()]]
+        )
+        left = rows.groupBy(*meet)
+        return left.cogroup(lists.groupBy(*[f"_right_{k}" for k in meet])).applyInPandas(run, schema)
+
+    def named(left: pd.DataFrame, at: int, perms: np.ndarray) -> dict:
+        return {k: left[k].iloc[at] for k in key} | {"perm": perms.astype(np.int32)}
+
+    def score(left: pd.DataFrame, weights) -> Iterator[pd.DataFrame]:
+        for at, perms, ranks, _ in runs_of(left, seed):
+            total = int(left["n_features"].iloc[at])
+            yield pd.DataFrame(named(left, at, perms) | {"es": extreme_of_rows(ranks, weights, total)})
+
+    whole = F.col("block_size") == F.col("n_features")
+    out = with_scores(dealt.filter(whole), score, {"perm": T.IntegerType(), "es": T.DoubleType()})
+    if list_sizes(ranked, by).filter(F.col("n_features") > rank_block).isEmpty():
+        return out
+
+    def report(left: pd.DataFrame, weights) -> Iterator[pd.DataFrame]:
+        for at, perms, ranks, _ in runs_of(left, seed):
+            sums = {c: w[ranks].sum(axis=1) for c, w in zip(("_share", "_hit", "_fixed"), weights)}
+            yield pd.DataFrame(
+                named(left, at, perms) | {"perm_from": left["perm_from"].iloc[at], "block": left["block"].iloc[at]} | sums
+            )
+
+    split = dealt.filter(~whole)
+    number, double = T.LongType(), T.DoubleType()
+    sums = with_scores(
+        split,
+        report,
+        {"perm": T.IntegerType(), "perm_from": tasks.schema["perm_from"].dataType, "block": number, "_share": double, "_hit": double, "_fixed": double},
     )
-    fast = (
-        small.groupBy(*by, "_group").cogroup(lists.groupBy(*right_keys)).applyInPandas(emit, schema)
+    draw = Window.partitionBy(*key, "perm")
+    ahead = draw.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(
+        *key,
+        "perm_from",
+        "block",
+        F.struct(
+            "perm",
+            F.sum("_share").over(draw).alias("share"),
+            F.coalesce(F.sum("_hit").over(ahead), F.lit(0.0)).alias("hit"),
+            F.coalesce(F.sum("_fixed").over(ahead), F.lit(0.0)).alias("fixed"),
+        ).alias("sums"),
     )
-    big = list_sizes(ranked, by).filter(~fits).select(*by)
-    if big.isEmpty():
-        return fast
-    drawn = ranks_of_tasks(tasks.filter(~fits), n, seed, by)
-    slow = _plan_of_draws(drawn, ranked.join(big, by, "left_semi"), n, scheme, by)
-    return fast.unionByName(slow)
+    unit = [*key, "perm_from", "block"]
+    told = split.join(sums.groupBy(*unit).agg(F.collect_list("sums").alias("sums")), unit)
+
+    def extreme(left: pd.DataFrame, weights) -> Iterator[pd.DataFrame]:
+        _, hit, fixed = weights
+        known = [{int(s["perm"]): s for s in row} for row in left["sums"]]
+        for at, perms, ranks, before in runs_of(left, seed):
+            for perm, hits, earlier in zip(perms, ranks, before):
+                s, n_hits = known[at][int(perm)], int(left["size"].iloc[at])
+                total, low = int(left["n_features"].iloc[at]), int(left["block"].iloc[at]) * rank_block
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    w = hit[hits] / s["share"] + fixed[hits] * POWER_GUARD
+                    reached = s["hit"] / s["share"] + s["fixed"] * POWER_GUARD + np.cumsum(w)
+                step = 1.0 / (total - n_hits) if total > n_hits else 0.0
+                missed = (hits + low - earlier - np.arange(len(hits))) * step
+                points = np.empty(2 * len(hits))
+                points[0::2], points[1::2] = reached - w - missed, reached - missed
+                level = np.floor(np.abs(points) * TIE_SCALE + 0.5)
+                best = int(np.argmax(level))
+                last = reached[-1] - (total - n_hits) * step if earlier + len(hits) == n_hits else np.nan
+                yield pd.DataFrame(
+                    named(left, at, np.array([perm]))
+                    | {"block": [low // rank_block], "es": [points[best]], "level": [level[best]], "last": [last]}
+                )
+
+    found = with_scores(told, extreme, {"perm": T.IntegerType(), "block": number, "es": double, "level": double, "last": double})
+    best = found.groupBy(*key, "perm").agg(
+        F.max_by("es", F.struct("level", -F.col("block"))).alias("es"), F.max("level").alias("level"),
+        F.min(F.when(~F.isnan("last"), F.col("last"))).alias("last"),
+    )
+    further = F.floor(F.abs("last") * TIE_SCALE + 0.5) > F.col("level")
+    best = best.select(*key, "perm", F.when(further, F.col("last")).otherwise(F.col("es")).alias("es"))
+    return out.unionByName(best)
 
 
 # ---- permuted labels -------------------------------------------------------
@@ -248,226 +272,3 @@ def null_by_labels_plan(
 def null_of_lists(lists: DataFrame, sets: DataFrame, scheme: str = "weighted") -> DataFrame:
     scored = hits(lists, sets, scheme, ["perm"])
     return pick_extreme(scored, scheme, ["perm"]).select("set_name", "perm", "es")
-
-
-def _matrix_rows(features: DataFrame, samples: DataFrame) -> DataFrame:
-    """One array row per feature; as long as there are samples."""
-    return (
-        features.filter(F.col("value").isNotNull())
-        .join(samples, "sample")
-        .groupBy("row_idx")
-        .agg(
-            F.collect_list(
-                F.struct(F.col("sample_no").alias("s"), F.col("value").alias("v"))
-            ).alias("cells")
-        )
-        .select("row_idx", F.col("cells.s").alias("at"), F.col("cells.v").alias("values"))
-    )
-
-
-def class_scores(
-    a: np.ndarray,
-    in_class0: np.ndarray,
-    metric: str,
-    fix_low: bool = True,
-    biased: bool = False,
-) -> np.ndarray:
-    """Scores of rows ``a`` (NaN = missing) under each column of 0/1 labels."""
-    have = ~np.isnan(a)
-    shift = np.nanmean(a, axis=1, keepdims=True)
-    x = np.where(have, a - shift, 0.0)
-    mask = have.astype(float)
-    n0 = mask @ in_class0
-    s0 = x @ in_class0
-    q0 = (x * x) @ in_class0
-    n1 = mask.sum(axis=1, keepdims=True) - n0
-    s1 = x.sum(axis=1, keepdims=True) - s0
-    q1 = (x * x).sum(axis=1, keepdims=True) - q0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        means, spreads = [], []
-        for cnt, s, q in ((n0, s0, q0), (n1, s1, q1)):
-            mean = s / cnt + shift
-            var = np.maximum(q - s * s / cnt, 0.0) / (cnt if biased else np.maximum(cnt - 1, 1))
-            sd = np.sqrt(np.where(cnt <= 1, 0.0, var))
-            if fix_low:
-                low = np.where(np.abs(mean) <= 1e-9, 0.2, 0.2 * np.abs(mean))
-                sd = np.maximum(sd, low)
-            means.append(mean)
-            spreads.append(sd)
-        (m0, m1), (d0, d1) = means, spreads
-        if metric == "signal_to_noise":
-            score = (m0 - m1) / (d0 + d1)
-        elif metric == "t_test":
-            less = 1 if biased else 0
-            score = (m0 - m1) / np.sqrt(d0 * d0 / (n0 - less) + d1 * d1 / (n1 - less))
-            score = np.where(np.minimum(n0, n1) <= less, 0.0, score)
-        elif metric == "ratio_of_classes":
-            score = m0 / m1
-        elif metric == "diff_of_classes":
-            score = m0 - m1
-        else:
-            score = np.log2(m0 / m1)
-    score = np.where(np.isfinite(score), score, np.nan)
-    return np.where((n0 > 0) & (n1 > 0), score, 0.0)
-
-
-def profile_scores(a: np.ndarray, profiles: np.ndarray) -> np.ndarray:
-    """Pearson r of rows ``a`` (NaN = missing) with each profile column."""
-    have = ~np.isnan(a)
-    mask = have.astype(float)
-    x = np.where(have, a - np.nanmean(a, axis=1, keepdims=True), 0.0)
-    # a sample counts where the row and the profile both have a value
-    known = (~np.isnan(profiles)).astype(float)
-    y = np.where(known > 0, profiles - np.nanmean(profiles, axis=0, keepdims=True), 0.0)
-    n = mask @ known
-    sy, syy, sxy = mask @ y, mask @ (y * y), x @ y
-    sx, sxx = x @ known, (x * x) @ known
-    with np.errstate(divide="ignore", invalid="ignore"):
-        r = (sxy - sx * sy / n) / np.sqrt((sxx - sx * sx / n) * (syy - sy * sy / n))
-    return np.where((n > 1) & np.isfinite(r), r, np.nan)
-
-
-def _dense_blocks(batch: pd.DataFrame, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    step = max(1, MATRIX_CELLS // width)
-    for lo in range(0, len(batch), step):
-        part = batch.iloc[lo : lo + step]
-        counts = part["at"].map(len).to_numpy()
-        dense = np.full((len(part), width), np.nan)
-        dense[np.repeat(np.arange(len(part)), counts), np.concatenate(part["at"].to_list())] = (
-            np.concatenate(part["values"].to_list())
-        )
-        yield part["row_idx"].to_numpy(), dense
-
-
-def null_by_labels(
-    features: DataFrame,
-    labels: DataFrame,
-    sets: DataFrame,
-    n: int,
-    seed: int = 149,
-    metric: str = "signal_to_noise",
-    scheme: str = "weighted",
-    kind: str = "no_balance",
-    mode: str = "real",
-    ascending: bool = False,
-    **options,
-) -> DataFrame:
-    """(set_name, perm, es): score, rank and ES under permuted labels.
-
-    Two matrix products per block of rows give all permuted scores without
-    exploding cells by permutations; one shuffle by permutation follows."""
-    numeric = metric == "pearson"
-    fast = numeric or (metric in FAST_CLASS_METRICS and not options.get("median", False))
-    samples = labels.select("sample").distinct()
-    n_samples = samples.count()
-    n_members = sets.count()
-    if not fast or n_samples > SAMPLE_LIMIT or n_members > MEMBER_LIMIT:
-        return null_by_labels_plan(
-            features, labels, sets, n, seed, metric, scheme, kind, mode, ascending, **options
-        )
-    n_rows = features.agg(F.count_distinct("row_idx")).head()[0]
-    if n_rows > LIST_LIMIT or n == 0:
-        return null_by_labels_plan(
-            features, labels, sets, n, seed, metric, scheme, kind, mode, ascending, **options
-        )
-    spark = features.sparkSession
-    # samples of one labelling, at most SAMPLE_LIMIT names
-    names = sorted(r["sample"] for r in samples.collect())
-    numbered = spark.createDataFrame(
-        pd.DataFrame({"sample": names, "sample_no": np.arange(len(names), dtype=np.int32)})
-    )
-    rows = _matrix_rows(features, numbered)
-    index = features.select("feature", "row_idx").distinct()
-    members = (
-        sets.select("set_name", F.col("member").alias("feature"))
-        .join(index, "feature")
-        .select("set_name", "row_idx")
-        .toPandas()  # at most MEMBER_LIMIT rows
-        .sort_values(["set_name", "row_idx"])
-    )
-    shared_sets = spark.sparkContext.broadcast(
-        {k: g.to_numpy() for k, g in members.groupby("set_name")["row_idx"]}
-    )
-    step = max(1, LABEL_CELLS // n_samples)
-    parts = [
-        _null_block(
-            rows, labels, numbered, names, shared_sets, lo, min(step, n - lo), seed,
-            metric, scheme, kind, mode, ascending, options,
-        )
-        for lo in range(0, n, step)
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _null_block(
-    rows, labels, numbered, names, shared_sets, first, n, seed, metric, scheme, kind, mode,
-    ascending, options,
-) -> DataFrame:
-    spark = rows.sparkSession
-    numeric = metric == "pearson"
-    # n permutations of one labelling, at most LABEL_CELLS cells
-    if numeric:
-        shuffled = permute_numeric_profile(labels, n, seed, first)
-        cells = shuffled.join(numbered, "sample").select("perm", "sample_no", "num_value")
-    else:
-        shuffled = permute_labels(labels, n, seed, kind, first)
-        cells = (
-            shuffled.filter("class_idx = 0")
-            .join(numbered, "sample")
-            .select("perm", "sample_no", F.lit(1.0).alias("num_value"))
-        )
-    got = cells.toPandas()
-    # a sample without a row, or with a NULL, has no profile value; labels: class 1
-    table = np.full((len(names), n), np.nan if numeric else 0.0)
-    table[got["sample_no"].to_numpy(), got["perm"].to_numpy() - first] = got["num_value"]
-    shared = spark.sparkContext.broadcast(table)
-    fix_low, biased = options.get("fix_low", True), options.get("biased", False)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = shared.value
-        for batch in batches:
-            for row_idx, dense in _dense_blocks(batch, len(t)):
-                if numeric:
-                    scores = profile_scores(dense, t)
-                else:
-                    scores = class_scores(dense, t, metric, fix_low, biased)
-                yield pd.DataFrame(
-                    {
-                        "perm": np.arange(first, first + n, dtype=np.int32),
-                        "row_idx": [row_idx] * n,
-                        "scores": list(scores.T),
-                    }
-                )
-
-    def enrich(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        row_idx = np.concatenate(parts["row_idx"].to_list())
-        scores = np.concatenate(parts["scores"].to_list())
-        value = np.abs(scores) if mode == "absolute" else scores
-        value = np.where(np.isnan(value), -np.inf, value)  # missing is least
-        order = np.lexsort((row_idx, value if ascending else -value))  # ties by row
-        rank_of = np.empty(len(order), dtype=np.int64)
-        rank_of[order] = np.arange(len(order))
-        weights = weigh(scores[order], scheme)
-        by_row = np.argsort(row_idx)
-        sorted_rows = row_idx[by_row]
-        found_names, found_es = [], []
-        for name, wanted in shared_sets.value.items():
-            at = np.minimum(np.searchsorted(sorted_rows, wanted), len(sorted_rows) - 1)
-            at = at[sorted_rows[at] == wanted]
-            if len(at):
-                ranks = np.sort(rank_of[by_row[at]])[None, :]
-                found_names.append(name)
-                found_es.append(extreme_of_rows(ranks, weights, len(order))[0])
-        return pd.DataFrame({"set_name": found_names, "perm": key[0], "es": found_es}).astype(
-            {"perm": np.int32}
-        )
-
-    return (
-        rows.mapInPandas(score, "perm int, row_idx array<long>, scores array<double>")
-        # one group is one permuted list of at most LIST_LIMIT scores
-        .groupBy("perm")
-        .applyInPandas(enrich, "set_name string, perm int, es double")
-    )

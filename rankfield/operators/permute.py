@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,6 +21,8 @@ KINDS = ("no_balance", "balance_class0", "balance_class1", "equalize_and_balance
 PERMS_PER_TASK = 64
 # Cells of one numpy block.
 BLOCK_CELLS = 1 << 21
+# Ranks of a block: what one task draws of a permutation, and the scores it holds (2 MB).
+RANK_BLOCK = 1 << 18
 
 
 def shuffle_key(seed: int, *parts: str) -> Column:
@@ -106,42 +109,98 @@ def draw_tasks(
     )
 
 
-def runs_of(
-    batch: pd.DataFrame, n: int, seed: int
-) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """(row of the batch, permutation numbers, sorted ranks per permutation,
-    list size)."""
-    for at, (stream, size, total, start) in enumerate(
-        zip(batch["stream"], batch["size"], batch["n_features"], batch["perm_from"])
+def block_tasks(
+    tasks: DataFrame, n: int, seed: int, by: Sequence[str] = (), rank_block: int = RANK_BLOCK
+) -> DataFrame:
+    """:func:`draw_tasks` split over blocks of ranks: one row per (list, set, run of permutations, block), with how many
+    ranks each permutation draws in the block (``counts``) and in the blocks before it (``before``), and the size of
+    the block. The counts of a draw without replacement are hypergeometric; with them given, every block is drawn by
+    itself, so a set of any size is many tasks."""
+    keys = [*by, "set_name"]
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = {c: [] for c in ("at", "block", "block_size", "counts", "before", "draws")}
+            for at, (stream, size, total, start) in enumerate(
+                zip(batch["stream"], batch["size"], batch["n_features"], batch["perm_from"])
+            ):
+                size, total = int(size), int(total)
+                perms = range(int(start), min(int(start) + PERMS_PER_TASK, n))
+                sizes = np.full(-(-total // rank_block), rank_block)
+                sizes[-1] = total - rank_block * (len(sizes) - 1)
+                if len(sizes) == 1:
+                    counts = np.full((len(perms), 1), size)
+                else:
+                    counts = np.stack([split_draw(f"{seed}:{stream}:{p}:blocks", sizes, size) for p in perms])
+                before = np.cumsum(counts, axis=1) - counts
+                for b in np.flatnonzero(counts.any(axis=0)):
+                    out["at"].append(at)
+                    out["block"].append(int(b))
+                    out["block_size"].append(int(sizes[b]))
+                    out["counts"].append(np.ascontiguousarray(counts[:, b], np.int64).tobytes())
+                    out["before"].append(np.ascontiguousarray(before[:, b], np.int64).tobytes())
+                    out["draws"].append(int(counts[:, b].sum()))
+            at = out.pop("at")
+            kept = batch[[*keys, "stream", "size", "n_features", "perm_from"]].iloc[at].reset_index(drop=True)
+            yield pd.concat([kept, pd.DataFrame(out)], axis=1)
+
+    schema = T.StructType(
+        [
+            *[tasks.schema[k] for k in (*keys, "stream", "size", "n_features", "perm_from")],
+            *[T.StructField(c, T.LongType()) for c in ("block", "block_size")],
+            *[T.StructField(c, T.BinaryType()) for c in ("counts", "before")],
+            T.StructField("draws", T.LongType()),
+        ]
+    )
+    return tasks.repartition(*keys, "perm_from").mapInPandas(split, schema)
+
+
+def split_draw(name: str, sizes: np.ndarray, size: int) -> np.ndarray:
+    """How many of ``size`` draws without replacement fall into each block; lists of up to 10^9 ranks."""
+    digest = hashlib.md5(name.encode()).digest()
+    rng = np.random.Generator(np.random.PCG64(int.from_bytes(digest, "big")))
+    return rng.multivariate_hypergeometric(sizes, size, method="marginals")
+
+
+def runs_of(batch: pd.DataFrame, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of the batch, permutation numbers, sorted ranks per permutation within the block, hits before the block)
+    of :func:`block_tasks`. A block that is a whole list has one draw per permutation, all of one length."""
+    for at, (stream, total, size, start, block, counts, before) in enumerate(
+        zip(*(batch[c] for c in ("stream", "n_features", "block_size", "perm_from", "block", "counts", "before")))
     ):
-        size, total = int(size), int(total)
-        stop = min(int(start) + PERMS_PER_TASK, n)
-        step = max(1, BLOCK_CELLS // max(size, 1))
-        for lo in range(int(start), stop, step):
-            perms = np.arange(lo, min(lo + step, stop))
-            bases = stream_bases([f"{seed}:{stream}:{p}" for p in perms])
-            yield at, perms, distinct_draws(bases, size, total), total
+        counts, before = np.frombuffer(counts, np.int64), np.frombuffer(before, np.int64)
+        perms = np.arange(int(start), int(start) + len(counts))
+        whole = int(size) == int(total)
+        step = max(1, BLOCK_CELLS // max(int(counts.max()), 1)) if whole else 1
+        for lo in range(0, len(perms), step):
+            use = slice(lo, lo + step)
+            if counts[lo]:
+                tail = "" if whole else f":{block}"
+                bases = stream_bases([f"{seed}:{stream}:{p}{tail}" for p in perms[use]])
+                yield at, perms[use], distinct_draws(bases, int(counts[lo]), int(size)), before[use]
 
 
 def random_ranks(
-    sets: DataFrame, ranked: DataFrame, n: int, seed: int = 149, by: Sequence[str] = ()
+    sets: DataFrame,
+    ranked: DataFrame,
+    n: int,
+    seed: int = 149,
+    by: Sequence[str] = (),
+    rank_block: int = RANK_BLOCK,
 ) -> DataFrame:
     """(by.., set_name, perm, rank): for every set and permutation as many
-    distinct ranks as the set has members. Only (set, run) rows reach the tasks;
-    no list is hashed or sorted as a whole."""
-    return ranks_of_tasks(draw_tasks(sets, ranked, n, by), n, seed, by)
-
-
-def ranks_of_tasks(tasks: DataFrame, n: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    distinct ranks as the set has members. Only (set, run, block) rows reach the
+    tasks; no list is hashed or sorted as a whole."""
     keys = [*by, "set_name"]
-    spread = tasks.repartition(*keys, "perm_from")
+    tasks = block_tasks(draw_tasks(sets, ranked, n, by), n, seed, by, rank_block)
+    spread = tasks.repartition(*keys, "perm_from", "block")
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at, perms, ranks, _ in runs_of(batch, n, seed):
+            for at, perms, ranks, _ in runs_of(batch, seed):
                 out = {k: batch[k].iloc[at] for k in keys}
                 out["perm"] = np.repeat(perms, ranks.shape[1]).astype(np.int32)
-                out["rank"] = ranks.ravel()
+                out["rank"] = ranks.ravel() + int(batch["block"].iloc[at]) * rank_block
                 yield pd.DataFrame(out)
 
     schema = T.StructType(
@@ -154,8 +213,10 @@ def ranks_of_tasks(tasks: DataFrame, n: int, seed: int, by: Sequence[str] = ())
     return spread.mapInPandas(emit, schema)
 
 
-def random_sets(ranked: DataFrame, sets: DataFrame, n: int, seed: int = 149) -> DataFrame:
+def random_sets(
+    ranked: DataFrame, sets: DataFrame, n: int, seed: int = 149, rank_block: int = RANK_BLOCK
+) -> DataFrame:
     """(set_name, perm, member): random sets of the sizes of ``sets``."""
-    return random_ranks(sets, ranked, n, seed).join(
+    return random_ranks(sets, ranked, n, seed, rank_block=rank_block).join(
         ranked.select("rank", F.col("feature").alias("member")), "rank"
     ).select("set_name", "perm", "member")

@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from rankfield.operators import label_null, leading, metrics, nulls, permute
 from rankfield.operators import labels as lab
-from rankfield.operators import metrics, nulls, permute
 from rankfield.plans import runs
 
 
@@ -95,34 +96,74 @@ def test_profile_metrics(matrix):
             assert got[r] == pytest.approx(want, abs=1e-9), (name, r)
 
 
-@pytest.mark.parametrize("metric", [*metrics.CLASS_METRICS, "pearson"])
-def test_both_ways_to_the_label_null(matrix, metric, monkeypatch):
+CUTS = {"tile_cells": 100, "perm_block": 4, "range_rows": 7, "block_members": 25}
+
+
+def es_of(df):
+    return {(r["set_name"], r["perm"]): r["es"] for r in df.collect()}
+
+
+def same(got, want):
+    assert got.keys() == want.keys() and want
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=1e-7), k
+
+
+@pytest.mark.parametrize("metric", [*metrics.CLASS_METRICS, *metrics.PROFILE_METRICS])
+def test_label_null_of_every_metric(matrix, metric):
     _, _, features, labels, sets = matrix
-    fast = {(r[0], r[1]): r[2] for r in nulls.null_by_labels(features, labels, sets, 9, 2, metric).collect()}
-    plan = nulls.null_by_labels_plan(features, labels, sets, 9, 2, metric).collect()
-    assert len(fast) == len(plan) == 54
-    for r in plan:
-        assert fast[r["set_name"], r["perm"]] == pytest.approx(r["es"], abs=1e-7)
-    # several blocks of permutations give the same numbers
-    monkeypatch.setattr(nulls, "LABEL_CELLS", 16 * 4)
-    again = nulls.null_by_labels(features, labels, sets, 9, 2, metric).collect()
-    assert {(r[0], r[1]): pytest.approx(r[2], abs=1e-9) for r in again} == fast
-
-
-@pytest.mark.parametrize("options", [{"mode": "absolute"}, {"ascending": True}, {"fix_low": False}, {"biased": True}])
-def test_label_null_options(matrix, options):
+    plan = es_of(nulls.null_by_labels_plan(features, labels, sets, 9, 2, metric))
+    assert len(plan) == 54
+    same(es_of(nulls.null_by_labels(features, labels, sets, 9, 2, metric)), plan)
+    # many tiles, ranges of the ranking, blocks of permutations and of sets give the same numbers
+    same(es_of(nulls.null_by_labels(features, labels, sets, 9, 2, metric, **CUTS)), plan)
+
+
+@pytest.mark.parametrize("metric", ["pearson", "spearman", "manhattan_distance"])
+def test_label_null_of_profiles_with_gaps(matrix, metric):
     _, _, features, labels, sets = matrix
-    fast = {(r[0], r[1]): r[2] for r in nulls.null_by_labels(features, labels, sets, 4, 2, **options).collect()}
-    for r in nulls.null_by_labels_plan(features, labels, sets, 4, 2, **options).collect():
-        assert fast[r["set_name"], r["perm"]] == pytest.approx(r["es"], abs=1e-7)
+    gaps = labels.withColumn("num_value", F.when(F.col("position") % 3 != 1, F.col("num_value")))
+    plan = es_of(nulls.null_by_labels_plan(features, gaps, sets, 6, 2, metric))
+    same(es_of(nulls.null_by_labels(features, gaps, sets, 6, 2, metric)), plan)
+    same(es_of(nulls.null_by_labels(features, gaps, sets, 6, 2, metric, **CUTS)), plan)
 
 
-def test_large_inputs_take_the_plan(matrix, monkeypatch):
+OPTIONS = [
+    {"mode": "absolute"}, {"ascending": True}, {"fix_low": False}, {"biased": True}, {"median": True}, {"scheme": "weighted_p1.5"},
+    {"metric": "diff_of_classes", "median": True, "kind": "equalize_and_balance"}, {"scheme": "classic", "mode": "absolute", "ascending": True},
+]
+
+
+@pytest.mark.parametrize("options", OPTIONS)
+def test_label_null_options(matrix, options):
     _, _, features, labels, sets = matrix
-    want = {(r[0], r[1]): r[2] for r in nulls.null_by_labels(features, labels, sets, 3, 2).collect()}
-    monkeypatch.setattr(nulls, "LIST_LIMIT", 10)
-    got = nulls.null_by_labels(features, labels, sets, 3, 2).collect()
-    assert {(r[0], r[1]): pytest.approx(r[2], abs=1e-7) for r in got} == want
+    plan = es_of(nulls.null_by_labels_plan(features, labels, sets, 4, 2, **options))
+    same(es_of(nulls.null_by_labels(features, labels, sets, 4, 2, **options)), plan)
+    same(es_of(nulls.null_by_labels(features, labels, sets, 4, 2, **options, **CUTS)), plan)
+
+
+def test_label_null_of_tied_scores(spark):
+    """A third of all scores is 0: ranges cut ties by row."""
+    rng = np.random.default_rng(4)
+    cells = [(f"f{r}", r * 10, f"s{c}", float(rng.normal()) if r % 3 else 1.0) for r in range(300) for c in range(12)]
+    features = spark.createDataFrame(cells, "feature string, row_idx long, sample string, value double")
+    labels = spark.createDataFrame([(f"s{c}", c % 2) for c in range(12)], "sample string, class_idx int")
+    members = [("THIRD", f"f{r}") for r in range(0, 300, 3)] + [("FEW", f"f{r}") for r in (1, 50, 299)] + [("NONE", "zz")]
+    sets = spark.createDataFrame(members + members[:20], "set_name string, member string")
+    kept = sets.distinct()
+    plan = es_of(nulls.null_by_labels_plan(features, labels, kept, 5, 7))
+    same(es_of(nulls.null_by_labels(features, labels, sets, 5, 7, range_rows=9, perm_block=2, block_members=40)), plan)
+    ranked = nulls.permuted_lists(nulls.permuted_scores(features, labels, 1, 7))
+    keys = label_null.order_keys(np.array([r.score for r in ranked.collect()]), "real", False)
+    assert np.bincount(np.unique(keys, return_inverse=True)[1]).max() >= 100
+    assert nulls.null_by_labels(features, labels, sets, 0).collect() == []
+    assert nulls.null_by_labels(features.limit(0), labels, sets, 3).collect() == []
+
+
+def test_ranges_split_ties():
+    keys, rows = np.array([0.0, 1, 1, 1, 1, 2, 5]), np.arange(7)
+    got = label_null.range_of(keys, rows, np.array([1.0, 1.0, 2.0]), np.array([2, 4, 1]))
+    assert got.tolist() == [0, 0, 1, 1, 2, 3, 3]
 
 
 def test_permuted_class_sizes(matrix):
@@ -163,7 +204,13 @@ def test_matrix_run_end_to_end(matrix):
             assert r[c] is None or 0 <= r[c] <= 1
     assert run.ranked.count() == 59  # one feature lacks class 0
     out = runs.leading_edge(run, sets.select("set_name"))
-    assert out["jaccard"].count() == 36
+    cells = {(r["a"], r["b"]): r["jaccard"] for r in out["jaccard"].collect()}
+    # cells of sets that share a member; the others are 0 and have no row
+    edges = {r["set_name"]: set() for r in rows}
+    for r in leading.leading_edge_members(run.hits, run.results).collect():
+        edges[r["set_name"]].add(r["feature"])
+    want = {(a, b): len(x & y) / len(x | y) for a, x in edges.items() for b, y in edges.items() if x & y}
+    assert cells.keys() == want.keys() and all(cells[k] == pytest.approx(v) for k, v in want.items())
     assert runs.leading_edge(run)["members"].count() == run.sets.count()
     numeric = runs.enrich_matrix(features, labels, sets, metric="spearman", nperm=5, set_min=2, set_max=100)
     assert numeric.results.count() == 6
