@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SEED = 149
 # Permutations of the registered queries.
-PERMS = 20
+PERMS = 1000
 
 
 class Entry(NamedTuple):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import POWER_GUARD, TIE_SCALE
+from ..functions.scalars import attach
 from .enrich import hits, pick_extreme, score_hits
 from .label_null import null_by_labels, weigh
 from .metrics import CLASS_METRICS, score_features
@@ -29,6 +30,7 @@ from .permute import (
     runs_of,
 )
 from .rank import list_sizes, rank_features
+from .sets import set_sizes
 
 __all__ = ["null_by_labels", "null_by_labels_plan", "null_by_sets", "null_by_sets_of_lists", "null_by_sets_plan", "null_of_lists"]
 
@@ -105,6 +107,16 @@ def _list_blocks(ranked: DataFrame, by: list[str], rank_block: int) -> DataFrame
     return rows.groupBy(*by, "block").applyInPandas(pack, schema)
 
 
+def _groups_of_blocks(sets: DataFrame, ranked: DataFrame, n: int, by: list[str], rank_block: int) -> DataFrame:
+    """(by.., block, _groups): in how many groups the draws of a block of ranks, as many as can be expected there, are
+    made."""
+    wanted = attach(set_sizes(sets, by).groupBy(*by).agg(F.sum("size").alias("_wanted")), list_sizes(ranked, by), by)
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_features") - 1) / rank_block))).alias("block")
+    drawn = F.col("_wanted") * n * F.least(F.lit(1.0), rank_block / F.col("n_features"))
+    groups = F.greatest(F.lit(1).cast("long"), F.ceil(drawn / DRAWS_PER_GROUP))
+    return wanted.filter("_wanted IS NOT NULL").select(*by, blocks, groups.alias("_groups"))
+
+
 def null_by_sets_of_lists(
     ranked: DataFrame,
     sets: DataFrame,
@@ -125,7 +137,7 @@ def null_by_sets_of_lists(
     by = list(by)
     key = [*by, "set_name"]
     tasks = block_tasks(draw_tasks(sets, ranked, n, by), n, seed, by, rank_block)
-    work = tasks.groupBy(*by, "block").agg(F.ceil(F.sum("draws") / DRAWS_PER_GROUP).alias("_groups"))
+    work = _groups_of_blocks(sets, ranked, n, by, rank_block)
     group = F.pmod(F.xxhash64("stream", "perm_from"), F.col("_groups")).alias("_group")
     dealt = tasks.join(work, [*by, "block"]).select(*tasks.columns, group)
     numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_groups") - 1))

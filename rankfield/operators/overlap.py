@@ -200,7 +200,8 @@ def intersection_size(sets: DataFrame) -> DataFrame:
 
 def union_size(sets: DataFrame) -> DataFrame:
     """Of pairs sharing a member; of any other pair it is the sum of both sizes."""
-    return overlap_matrix(sets).filter("a < b").select("a", "b", "union_size")
+    named = pair_overlap(sets)  # pairs by set number; here by name
+    return named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "union_size")
 
 
 def overlap_fraction(sets: DataFrame) -> DataFrame:

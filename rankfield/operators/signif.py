@@ -159,18 +159,32 @@ def fdr(es_nes: DataFrame, null_nes: DataFrame, by: Sequence[str] = ()) -> DataF
 
 def fwer(es_nes: DataFrame, null_nes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Share of permutations whose best null NES over all sets is strictly
-    beyond NES. The best of each permutation (P numbers) reach every set as one
-    scalar array."""
+    beyond NES. The best of each permutation and the sets of a sign meet in one
+    window of sets + permutations rows; equal levels do not count."""
+    by = list(by)
     key = [*by, "set_name"]
     best = null_nes.groupBy(*by, "perm").agg(F.max("nes").alias("hi"), F.min("nes").alias("lo"))
-    packed = best.groupBy(*by).agg(F.collect_list("hi").alias("_hi"), F.collect_list("lo").alias("_lo"))
-    nes = F.col("nes")
-    above = F.size(F.filter("_hi", lambda x: _level(x) > _level(nes)))
-    below = F.size(F.filter("_lo", lambda x: _level(x) < _level(nes)))
-    count = F.when(nes >= 0, above).otherwise(below)
-    return attach(es_nes.select(*key, "nes"), packed, by).select(
-        *key,
-        F.when(nes.isNotNull(), F.try_divide(count.cast("double"), F.size("_hi"))).alias("fwer"),
+    ends = F.explode(
+        F.array(
+            F.struct(F.lit(1).alias("side"), F.col("hi").alias("nes")),
+            F.struct(F.lit(-1).alias("side"), F.col("lo").alias("nes")),
+        )
+    ).alias("end")
+    null_rows = best.filter("hi IS NOT NULL").select(*by, ends).select(
+        *by, F.lit(None).cast("string").alias("set_name"), "end.side", "end.nes", F.lit(1).alias("is_null")
+    )
+    side = F.when(F.col("nes") >= 0, 1).when(F.col("nes") < 0, -1)
+    real_rows = es_nes.select(*key, side.alias("side"), "nes", F.lit(0).alias("is_null"))
+    rows = real_rows.unionByName(null_rows).withColumn("_place", -F.col("side") * _level("nes"))
+    whole = Window.partitionBy(*by, "side")
+    beyond = whole.orderBy("_place").rangeBetween(Window.unboundedPreceding, -1)
+    share = F.try_divide(
+        F.coalesce(F.sum("is_null").over(beyond), F.lit(0)).cast("double"), F.sum("is_null").over(whole)
+    )
+    return (
+        rows.withColumn("_share", share)
+        .filter("is_null = 0")
+        .select(*key, F.when(F.col("nes").isNotNull(), F.col("_share")).alias("fwer"))
     )
 
 

@@ -236,8 +236,9 @@ def write_grp(sets: DataFrame, path: str) -> None:
 
 
 def write_cls(labels: DataFrame, path: str) -> None:
-    """One labelling: counts, class names by first use, one label per sample (a
-    line as long as there are samples); a profile instead where it is numeric."""
+    """One file per labelling: counts, class names by first use, one label per
+    sample; a profile instead where it is numeric. The format holds a labelling in
+    one line, so a task holds the labels of one labelling, never of several."""
     ordered = F.array_sort(
         F.collect_list(
             F.struct(
@@ -249,7 +250,7 @@ def write_cls(labels: DataFrame, path: str) -> None:
             )
         )
     )
-    one = labels.agg(ordered.alias("_l"))
+    one = labels.groupBy("phenotype").agg(ordered.alias("_l"))
     names = F.transform("_l", lambda x: x["class_name"])
     categorical = F.array(
         F.concat_ws(
@@ -271,7 +272,7 @@ def write_cls(labels: DataFrame, path: str) -> None:
         F.array_join(F.when(F.col("_l")[0]["numeric"], numeric).otherwise(categorical), "\n").alias(
             "value"
         )
-    ).write.mode("overwrite").text(path)
+    ).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def write_chip(id_map: DataFrame, path: str) -> None:

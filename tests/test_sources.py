@@ -144,6 +144,23 @@ def test_cls(spark, tmp_path):
         label_files.read_cls_numeric(spark, lost).collect()
 
 
+def test_one_cls_file_per_labelling(spark, tmp_path):
+    rows = [("a", f"s{k}", k, "xyx"[k % 3], k % 2, None) for k in range(5)]
+    rows += [("b", f"s{k}", k, "qr"[k % 2], k % 2, None) for k in range(4)]
+    rows += [("n", f"s{k}", k, None, None, k / 4) for k in range(3)]
+    labels = spark.createDataFrame(
+        rows, "phenotype string, sample string, position long, class_name string, class_idx int, num_value double"
+    ).coalesce(1)
+    path = str(tmp_path / "many.cls")
+    writers.write_cls(labels, path)
+    texts = sorted(f.read_text().strip() for f in (tmp_path / "many.cls").glob("part-*"))
+    assert texts == [
+        "#numeric\n\n#n\n0.0 0.25 0.5",
+        "4 2 1\n# q r\nq r q r",
+        "5 2 1\n# x y\nx y x x y",
+    ]
+
+
 def test_cls_by_sample(spark, tmp_path):
     path = put(tmp_path, "a.cls", "name\tKIND\tFLOAT\tCOMMENTS\ns1\tb\t1.5\thi\ns2\tna\t2\tho\ns3\ta\tna\t-\n")
     rows = label_files.read_cls_by_sample(spark, path).collect()
