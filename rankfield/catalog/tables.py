@@ -8,6 +8,7 @@ from .. import inputs as i
 from ..operators import leading, reports
 from ..plans import runs
 from ..session import scratch_path
+from ..sources import writers
 from .base import COLLAPSED_RUN, MATRIX_RUN, NUDGE, PARTS, PERMS, SEED, Entry, r6, r6_fraction, sql
 from .stats import edge_parts, results, scored
 
@@ -346,8 +347,39 @@ def _stored_leading_edge(spark, d):
     return runs.leading_edge(run, chosen)["members"].select("set_name", "member")
 
 
+_STORED_EDGE = "SELECT set_name, feature AS member FROM edge JOIN es USING (set_name) WHERE es.es > 0"
+add("leading_edge_of_stored_run", _stored_leading_edge, _STORED_EDGE)
+
+
+def _document_leading_edge(spark, d):
+    """The run is written as a result document, and analysed from it and the list alone."""
+    run = enrich_ranked(spark, d)
+    path = scratch_path(spark, "document")
+    writers.write_results_xml(reports.results_with_arrays(run), path, {"METRIC": "None", "NUM_PERMS": str(PERMS)})
+    again = runs.run_of_document(spark, path, run.ranked)
+    chosen = again.results.filter("es > 0").select("set_name")
+    return runs.leading_edge(again, chosen)["members"].select("set_name", "member")
+
+
+add("leading_edge_of_result_document", _document_leading_edge, _STORED_EDGE)
+
+
+def _summary_of_run(spark, d):
+    """What a run says of itself, its warnings included."""
+    run = enrich_ranked(spark, d)
+    return r6(run.summary(i.part_sets(spark, d), i.features(spark, d)), "value").filter("key LIKE 'n\\_%' OR key LIKE 'warning\\_%'")
+
+
 add(
-    "leading_edge_of_stored_run",
-    _stored_leading_edge,
-    "SELECT set_name, feature AS member FROM edge JOIN es USING (set_name) WHERE es.es > 0",
+    "run_summary_with_warnings",
+    _summary_of_run,
+    """
+SELECT 'n_sets' AS key, count(*)::DOUBLE AS value FROM es
+UNION ALL SELECT 'n_sets_filtered', (SELECT count(DISTINCT set_name) FROM part_sets) - count(*)::DOUBLE FROM es
+UNION ALL SELECT 'n_features', count(*)::DOUBLE FROM ranked
+UNION ALL SELECT 'n_native_features', count(DISTINCT feature)::DOUBLE FROM features
+UNION ALL SELECT 'n_pos', count(*)::DOUBLE FROM ranked WHERE score >= 0
+UNION ALL SELECT 'n_neg', count(*)::DOUBLE FROM ranked WHERE score < 0
+UNION ALL SELECT 'warning_' || unnest(['class_a_small', 'class_b_small', 'few_samples', 'non_finite_results']), 0.0
+UNION ALL SELECT 'warning_single_set', (count(*) = 1)::INT::DOUBLE FROM es""",
 )

@@ -113,6 +113,27 @@ def ranked_feature_report(ranked: DataFrame, titles: DataFrame) -> DataFrame:
     )
 
 
+def results_with_arrays(run, name: str = "r1", ranked_list: str = "list.rnk") -> DataFrame:
+    """One row per set of a run as result documents hold it: its numbers, hit ranks, profile and null. A row is one
+    element of the document, so it holds one set's hits and permutations, not more."""
+    profile = run.hits.groupBy("set_name").agg(
+        F.array_sort(F.collect_list(F.struct("hit_no", "rank", "running_es"))).alias("_h")
+    )
+    null = run.null_es.groupBy("set_name").agg(F.array_sort(F.collect_list(F.struct("perm", "es"))).alias("_n"))
+    return (
+        run.results.join(profile, "set_name")
+        .join(null, "set_name")
+        .select(
+            F.lit(name).alias("run"),
+            F.lit(ranked_list).alias("ranked_list"),
+            *run.results.columns,
+            F.transform("_h", lambda x: x["rank"]).alias("hit_ranks"),
+            F.transform("_h", lambda x: x["running_es"]).alias("es_profile"),
+            F.transform("_n", lambda x: x["es"]).alias("null_es"),
+        )
+    )
+
+
 def run_summary(
     results: DataFrame,
     ranked: DataFrame,

@@ -35,7 +35,8 @@ from ..operators.overlap import (
     member_frequency,
     score_incidence,
 )
-from ..operators.rank import number_rows, rank_features
+from ..operators.rank import attach_sizes, number_rows, rank_features
+from ..operators.reports import permutation_quality_warnings, run_summary
 from ..operators.sets import (
     DEFAULT_MAX,
     DEFAULT_MIN,
@@ -45,6 +46,7 @@ from ..operators.sets import (
 )
 from ..operators.signif import significance, validate_results
 from ..session import cut
+from ..sources.result_files import read_results_db, results_to_hits, results_to_null
 
 COLLAPSE_CHOICES = ("Collapse", "Remap_Only", "No_Collapse")
 
@@ -58,6 +60,7 @@ class Run:
     hits: DataFrame
     results: DataFrame
     null_es: DataFrame
+    warnings: DataFrame  # (warning, applies): rules that a run should be read with
 
     def leading_edge(self) -> DataFrame:
         return leading_edge_members(self.hits, self.results)
@@ -65,9 +68,12 @@ class Run:
     def leading_edge_stats(self) -> DataFrame:
         return leading_edge_stats(self.hits, self.results)
 
+    def summary(self, all_sets: DataFrame, native_features: DataFrame) -> DataFrame:
+        """(key, value) counts of the run against the sets and features it was given, its warnings included."""
+        return run_summary(self.results, self.ranked, all_sets, native_features, self.warnings)
 
     def save(self, path: str) -> None:
-        """All five tables as Parquet below ``path``."""
+        """All tables as Parquet below ``path``."""
         for name in TABLES:
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
@@ -83,6 +89,40 @@ def load_run(spark: SparkSession, path: str) -> Run:
     return Run(*[spark.read.parquet(f"{path}/{name}") for name in TABLES])
 
 
+def run_of_document(spark: SparkSession, path: str, ranked: DataFrame) -> Run:
+    """The run that a stored result document describes; ``ranked(feature, score, rank)`` is the list it names.
+
+    Hits, profiles and the null are the document's arrays, hits get their features and scores from the list. A document
+    whose hits lie outside the list, or whose sets or null do not fit together, is an error."""
+    stored = cut(read_results_db(spark, path))
+    results = stored.select(
+        "set_name", F.size("hit_ranks").cast("long").alias("size"), "es", "rank_at_max", "score_at_max", "nes", "np", "fdr", "fwer"
+    )
+    null_es = results_to_null(stored)
+    listed = ranked.select("feature", "score", "rank")
+    found = results_to_hits(stored).withColumn("hit_no", F.col("hit_no").cast("long")).join(listed, "rank", "left")
+    outside = F.raise_error(F.concat(F.lit("no such rank in the list: "), F.col("rank").cast("string"))).cast("string")
+    found = found.withColumn("feature", F.when(F.col("feature").isNotNull(), F.col("feature")).otherwise(outside))
+    sized = attach_sizes(found.join(results.select("set_name", F.col("size").alias("n_hits")), "set_name"), listed)
+    scored = cut(sized.select("set_name", "feature", "score", "rank", "hit_no", "n_hits", "n_features", "running_es"))
+    _validated(results, null_es)
+    sets = scored.select("set_name", F.col("feature").alias("member"))
+    return Run(listed, sets, scored, results, null_es, run_warnings(results))
+
+
+def run_warnings(results: DataFrame, labels: DataFrame | None = None, metric: str = "") -> DataFrame:
+    """(warning, applies) of a run; the rules on classes and samples hold where labels were permuted, those on classes
+    for metrics of two classes."""
+    if labels is None:
+        none = results.sparkSession.createDataFrame([], "sample string, class_idx int")
+        return permutation_quality_warnings(none, results, phenotype_permutation=False)
+    found = permutation_quality_warnings(labels, results)
+    if metric in CLASS_METRICS:
+        return found
+    applies = F.col("applies") & ~F.col("warning").startswith("class_")
+    return found.select("warning", applies.alias("applies"))
+
+
 def check_labels(labels: DataFrame, metric: str) -> None:
     """Fail where the metric does not go with the labelling, or the classes are too small for it."""
     if metric in CLASS_METRICS:
@@ -127,13 +167,13 @@ def _validated(results: DataFrame, null_es: DataFrame, key=()) -> DataFrame:
         raise ValueError(f"results fail the check {bad.check}: {bad.n_bad} rows")
 
 
-def _finish(ranked, kept, null_es, scheme: str, norm: str, key=()) -> Run:
+def _finish(ranked, kept, null_es, scheme: str, norm: str, key=(), labels=None, metric: str = "") -> Run:
     scored = cut(hits(ranked, kept, scheme, key))
     es = cut(score_at(pick_extreme(scored, scheme, key), ranked, key))
     null_es = cut(null_es)
     results = cut(significance(es, null_es, norm, key))
     _validated(results, null_es, key)
-    return Run(ranked, kept, scored, results, null_es)
+    return Run(ranked, kept, scored, results, null_es, run_warnings(results, labels, metric))
 
 
 def enrich_ranked(
@@ -268,7 +308,8 @@ def enrich_matrix(
             cells, labels, kept, nperm, seed, metric, scheme, permutation_kind,
             mode=sort, ascending=ascending, **metric_options,
         )
-    return _finish(ranked, kept, null_es, scheme, norm)
+    permuted = labels if permute != "gene_set" else None
+    return _finish(ranked, kept, null_es, scheme, norm, labels=permuted, metric=metric)
 
 
 def collapse_dataset(

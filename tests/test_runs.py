@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rankfield.operators import enrich, labels as lab, nulls, sets
+from rankfield.operators import enrich, labels as lab, nulls, reports, sets
 from rankfield.plans import runs
+from rankfield.sources import writers
 
 
 @pytest.fixture(scope="module")
@@ -115,3 +116,52 @@ def test_stored_run(spark, parts, tmp_path):
     chosen = back.results.select("set_name")
     a, b = (runs.leading_edge(r, chosen)["frequency"] for r in (run, back))
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_run_of_a_result_document(spark, tmp_path):
+    ranked = spark.createDataFrame([(f"f{k}", 3.0 - k / 10, k) for k in range(60)], "feature string, score double, rank long")
+    members = [(f"S{k}", f"f{r}") for k in range(4) for r in range(k, 60, k + 3)]
+    sets = spark.createDataFrame(members, "set_name string, member string")
+    run = runs.enrich_ranked(ranked, sets, set_min=2, set_max=100, nperm=25, seed=2)
+    path = str(tmp_path / "doc")
+    writers.write_results_xml(reports.results_with_arrays(run), path, {"METRIC": "None", "NUM_PERMS": "25"})
+    again = runs.run_of_document(spark, path, ranked)
+
+    def rows(df, *names):
+        return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(*names).collect())
+
+    for table, names in {
+        "results": ("set_name", "size", "es", "rank_at_max"),
+        "null_es": ("set_name", "perm", "es"),
+        "hits": ("set_name", "feature", "score", "rank", "hit_no", "n_hits", "n_features", "running_es"),
+        "warnings": ("warning", "applies"),
+    }.items():
+        assert rows(getattr(again, table), *names) == rows(getattr(run, table), *names), table
+    edge = ("set_name", "feature", "rank")
+    assert rows(again.leading_edge(), *edge) == rows(run.leading_edge(), *edge)
+    a, b = (runs.leading_edge(r, r.results.select("set_name")) for r in (again, run))
+    assert rows(a["jaccard"], "a", "b", "jaccard") == rows(b["jaccard"], "a", "b", "jaccard")
+    again.save(str(tmp_path / "run"))
+    assert rows(runs.load_run(spark, str(tmp_path / "run")).warnings, "warning", "applies") == rows(run.warnings, "warning", "applies")
+    with pytest.raises(Exception, match="no such rank"):
+        runs.run_of_document(spark, path, ranked.filter("rank < 20"))
+
+
+def test_warnings_of_a_matrix_run(spark):
+    cells = [(f"f{r}", r, f"s{c}", float((r * 7 + c * 3) % 11 + (r % 3) * (c % 2))) for r in range(40) for c in range(8)]
+    features = spark.createDataFrame(cells, "feature string, row_idx long, sample string, value double")
+    labels = spark.createDataFrame(
+        [("p", f"s{c}", c, "AB"[c % 2], c % 2, float(c)) for c in range(8)],
+        "phenotype string, sample string, position long, class_name string, class_idx int, num_value double",
+    )
+    sets = spark.createDataFrame([("ONE", f"f{r}") for r in range(0, 40, 3)], "set_name string, member string")
+    options = dict(nperm=5, set_min=2, set_max=50)
+    of = lambda run: {r["warning"]: r["applies"] for r in run.warnings.collect()}
+    classes = of(runs.enrich_matrix(features, labels, sets, **options))
+    assert classes["class_a_small"] and classes["class_b_small"] and classes["few_samples"] and classes["single_set"]
+    profile = of(runs.enrich_matrix(features, labels, sets, metric="spearman", **options))
+    assert profile["few_samples"] and not profile["class_a_small"]
+    drawn = runs.enrich_matrix(features, labels, sets, permute="gene_set", **options)
+    assert not of(drawn)["few_samples"] and of(drawn)["single_set"]
+    keys = {r["key"]: r["value"] for r in drawn.summary(sets, features).collect()}
+    assert keys["warning_single_set"] == 1 and keys["n_features"] == 40 and keys["n_sets_filtered"] == 0
