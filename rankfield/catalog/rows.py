@@ -444,6 +444,54 @@ UNION ALL SELECT 'na', 2 * count(*) + 2 FROM dense_features GROUP BY feature""",
 )
 
 
+def _cells(write, extension: str, lead: int, head: str, feature_at: int, step: int = 1):
+    """Every cell a matrix writer leaves, by the names of its header line; read without the readers."""
+
+    def query(spark, d):
+        path = f"{scratch_path(spark, 'io')}/data{extension}"
+        write(i.dense_features(spark, d), path)
+        lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.split("value", "\t", -1).alias("_f"))
+        rest = F.posexplode(F.slice("_f", lead + 1, 1 << 30)).alias("position", "text")
+        first = F.col("_f")[0]
+        names = lines.filter(first == head).select("_f").distinct().select(rest)
+        rows = lines.filter((first != head) & (first != "EWEIGHT") & (F.size("_f") > lead))
+        cells = rows.select(F.col("_f")[feature_at].alias("feature"), rest).filter(F.col("position") % step == 0)
+        out = cells.join(names.select("position", F.col("text").alias("sample")), "position")
+        return r6(out.select("feature", "sample", F.col("text").cast("double").alias("value")), "value")
+
+    return query
+
+
+_CELLS = "SELECT feature, sample, round(value, 6) AS value FROM dense_features"
+add("write_gct_cells", _cells(writers.write_gct, ".gct", 2, "NAME", 0), _CELLS)
+add("write_txt_cells", _cells(writers.write_txt_matrix, ".txt", 2, "NAME", 0), _CELLS)
+add("write_pcl_cells", _cells(writers.write_pcl, ".pcl", 3, "UNIQID", 0), _CELLS)
+add("write_res_cells", _cells(writers.write_res, ".res", 2, "DESCRIPTION", 1, 2), _CELLS)
+
+
+def _document(table):
+    """All elements of one array of a result document that was written and read again."""
+
+    def query(spark, d):
+        path = scratch_path(spark, "io")
+        writers.write_results_xml(_stored(spark, d), path, {"METRIC": "None", "NUM_PERMS": str(PERMS)})
+        return table(result_files.read_results_db(spark, path))
+
+    return query
+
+
+add(
+    "read_results_profile",
+    _document(lambda read: r6(result_files.results_to_hits(read), "running_es")),
+    "SELECT set_name, hit_no, rank, round(running_es, 6) AS running_es FROM hits",
+)
+add(
+    "read_results_null",
+    _document(lambda read: r6(result_files.results_to_null(read), "es")),
+    "SELECT set_name, perm, round(es, 6) AS es FROM null_es",
+)
+
+
 def _write_rnk(spark, d):
     path = scratch_path(spark, "io")
     writers.write_rnk(i.ranked(spark, d), path)
