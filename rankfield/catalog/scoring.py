@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import inputs as i
-from ..operators import clean, measures, metrics, nulls, rank, reports
+from ..operators import clean, label_null, measures, metrics, nulls, rank, reports
 from .base import MATRIX_RUN, PERMS, Entry, floor_sql, r6, sql
 
 ENTRIES: dict[str, Entry] = {}
@@ -332,7 +332,7 @@ def _marker_cells(spark, d):
 
 
 def _lists(spark, d):
-    return nulls.permuted_lists(nulls.permuted_scores(*_marker_cells(spark, d), PERMS))
+    return nulls.permuted_lists(label_null.scores_by_labels(*_marker_cells(spark, d), PERMS))
 
 
 _MARKERS = reports.MARKERS

@@ -160,6 +160,19 @@ def test_label_null_of_tied_scores(spark):
     assert nulls.null_by_labels(features.limit(0), labels, sets, 3).collect() == []
 
 
+@pytest.mark.parametrize("metric", ["signal_to_noise", "pearson"])
+def test_scores_by_labels(matrix, metric):
+    _, _, features, labels, _ = matrix
+
+    def of(df):
+        return {(r["perm"], r["feature"], r["row_idx"]): r["score"] for r in df.collect()}
+
+    plan = of(nulls.permuted_scores(features, labels, 5, 3, metric))
+    for got in (label_null.scores_by_labels(features, labels, 5, 3, metric), label_null.scores_by_labels(features, labels, 5, 3, metric, tile_cells=100, perm_block=2)):
+        same(of(got), plan)
+    assert label_null.scores_by_labels(features, labels, 0).collect() == []
+
+
 def test_ranges_split_ties():
     keys, rows = np.array([0.0, 1, 1, 1, 1, 2, 5]), np.arange(7)
     got = label_null.range_of(keys, rows, np.array([1.0, 1.0, 2.0]), np.array([2, 4, 1]))
