@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_null_token
-from .measures import group_median
 from .rank import rank_scores
+from .select import group_median
 
 MODES = ("max", "median", "mean", "sum", "absmax", "remap")
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import is_negative, stddev_floor, tie_key, variance
 from ..functions.scalars import with_one_row
-from .rank import attach_sizes, running_total
+from .rank import attach_sizes
+from .select import group_median
 
 
 def variances(features: DataFrame, by: Sequence[str] = ("feature",)) -> DataFrame:
@@ -29,29 +30,6 @@ def floored_stddev(
     )
 
 
-def group_median(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    """Exact median per group, missing values skipped, NULL where there is none.
-
-    Counted from running totals of the distinct values, so that no task holds a
-    group, whatever its size."""
-    by = list(by)
-    sizes = df.groupBy(*by).agg(F.count(value).alias("_n"))
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    upto = running_total(counted, [F.col(value).asc()], by, "_c", "_upto").join(sizes, by)
-    first = F.col("_upto") - F.col("_c")
-
-    def holds(place):
-        return (first <= place) & (place < F.col("_upto"))
-
-    low, high = F.expr("(_n - 1) div 2"), F.expr("_n div 2")
-    middle = upto.groupBy(*by).agg(
-        (
-            (F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value)))) / 2
-        ).alias(name)
-    )
-    return sizes.select(*by).join(middle, by, "left")
-
-
 def missing_safe_stat(features: DataFrame, stat: str, by: Sequence[str] = ("feature",)) -> DataFrame:
     """(by.., value): mean, median, sum or max of the values that are there."""
     if stat == "median":

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import stddev_floor, variance
-from .measures import group_median
+from .select import group_median
 
 
 def class_stats(

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from rankfield.operators import idmap, measures
+from rankfield.operators import idmap, measures, select
 
 NAN = float("nan")
 VECTORS = {
@@ -100,6 +100,50 @@ def test_median_of_large_groups(spark):
     rows = [("hot" if rng.random() < 0.6 else f"k{rng.randrange(5)}", rng.randrange(7) / 2) for _ in range(900)]
     rows += [("k1", None)] * 3
     df = spark.createDataFrame(rows, "k string, v double")
-    got = {r["k"]: r["m"] for r in measures.group_median(df, ["k"], "v", "m").collect()}
+    got = {r["k"]: r["m"] for r in select.group_median(df, ["k"], "v", "m").collect()}
     want = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
     assert got == want
+
+
+ODD = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, float("inf"), float("-inf")]
+
+
+def test_images_keep_the_order_of_doubles(spark):
+    import struct
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    anything = rng.integers(0, 2**63, 3000).view(np.float64)
+    powers = [p for e in range(-1073, 1024) for p in (2.0**e, float(np.nextafter(2.0**e, 0)))]
+    values = [float(x) for x in np.concatenate([anything, -anything, powers, ODD]) if x == x]
+    df = spark.createDataFrame([(x,) for x in values], "v double")
+    for r in df.select("v", select.ordered_image(F.col("v")).alias("image")).collect():
+        bits = struct.unpack("<q", struct.pack("<d", abs(r["v"])))[0]
+        assert r["image"] == (-bits if r["v"] < 0 else bits)
+    more = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "v double")
+    nan, inf, none = [r[0] for r in more.select(select.ordered_image(F.col("v"))).collect()]
+    assert nan > inf and none is None
+
+
+@pytest.mark.parametrize("spread", [0, 3, 1 << 16])
+def test_median_by_digits_and_by_window(spark, spread):
+    """Groups of all sizes, told apart by digits, by the window, or some by each."""
+    import random
+
+    rng = random.Random(8)
+    rows = [("hot" if rng.random() < 0.4 else f"k{rng.randrange(9)}", rng.gauss(0, 1) * 10 ** rng.randrange(-9, 9)) for _ in range(600)]
+    rows += [("near", 1.0 + k * 2.0**-52) for k in range(10)]  # apart in the last digits only
+    rows += [("two", -1.0), ("two", 3.0), ("one", 5.0), ("same", 2.5), ("same", 2.5), ("none", None), ("k1", None)]
+    rows += [("odd", x) for x in (*ODD, ODD[0], float("inf"))]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r["m"] for r in select.group_median(df, ["k"], "v", "m", spread).collect()}
+    want = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
+    assert got == want
+
+
+def test_places_outside_a_group_have_no_row(spark):
+    counted = spark.createDataFrame([("a", 1.0, 2), ("a", 7.0, 1), ("b", 3.0, 1)], "k string, v double, _c long")
+    places = spark.createDataFrame([("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 0), ("c", 0)], "k string, _place long")
+    got = sorted((r["k"], r["_place"], r["v"]) for r in select.select_places(counted, places, ["k"], "v").collect())
+    assert got == [("a", 0, 1.0), ("a", 1, 1.0), ("a", 2, 7.0), ("b", 0, 3.0)]
