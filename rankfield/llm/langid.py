@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -12,10 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import stage
-from .wordhash import U, lower_table, mix, slices, text_bytes
+from .wordhash import BASE, U, in_worker, mix, slices, text_bytes
 
 BUCKETS = 1 << 14
-GRAMS = (1, 2, 3, 4)  # bytes
+GRAMS = (1, 2, 3, 4)  # characters
 FOLDS = 5
 SMOOTHING = 0.1
 UNKNOWN = "und"
@@ -23,24 +24,39 @@ LANGUAGES = 2_000  # languages of a model, at most; more than there are codes in
 _ASCII_LETTER = re.compile(r"[A-Za-z]")
 
 
-def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, bucket) of every n-gram of the lowered bytes, white space and digits being one sign."""
+def _signs() -> np.ndarray:
+    """The sign every character counts as: in lower case where that is one character; digits, white space and
+    ASCII punctuation before the letters are all one sign."""
+    lowered = (chr(c).lower() for c in range(sys.maxunicode + 1))
+    out = np.array([ord(x) if len(x) == 1 else c for c, x in enumerate(lowered)], np.uint32)
+    out[:65] = 32
+    return out
+
+
+def characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All signs of the texts in a row, and where each text begins; NULL is empty."""
     buf, at = text_bytes(column)
-    sign = lower_table()
-    sign[:65] = 32
-    buf = sign[buf].astype(U)
-    n = len(buf)
+    begins = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+    points = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)
+    return in_worker("langid-signs", _signs)[points], begins[at]
+
+
+def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, bucket) of every n-gram of characters."""
+    signs, at = characters(column)
+    signs = signs.astype(U)
+    n = len(signs)
     who, what = [], []
     value = np.zeros(n, U)
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     last = np.repeat(at[1:], np.diff(at))
     for size in range(1, max(GRAMS) + 1):
         m = max(n - size + 1, 0)
-        value = value[:m] | (buf[size - 1 : size - 1 + m] << U(8 * (size - 1)))
+        value = mix(value[:m] * U(BASE) + signs[size - 1 : size - 1 + m] + U(1))
         if size in GRAMS:
             inside = np.arange(m) + size <= last[:m]
             who.append(text[:m][inside])
-            what.append((mix(value[inside] + (U(size) << U(40))) & U(BUCKETS - 1)).astype(np.int64))
+            what.append((value[inside] & U(BUCKETS - 1)).astype(np.int64))
     return np.concatenate(who), np.concatenate(what)
 
 

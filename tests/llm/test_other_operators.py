@@ -103,6 +103,34 @@ def test_language_of_odd_texts(spark):
     assert all(r.lang_pred == "und" and r.score == 0 for r in nothing)
 
 
+def test_language_grams_are_characters():
+    import pyarrow as pa
+
+    texts = ["Straße 12", None, "", "日本語の文", "Привет, МИР", "İx", "a", "𝒳y"]
+    who, what = langid.grams(pa.array(texts))
+    low = ["".join(" " if ord(c) < 65 else c.lower() if len(c.lower()) == 1 else c for c in t or "") for t in texts]
+    assert [int((who == k).sum()) for k in range(len(texts))] == [sum(max(0, len(t) - g + 1) for g in langid.GRAMS) for t in low]
+    bucket: dict = {}
+    for g in langid.GRAMS:
+        alone = [(t[i : i + g]) for t in low for i in range(len(t) - g + 1)]
+        for gram in alone:
+            w, b = langid.grams(pa.array([gram]))
+            bucket[gram] = int(b[-1])  # the longest gram of a text of its length
+    want = [sorted(bucket[t[i : i + g]] for g in langid.GRAMS for i in range(len(t) - g + 1)) for t in low]
+    assert [sorted(what[who == k].tolist()) for k in range(len(texts))] == want
+
+
+def test_language_of_scripts_and_long_texts(spark):
+    """Texts that share no word with what was learned, told apart by their characters; a text of 2 MB."""
+    lines = {"ru": "сегодня хорошая погода и мы идём гулять в парк ", "bg": "днес времето е хубаво и ние отиваме на разходка ъ ",
+             "ja": "今日は天気がいいので公園へ散歩に行きます", "zh": "今天天气很好我们去公园散步吧"}
+    rows = [(k * 10 + i, text * (i + 1), lang) for k, (lang, text) in enumerate(lines.items()) for i in range(8)]
+    rows += [(900 + k, text * (2_000_000 // len(text)) if k == 0 else text[3:14], None) for k, text in enumerate(lines.values())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs).collect()}
+    assert [got[900 + k] for k in range(4)] == list(lines)
+
+
 def _top(rows, ask, k=10):
     out = {}
     use = [(i, np.floor(1024 * np.array(v, float)).astype(int)) for i, v in rows if v is not None and None not in v and np.isfinite(v).all()]
