@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import with_one_row
@@ -22,6 +22,8 @@ from .sets import set_sizes
 # Mask words of one member joined in one task.
 WORDS_PER_TASK = 64
 WORD = 64
+# Keys that the neighbours of one node are split over.
+HUB_PARTS = 256
 JACCARD_BIN = 0.02
 # Default filters of the similarity network.
 EDGE_P = 0.005
@@ -256,7 +258,7 @@ def co_member_pairs(sets: DataFrame) -> DataFrame:
     Pairs are counted without being formed. Members are numbered; a set becomes
     64-bit masks over blocks of member numbers. Members in exactly the same sets
     have the same partners, so per distinct membership the masks of its sets are
-    or-ed (map-side) and their bits counted."""
+    or-ed (map-side) and their bits counted. A set of many words is many keys."""
     members = number_rows(sets.select("member").distinct(), [F.col("member").asc()], name="m_no")
     numbered = number_sets(sets)
     at = (
@@ -283,8 +285,16 @@ def co_member_pairs(sets: DataFrame) -> DataFrame:
         .select("kind", "_w", F.explode(_bits(F.col("_w.mask"))).alias("_bit"))
         .select("kind", set_no)
     )
+    # a large set is dealt over tasks: its words by number, its kinds to each part
+    parts = words.groupBy("set_no").agg(
+        F.ceil(F.count(F.lit(1)) / WORDS_PER_TASK).cast("int").alias("_parts")
+    )
+    dealt = words.join(parts, "set_no").withColumn("_part", F.pmod("word", "_parts").cast("int"))
+    asking = within.join(parts, "set_no").select(
+        "kind", "set_no", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part")
+    )
     partners = (
-        within.join(words, "set_no")
+        asking.join(dealt, ["set_no", "_part"])
         .groupBy("kind", "word")
         .agg(F.bit_or("mask").alias("mask"))
         .groupBy("kind")
@@ -381,36 +391,55 @@ def incidence_correlation(sets: DataFrame) -> DataFrame:
 
 def correlation_clusters(sets: DataFrame, min_corr: float = 0.5) -> DataFrame:
     """(set_name, cluster): the single-linkage cut at correlation ``min_corr``
-    (> 0), i.e. connected components; a cluster is named by its least set.
-
-    Each round every set takes the least label among its neighbours and then
-    the label of that label; rounds are checkpointed."""
+    (> 0), i.e. connected components; a cluster is named by its least set."""
     if min_corr <= 0:
         raise ValueError("min_corr must be above 0: pairs sharing nothing are not listed")
     near = incidence_correlation(sets).filter(F.col("corr") >= min_corr).select("a", "b")
-    edges = cut(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(set_sizes(sets).select("set_name", F.col("set_name").alias("cluster")))
+    stars = components(near).select(F.col("a").alias("set_name"), F.col("b").alias("_root"))
+    return set_sizes(sets).select("set_name").join(stars, "set_name", "left").select(
+        "set_name", F.coalesce("_root", "set_name").alias("cluster")
+    )
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """(a, b) -> (a, b, least): the least of a and its neighbours.
+
+    The neighbours of a node are split by their hash, so a hub's edges lie in up
+    to ``HUB_PARTS`` keys and only their minima, one a key, meet."""
+    split = edges.withColumn("_part", F.pmod(F.xxhash64("b"), F.lit(HUB_PARTS)))
+    least = split.groupBy("a", "_part").agg(F.min("b").alias("_lo"))
+    least = least.select(
+        "a", "_part", F.least("a", F.min("_lo").over(Window.partitionBy("a"))).alias("least")
+    )
+    return split.join(least, ["a", "_part"]).select("a", "b", "least")
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every greater neighbour of a node moves to the node's least neighbour."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return _with_least(both).filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """A node and its smaller neighbours move to the least of these."""
+    known = _with_least(edges)
+    others = known.filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return known.select("a", F.col("least").alias("b")).unionByName(others)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(a, b): every node ``a`` of the undirected ``edges`` but the least of its
+    component ``b``. Loops and NULL ends are ignored.
+
+    Large and small stars in turn until nothing moves; each turn keeps the
+    components, never adds edges, and is one checkpoint."""
+    stars = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    stars = cut(stars.distinct())
     while True:
-        least = (
-            edges.join(labels.withColumnRenamed("set_name", "b"), "b")
-            .groupBy(F.col("a").alias("set_name"))
-            .agg(F.min("cluster").alias("_near"))
-        )
-        stepped = labels.join(least, "set_name", "left").select(
-            "set_name",
-            "cluster",
-            F.least("cluster", F.coalesce("_near", "cluster")).alias("_next"),
-        )
-        jump = labels.select(F.col("set_name").alias("_next"), F.col("cluster").alias("_root"))
-        moved = cut(
-            stepped.join(jump, "_next").select(
-                "set_name", "cluster", F.least("_next", "_root").alias("_new")
-            )
-        )
-        changed = not moved.filter("_new <> cluster").isEmpty()
-        labels = moved.select("set_name", F.col("_new").alias("cluster"))
-        if not changed:
-            return labels
+        moved = cut(_small_star(_large_star(stars).distinct()).distinct())
+        if moved.count() == stars.count() and moved.join(stars, ["a", "b"], "left_anti").isEmpty():
+            return moved
+        stars = moved
 
 
 # ---- leading-edge analysis -------------------------------------------------

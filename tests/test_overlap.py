@@ -115,3 +115,53 @@ def test_edges_of_two_runs(spark, case):
     assert overlap.similarity_edges(df, first, cutoff=0.0).count() == 0
     out = overlap.similarity_edges(df, first, cutoff=0.0, other_results=other).collect()
     assert [(r["a"], r["b"]) for r in out] == [("S000", "S003")]
+
+
+def _pairs_by_hand(rows):
+    sets = {}
+    for name, member in rows:
+        sets.setdefault(name, set()).add(member)
+    return len({p for v in sets.values() for p in itertools.combinations(sorted(v), 2)})
+
+
+def test_member_pairs_with_a_set_of_most_members(spark, monkeypatch):
+    """A set of many words is dealt over several keys."""
+    monkeypatch.setattr(overlap, "WORDS_PER_TASK", 2)
+    rng = random.Random(4)
+    members = [f"m{k:04d}" for k in range(900)]
+    rows = [("all", m) for m in members[:700]]
+    rows += [(f"s{k}", m) for k in range(12) for m in rng.sample(members, 25)]
+    df = spark.createDataFrame(rows, "set_name string, member string")
+    assert overlap.co_member_pairs(df).head()["distinct_pairs"] == _pairs_by_hand(rows)
+
+
+def _components_by_hand(pairs):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        lo, hi = sorted((root(a), root(b)))
+        parent[hi] = lo
+    return {x: root(x) for x in parent if root(x) != x}
+
+
+@pytest.mark.parametrize("shape", ["path", "hub", "random", "two hubs", "odd", "empty"])
+def test_components(spark, shape, monkeypatch):
+    monkeypatch.setattr(overlap, "HUB_PARTS", 8)
+    rng = random.Random(9)
+    order = [f"n{k:03d}" for k in rng.sample(range(300), 300)]
+    pairs = {
+        "path": list(zip(order[:80], order[1:81])),
+        "hub": [("n999", x) for x in order[:200]] + [(order[0], "a")],
+        "random": [tuple(rng.sample(order, 2)) for _ in range(140)],
+        "two hubs": [(rng.choice(["n999", "a"]), x) for x in order] + [("n999", "a")],
+        "odd": [("x", "x"), ("a", "b"), ("b", "a"), ("a", "b"), (None, "c"), ("d", None)],
+        "empty": [],
+    }[shape]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = {r["a"]: r["b"] for r in overlap.components(df).collect()}
+    assert got == _components_by_hand([p for p in pairs if None not in p and p[0] != p[1]])
