@@ -270,6 +270,7 @@ def co_member_pairs(sets: DataFrame) -> DataFrame:
     words = at.groupBy("set_no", F.floor(F.col("m_no") / WORD).alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(m_no % {WORD} as int))")).alias("mask")
     )
+    words = cut(words)
     # membership signature: one mask per block of 64 sets
     kinds = (
         _masks(sets, numbered)

@@ -1,11 +1,14 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from rankfield.operators import clean, labels, measures, rank
 
 
-def test_numbers_with_one_hot_key(spark):
+@pytest.mark.parametrize("offsets", [0, 200_000])
+def test_numbers_with_one_hot_key(spark, monkeypatch, offsets):
+    monkeypatch.setattr(rank, "BROADCAST_OFFSETS", offsets)
     rng = random.Random(1)
     rows = [
         ("A" if rng.random() < 0.7 else rng.choice("BC"), rng.choice([0.0, 0.0, 1.5, -2.0, None]), k)
