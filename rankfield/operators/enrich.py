@@ -230,10 +230,10 @@ def running_es_full(
 ) -> DataFrame:
     """Running sum at each of the N ranks, for the sets asked for.
 
-    Between two hits the sum falls by one step per rank, so each hit explodes to
-    the ranks up to the next hit; the work is the N rows per set that are the
-    result. The gap after a hit is found by joining hit numbers, not by
-    gathering a set."""
+    Between two hits the sum falls by one step per rank: a line from each hit to
+    the next, found by joining hit numbers, not by gathering a set. Lines are cut at
+    the blocks of ``BLOCK`` ranks and the pieces dealt by (set, block), so a line
+    of any length is many tasks; the work is the N rows per set that are the result."""
     chosen = scored.join(set_names.select("set_name").distinct(), "set_name", "left_semi")
     nxt = chosen.select(
         "set_name", (F.col("hit_no") - 1).alias("hit_no"), F.col("rank").alias("_next")
@@ -256,8 +256,16 @@ def running_es_full(
         (-step).alias("_start"),
         step.alias("_step"),
     )
-    rank = F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)).alias("rank")
-    return spans.unionByName(head).select("set_name", "_from", "_start", "_step", rank).select(
+    first, last = F.expr(f"_from div {BLOCK}"), F.expr(f"(_to - 1) div {BLOCK}")
+    pieces = (
+        spans.unionByName(head)
+        .select("*", F.explode(F.sequence(first, last)).alias("_block"))
+        .repartition("set_name", "_block")
+    )
+    begin = F.greatest(F.col("_from"), F.col("_block") * BLOCK)
+    end = F.least(F.col("_to"), (F.col("_block") + 1) * BLOCK)
+    rank = F.explode(F.sequence(begin, end - 1)).alias("rank")
+    return pieces.select("set_name", "_from", "_start", "_step", rank).select(
         "set_name",
         "rank",
         (F.col("_start") - (F.col("rank") - F.col("_from")) * F.col("_step")).alias("running_es"),

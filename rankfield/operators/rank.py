@@ -41,7 +41,7 @@ def _earlier_tasks(by: Sequence[str]):
     )
 
 
-def _beside(tasks: DataFrame, by: Sequence[str]) -> DataFrame:
+def beside(tasks: DataFrame, by: Sequence[str]) -> DataFrame:
     """Offsets to be joined to the placed rows: sent to them, so that these stay
     in their tasks, where they are few; without groups there is one a task."""
     if not by:
@@ -66,7 +66,7 @@ def number_rows(
         F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first")
     )
     before = F.coalesce(F.sum("_n").over(_earlier_tasks(by)), F.lit(0))
-    tasks = _beside(tasks.select(*by, "_task", (before - F.col("_first")).alias("_shift")), by)
+    tasks = beside(tasks.select(*by, "_task", (before - F.col("_first")).alias("_shift")), by)
     return placed.join(tasks, [*by, "_task"]).select(
         *[placed[c] for c in df.columns if c != name],
         (F.col("_pos") + F.col("_shift") + start).cast("long").alias(name),
@@ -82,7 +82,7 @@ def running_total(
     placed = _placed(df, order, by)
     tasks = placed.groupBy(*by, "_task").agg(F.sum(amount).alias("_sum"))
     before = F.coalesce(F.sum("_sum").over(_earlier_tasks(by)), F.lit(0))
-    tasks = _beside(tasks.select(*by, "_task", before.alias("_before")), by)
+    tasks = beside(tasks.select(*by, "_task", before.alias("_before")), by)
     inside = Window.partitionBy(*by, "_task").orderBy("_pos").rowsBetween(
         Window.unboundedPreceding, 0
     )

@@ -1,11 +1,12 @@
-"""Numbered text lines, in file order, without reading a file in one task."""
+"""Numbered text lines, in file order, without a sort and without reading a file in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.rank import number_rows
+from ..operators.rank import beside
+from ..session import cut
 
 
 def source_name(path: Column, extension: str) -> Column:
@@ -19,34 +20,56 @@ def source_name(path: Column, extension: str) -> Column:
     return F.url_decode(name)
 
 
-def read_lines(
-    spark: SparkSession,
-    path: str,
-    *,
-    comments: bool = False,
-    blanks: bool = False,
+def is_text(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, "\t", " ")) != ""
+
+
+def split_lines(
+    spark: SparkSession, path: str, *, comments: bool = False, blanks: bool = False
 ) -> DataFrame:
-    """(file, line_no, line): lines numbered from 0 per file, after dropping
-    comment and blank lines unless asked for.
+    """(file, _block, line): the lines of every split, in their order, where they were
+    read; comment and blank lines are dropped unless asked for.
 
-    A split's byte offset and the position within the split order the lines;
-    :func:`number_rows` turns that order into numbers with one range shuffle."""
+    The lines are checkpointed as they come, without a shuffle, so that all later
+    uses see the same splits and tasks."""
     lines = (
         spark.read.option("recursiveFileLookup", "true")
         .text(path)
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_at"),
             F.regexp_replace("value", r"\r$", "").alias("line"),
         )
     )
     if not comments:
         lines = lines.filter(~F.ltrim("line").startswith("#"))
     if not blanks:
-        lines = lines.filter(F.trim(F.regexp_replace("line", "\t", " ")) != "")
-    order = [F.col("_block").asc(), F.col("_at").asc()]
-    return number_rows(lines, order, ["file"], name="line_no").select("file", "line_no", "line")
+        lines = lines.filter(is_text(F.col("line")))
+    return cut(lines)
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """(file, line_no, line) of :func:`split_lines` or a filter of it, numbered from 0
+    per file: the place inside a split plus the counts of the splits ahead of it. Only
+    the counts are shuffled; a file has one per split."""
+    placed = lines.withColumn("_at", F.monotonically_increasing_id())
+    splits = placed.groupBy("file", "_block").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")
+    )
+    ahead = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(ahead), F.lit(0))
+    shifts = splits.select("file", "_block", (before - F.col("_first")).alias("_shift"))
+    return placed.join(beside(shifts, ["file"]), ["file", "_block"]).select(
+        "file", (F.col("_at") + F.col("_shift")).alias("line_no"), "line"
+    )
+
+
+def read_lines(
+    spark: SparkSession, path: str, *, comments: bool = False, blanks: bool = False
+) -> DataFrame:
+    """(file, line_no, line): lines numbered from 0 per file, after dropping
+    comment and blank lines unless asked for."""
+    return number_lines(split_lines(spark, path, comments=comments, blanks=blanks))
 
 
 def require(ok: Column, message: Column | str, value: Column) -> Column:

@@ -1,49 +1,74 @@
 """Feature matrix readers: text in, long cells out.
 
 Cells: (dataset, row_idx, feature, description, sample_idx, sample, value). The
-header of a file (one row) is joined to its lines by file name, and every line
-expands to its cells where it is; cells are not shuffled.
+head of a file (one row) is joined to its lines by file name, and every line
+expands to its cells where it is; neither lines nor cells are shuffled while all
+heads together stay below ``HEAD_BYTES``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_feature_name, number_error, parse_number, split_fields
-from ..operators.rank import number_rows
-from .lines import read_lines, require, source_name
+from ..session import cut
+from .lines import is_text, number_lines, read_lines, require, source_name, split_lines
 
 CELLS = ["dataset", "row_idx", "feature", "description", "sample_idx", "sample", "value"]
 MISSING_DESCRIPTION = "na"
+HEAD_BYTES = 64 << 20  # sample names sent to every task, at most
+
+
+def _under_heads(
+    lines: DataFrame, head: DataFrame, extension: str, good: Column | None = None
+) -> DataFrame:
+    """The data lines with ``dataset``, ``row_idx`` and the columns of their file's head.
+
+    ``head`` has file, ``header`` (sample names) and ``_skip``, the number of lines
+    ahead of the data. Rows follow from line numbers and the row counts of the files
+    ahead in the data set. ``good`` is checked for every file; it may use ``_have``,
+    the rows that are there."""
+    last = lines.groupBy("file").agg(F.max("line_no").alias("_last"))
+    ahead = Window.partitionBy("dataset").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    file = F.col("file")
+    head = (
+        head.join(last, "file")
+        .withColumn("_have", F.greatest(F.col("_last") + 1 - F.col("_skip"), F.lit(0)))
+        .withColumn("dataset", source_name(file, extension))
+        .withColumn("_ahead", F.coalesce(F.sum("_have").over(ahead), F.lit(0)))
+    )
+    if good is not None:
+        wrong = F.concat(F.lit("row or column count differs: "), file)
+        head = head.withColumn("file", require(F.coalesce(good, F.lit(False)), wrong, file))
+    head = cut(head.drop("_have", "_last"))
+    size = head.agg(F.sum(F.length(F.array_join("header", "\t")))).head()[0] or 0
+    return (
+        lines.join(F.broadcast(head) if size <= HEAD_BYTES else head, "file")
+        .filter(F.col("line_no") >= F.col("_skip"))
+        .withColumn("row_idx", F.col("_ahead") + F.col("line_no") - F.col("_skip"))
+    )
 
 
 def _cells(
     rows: DataFrame,
-    extension: str,
     feature: Column,
     description: Column,
     values: Column,
     calls: Column | None = None,
 ) -> DataFrame:
-    """``rows`` has file, line_no, ``header`` (sample names) and the fields that
-    ``feature`` .. ``values`` refer to."""
-    placed = number_rows(
-        rows.select(
-            source_name(F.col("file"), extension).alias("dataset"),
-            "file",
-            "line_no",
-            "header",
-            clean_feature_name(feature).alias("feature"),
-            F.when(F.trim(description) == "", MISSING_DESCRIPTION)
-            .otherwise(F.trim(description))
-            .alias("description"),
-            values.alias("_values"),
-            (calls if calls is not None else F.lit(None).cast("array<string>")).alias("_calls"),
-        ),
-        [F.col("file").asc(), F.col("line_no").asc()],
-        ["dataset"],
-        name="row_idx",
+    """``rows`` come from :func:`_under_heads`, with the fields that ``feature`` ..
+    ``values`` refer to."""
+    placed = rows.select(
+        "dataset",
+        "row_idx",
+        "header",
+        clean_feature_name(feature).alias("feature"),
+        F.when(F.trim(description) == "", MISSING_DESCRIPTION)
+        .otherwise(F.trim(description))
+        .alias("description"),
+        values.alias("_values"),
+        (calls if calls is not None else F.lit(None).cast("array<string>")).alias("_calls"),
     )
     # name, text and call travel together, so a cell carries no row arrays
     parts = [F.col("header").alias("n"), F.col("_values").alias("v")]
@@ -87,37 +112,26 @@ def _fields(lines: DataFrame, line_no: int) -> DataFrame:
     )
 
 
+def _names(skip: int) -> Column:
+    """Sample names of a header line behind ``skip`` leading fields."""
+    return F.filter(F.slice("_f", skip + 1, 1 << 30), lambda x: x != "").alias("header")
+
+
 def read_gct(spark: SparkSession, path: str) -> DataFrame:
     """``#1.2`` line, counts line, header, rows; both counts are checked."""
     lines = read_lines(spark, path)
-    data = lines.filter("line_no >= 2")
     counts = _fields(lines, 0).select(
         "file",
-        F.col("_f")[0].cast("long").alias("_n_row"),
-        F.get("_f", F.lit(1)).cast("int").alias("_n_col"),
-    )
-    header = _fields(lines, 1).select(
-        "file", F.filter(F.slice("_f", 3, 1 << 30), lambda x: x != "").alias("header")
-    )
-    have = data.groupBy("file").agg(F.count(F.lit(1)).alias("_have"))
-    head = (
-        counts.join(header, "file")
-        .join(have, "file")
-        .withColumn(
-            "file",
-            require(
-                (F.size("header") == F.col("_n_col")) & (F.col("_have") == F.col("_n_row")),
-                F.concat(F.lit("row or column count differs: "), F.col("file")),
-                F.col("file"),
-            ),
-        )
-        .select("file", "header")
-    )
-    rows = data.join(head, "file").withColumn(
-        "_f", split_fields("line", F.size("header") + 2)
+        F.col("_f")[0].try_cast("long").alias("_n_row"),
+        F.get("_f", F.lit(1)).try_cast("int").alias("_n_col"),
     )
+    head = counts.join(_fields(lines, 1).select("file", _names(2)), "file", "left")
+    good = (F.size("header") == F.col("_n_col")) & (F.col("_have") == F.col("_n_row"))
     n = F.size("header")
-    return _cells(rows, ".gct", F.col("_f")[0], F.col("_f")[1], F.slice("_f", F.lit(3), n))
+    rows = _under_heads(lines, head.withColumn("_skip", F.lit(2)), ".gct", good).withColumn(
+        "_f", split_fields("line", n + 2)
+    )
+    return _cells(rows, F.col("_f")[0], F.col("_f")[1], F.slice("_f", F.lit(3), n))
 
 
 def read_txt_matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -125,70 +139,58 @@ def read_txt_matrix(spark: SparkSession, path: str) -> DataFrame:
     lines = read_lines(spark, path)
     is_desc = F.upper(F.get("_f", F.lit(1))).isin("DESCRIPTION", "DESC")
     head = _fields(lines, 0).select(
-        "file",
-        F.when(is_desc, 2).otherwise(1).alias("_skip"),
-        F.col("_f").alias("_head"),
+        "file", F.when(is_desc, 2).otherwise(1).alias("_lead"), F.col("_f").alias("_head")
     ).select(
         "file",
-        "_skip",
+        "_lead",
         F.filter(
-            F.slice("_head", F.col("_skip") + 1, F.size("_head")), lambda x: x != ""
+            F.slice("_head", F.col("_lead") + 1, F.size("_head")), lambda x: x != ""
         ).alias("header"),
+        F.lit(1).alias("_skip"),
     )
-    rows = lines.filter("line_no >= 1").join(head, "file").withColumn(
-        "_f", split_fields("line", F.size("header") + F.col("_skip"))
+    rows = _under_heads(lines, head, ".txt").withColumn(
+        "_f", split_fields("line", F.size("header") + F.col("_lead"))
     )
-    description = F.when(F.col("_skip") == 2, F.col("_f")[1]).otherwise(F.lit(""))
-    values = F.slice("_f", F.col("_skip") + 1, F.size("header"))
-    return _cells(rows, ".txt", F.col("_f")[0], description, values)
+    description = F.when(F.col("_lead") == 2, F.col("_f")[1]).otherwise(F.lit(""))
+    values = F.slice("_f", F.col("_lead") + 1, F.size("header"))
+    return _cells(rows, F.col("_f")[0], description, values)
 
 
 def read_res(spark: SparkSession, path: str) -> DataFrame:
-    """Description, accession, then (value, call) pairs; adds ``call``."""
-    lines = read_lines(spark, path, blanks=True)
-    header = _fields(lines, 0).select(
-        "file", F.filter(F.slice("_f", 3, 1 << 30), lambda x: x != "").alias("header")
+    """Description, accession, then (value, call) pairs; adds ``call``. The second of
+    the three leading lines may be blank; blank lines among the rows are dropped."""
+    split = split_lines(spark, path, blanks=True)
+    everything = number_lines(split)
+    lead = everything.filter("line_no < 3").groupBy("file").agg(
+        F.count_if(is_text(F.col("line"))).alias("_skip")
     )
-    counts = _fields(lines, 2).select("file", F.col("_f")[0].cast("long").alias("_n_row"))
-    data = lines.filter("line_no >= 3").filter(F.trim("line") != "")
-    have = data.groupBy("file").agg(F.count(F.lit(1)).alias("_have"))
-    head = (
-        header.join(counts, "file")
-        .join(have, "file")
-        .withColumn(
-            "file",
-            require(
-                F.col("_have") == F.col("_n_row"),
-                F.concat(F.lit("row count differs: "), F.col("file")),
-                F.col("file"),
-            ),
-        )
-        .select("file", "header")
+    counts = _fields(everything, 2).select("file", F.col("_f")[0].try_cast("long").alias("_n_row"))
+    head = _fields(everything, 0).select("file", _names(2)).join(lead, "file").join(
+        counts, "file", "left"
     )
     n = F.size("header")
-    rows = data.join(head, "file").withColumn("_f", split_fields("line", n * 2 + 2))
+    lines = number_lines(split.filter(is_text(F.col("line"))))
+    rows = _under_heads(lines, head, ".res", F.col("_have") == F.col("_n_row")).withColumn(
+        "_f", split_fields("line", n * 2 + 2)
+    )
     at = F.sequence(F.lit(0), n - 1)
     values = F.transform(at, lambda i: F.get(F.col("_f"), i * 2 + 2))
     calls = F.transform(at, lambda i: F.get(F.col("_f"), i * 2 + 3))
-    return _cells(rows, ".res", F.col("_f")[1], F.col("_f")[0], values, calls)
+    return _cells(rows, F.col("_f")[1], F.col("_f")[0], values, calls)
 
 
 def read_pcl(spark: SparkSession, path: str) -> DataFrame:
     """UNIQID, NAME, GWEIGHT (must be 1), samples; the EWEIGHT line is skipped."""
     lines = read_lines(spark, path)
-    head = _fields(lines, 0).select(
-        "file", F.filter(F.slice("_f", 4, 1 << 30), lambda x: x != "").alias("header")
-    )
+    head = _fields(lines, 0).select("file", _names(3), F.lit(2).alias("_skip"))
     n = F.size("header")
-    rows = lines.filter("line_no >= 2").join(head, "file").withColumn(
-        "_f", split_fields("line", n + 3)
-    )
+    rows = _under_heads(lines, head, ".pcl").withColumn("_f", split_fields("line", n + 3))
     feature = require(
         F.col("_f")[2].try_cast("double") == 1.0,
         F.concat(F.lit("GWEIGHT must be 1: "), F.col("_f")[0]),
         F.col("_f")[0],
     )
-    return _cells(rows, ".pcl", feature, F.col("_f")[1], F.slice("_f", F.lit(4), n))
+    return _cells(rows, feature, F.col("_f")[1], F.slice("_f", F.lit(4), n))
 
 
 def read_table(spark: SparkSession, path: str, numeric: bool = False) -> DataFrame:

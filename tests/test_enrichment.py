@@ -121,6 +121,25 @@ def test_full_profile(case):
             assert by_set[name][119] == pytest.approx(0, abs=1e-9)
 
 
+@pytest.mark.parametrize("block", [1, 7, 50, 1 << 16])
+def test_full_profile_is_cut_at_blocks(case, monkeypatch, block):
+    _, picks, ranked, members = case
+    hits = enrich.hits(ranked, members)
+    monkeypatch.setattr(enrich, "BLOCK", 1 << 16)
+    points = {}
+    for r in hits.collect():
+        points.setdefault(r["set_name"], {})[r["rank"]] = (r["running_es"], r["n_hits"])
+    monkeypatch.setattr(enrich, "BLOCK", block)
+    full = enrich.running_es_full(ranked, hits, members)
+    got = {(r["set_name"], r["rank"]): r["running_es"] for r in full.collect()}
+    assert len(got) == full.count() == 120 * len(picks)
+    for name, at in points.items():
+        value, n = 0.0, len(at)
+        for rank in range(120):
+            value = at[rank][0] if rank in at else value - 1 / (120 - n)
+            assert got[name, rank] == pytest.approx(value, abs=1e-9)
+
+
 def test_leading_edge_sides(case):
     _, picks, ranked, members = case
     hits = enrich.hits(ranked, members)

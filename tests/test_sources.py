@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankfield.functions import text
 from rankfield.operators import idmap
 from rankfield.sources import collections as coll
-from rankfield.sources import label_files, matrices, result_files, writers
+from rankfield.sources import label_files, lines, matrices, result_files, writers
 
 
 def put(tmp_path, name, content):
@@ -69,6 +69,87 @@ def test_res_and_pcl(spark, tmp_path):
         matrices.read_pcl(spark, bad).collect()
 
 
+@pytest.fixture
+def small_splits(spark):
+    names = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "40"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_lines_of_many_splits(spark, tmp_path, small_splits):
+    wanted = {}
+    for f in range(4):
+        text_lines = [f"{f}:{i} " + "x" * (i * 7 % 40) for i in range(60 * f)]
+        shown = [t for i, t in enumerate(text_lines) for t in ([t, "", "#c"] if i % 5 == 0 else [t])]
+        put(tmp_path, f"{f}.t", "".join(t + "\r\n" for t in shown))
+        wanted.update({(f"{f}.t", i): t for i, t in enumerate(text_lines)})
+    got = lines.read_lines(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() > 20
+    rows = got.collect()
+    assert {(os.path.basename(r["file"]), r["line_no"]): r["line"] for r in rows} == wanted
+    assert len(rows) == len(wanted)
+
+
+def test_lines_are_not_sorted(spark, tmp_path):
+    put(tmp_path, "a.t", "one\ntwo\n")
+    got = lines.read_lines(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Sort" not in plan and "hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("ext", ["gct", "txt", "pcl", "res"])
+def test_rows_go_on_over_files_and_splits(spark, tmp_path, small_splits, ext):
+    """One data set of two files of many splits, and a data set of its own."""
+    read = {
+        "gct": matrices.read_gct, "txt": matrices.read_txt_matrix,
+        "pcl": matrices.read_pcl, "res": matrices.read_res,
+    }[ext]
+    n = {"x.%s/part-0" % ext: 40, "x.%s/part-1" % ext: 25, "y.%s" % ext: 30}
+    (tmp_path / f"x.{ext}").mkdir()
+    wanted, first = {}, {"x": 0, "y": 0}
+    for file, rows in n.items():
+        name = file[0]
+        head = {
+            "gct": f"#1.2\n{rows}\t2\nNAME\tDescription\ts1\ts2\n",
+            "txt": "NAME\tDESCRIPTION\ts1\ts2\n",
+            "pcl": "UNIQID\tNAME\tGWEIGHT\ts1\ts2\nEWEIGHT\t\t\t1\t1\n",
+            "res": f"Description\tAccession\ts1\t\ts2\n{'' if rows > 30 else 'note'}\n{rows}\n",
+        }[ext]
+        line = {
+            "gct": "{0}\td\t{1}\t2\n", "txt": "{0}\td\t{1}\t2\n",
+            "pcl": "{0}\td\t1\t{1}\t2\n", "res": "d\t{0}\t{1}\tP\t2\tA\n",
+        }[ext]
+        body = ""
+        for i in range(rows):
+            body += line.format(f"f{i}{file[-1]}", i) + ("\n" if i % 9 == 4 else "")
+            wanted[name, first[name] + i] = (f"f{i}{file[-1]}", float(i))
+        first[name] += rows
+        put(tmp_path, file, head + body)
+    rows = read(spark, str(tmp_path)).filter("sample = 's1'").collect()
+    assert {(r["dataset"], r["row_idx"]): (r["feature"], r["value"]) for r in rows} == wanted
+    assert len(rows) == len(wanted)
+
+
+def test_promised_rows_must_be_there(spark, tmp_path):
+    path = put(tmp_path, "none.gct", "#1.2\n2\t1\nNAME\tDescription\ts1\n")
+    with pytest.raises(Exception, match="count differs"):
+        matrices.read_gct(spark, path).collect()
+    path = put(tmp_path, "zero.gct", "#1.2\n0\t1\nNAME\tDescription\ts1\n")
+    assert matrices.read_gct(spark, path).collect() == []
+    assert matrices.read_txt_matrix(spark, put(tmp_path, "empty.txt", "")).collect() == []
+
+
+def test_large_heads_are_joined(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(matrices, "HEAD_BYTES", 0)
+    path = put(tmp_path, "a.txt", "NAME\ts1\ts2\nf1\t1\t2\n")
+    rows = matrices.read_txt_matrix(spark, path).orderBy("sample_idx").collect()
+    assert [(r["row_idx"], r["sample"], r["value"]) for r in rows] == [(0, "s1", 1.0), (0, "s2", 2.0)]
+
+
 def test_missing_cells_round_trip(spark, tmp_path):
     df = spark.createDataFrame(
         [(0, "f1", 0, "s1", 1.0), (0, "f1", 2, "s3", 3.0), (5, "f2", 1, "s2", 2.0)],
