@@ -13,8 +13,10 @@ from .staging import stage
 
 K = 10
 SCALE = 1024
-QUERY_BLOCK = 4_096  # queries sent to the executors at once, at most
+QUERY_BLOCK = 1_024  # queries multiplied at once, at most
 TILE = 4_096  # rows of a shard multiplied at once
+SHARD_ROWS = 8_192  # rows of a shard, about; a task holds one shard
+PARTITIONS = 20_000  # tasks the shards are dealt to, at most
 FAN = 64  # partial lists merged into one in a round
 _EXACT = 2.0**53
 
@@ -65,6 +67,55 @@ def select_best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray,
     return np.nonzero(above | level)
 
 
+def _merged(best: tuple | None, score: np.ndarray, q_ids: np.ndarray, ids: np.ndarray, k: int) -> tuple:
+    """(query row, id, score) of the ``k`` best of every query among ``best`` and a further tile, in order."""
+    # Own rows are taken out after the selection, which leaves room for them.
+    own = q_ids[:, None] == ids
+    r, c = select_best(score, ids, k + int(own.sum(axis=1).max(initial=0)))
+    keep = ~own[r, c]
+    r, found, s = r[keep], ids[c[keep]], score[r[keep], c[keep]]
+    if best is not None:
+        r, found, s = (np.concatenate(x) for x in zip(best, (r, found, s)))
+    order = np.lexsort((found, -s, r))
+    r, found, s = r[order], found[order], s[order]
+    within = np.arange(len(r)) - np.searchsorted(r, np.arange(len(q_ids)))[r] < k
+    return r[within], found[within], s[within]
+
+
+def _searcher(k: int, query_block: int):
+    """Rows sorted by shard, a shard's vectors (kind 0) ahead of its queries (kind 1): the vectors are
+    kept as tiles, the queries pass by in blocks and leave their ``k`` best of the shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tiles = None, {}
+        for batch in batches:
+            shard, kind = np.asarray(batch.column("shard")), np.asarray(batch.column("kind"))
+            turn = np.flatnonzero((np.diff(shard) != 0) | (np.diff(kind) != 0)) + 1
+            for a, b in zip(np.concatenate([[0], turn]), np.concatenate([turn, [len(shard)]])):
+                if a == b:
+                    continue
+                if shard[a] != now:
+                    now, tiles = shard[a], {}
+                step = query_block if kind[a] else TILE
+                for begin in range(a, b, step):
+                    for ids, v in _matrices(batch.slice(begin, min(step, b - begin))):
+                        if not kind[a]:
+                            tiles.setdefault(v.shape[1], []).append((ids, v))
+                            continue
+                        best = None
+                        for found, w in tiles.get(v.shape[1], []):
+                            best = _merged(best, products(v, w), ids, found, k)
+                        if best is not None and len(best[0]):
+                            r, found, score = best
+                            part = np.full(len(r), now, np.int64)
+                            yield pa.record_batch(
+                                [pa.array(ids[r]), pa.array(found), pa.array(score), pa.array(part)],
+                                names=["query_id", "vec_id", "score", "part"],
+                            )
+
+    return run
+
+
 def top_k(
     vectors: DataFrame,
     queries: DataFrame,
@@ -73,6 +124,7 @@ def top_k(
     vector_name: str = "embedding",
     scale: int = SCALE,
     query_block: int = QUERY_BLOCK,
+    shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row of ``queries`` the ``k`` rows of ``vectors`` with the
     largest integer inner products, all where there are fewer; ties go to the smaller id.
@@ -82,81 +134,25 @@ def top_k(
     repeating an id the smallest vector asks; candidate rows repeating an id are candidates each.
     Other columns are ignored.
 
-    Queries go out in blocks of ``query_block`` against all rows: a block is all that is ever sent to
-    an executor or passes through the driver. A task multiplies tile by tile and keeps k rows a query.
+    Vectors are dealt once to shards of about ``shard_rows``, however often an id repeats, and every
+    shard gets all queries. A task holds the tiles of one shard while queries pass by in blocks of
+    ``query_block``, so neither side has to fit a task, the driver or a broadcast.
     """
-    spark = vectors.sparkSession
-    rows = integers(vectors, id_name, vector_name, scale)
+    # On disk, so that a row's number, and with it its shard, stays when a task is run again.
+    rows = stage(integers(vectors, id_name, vector_name, scale), "vectors")
+    shards = max(1, -(-rows.count() // shard_rows))
+    deal = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards))
+    held = rows.select(deal.alias("shard"), F.lit(0).alias("kind"), "id", "v")
     asked = integers(queries, id_name, vector_name, scale).groupBy("id").agg(F.min("v").alias("v"))
-    asked = stage(asked, "queries")
-    blocks = max(1, -(-asked.count() // query_block))
-    if blocks > 1:
-        asked = stage(asked.repartition(blocks), "query-blocks")
-    done = None
-    schema = "query_id long, vec_id long, score long, part long"
-
-    def blocks_of(rows) -> Iterator[list]:
-        held: list = []
-        for r in rows:
-            held.append((r.id, r.v))
-            if len(held) == query_block:
-                yield held
-                held = []
-        if held:
-            yield held
-
-    for block in blocks_of(asked.toLocalIterator()):
-        by_size: dict[int, tuple] = {}
-        for d in {len(v) for _, v in block}:
-            some = [(i, v) for i, v in block if len(v) == d]
-            by_size[d] = (np.array([i for i, _ in some]), np.array([v for _, v in some], np.int64).reshape(len(some), d))
-        sent = spark.sparkContext.broadcast(by_size)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for batch in batches:
-                for begin in range(0, batch.num_rows, TILE):
-                    for ids, v in _matrices(batch.slice(begin, TILE)):
-                        d = v.shape[1]
-                        if d not in sent.value:
-                            continue
-                        q_ids, q = sent.value[d]
-                        score = products(q, v)
-                        # Own rows and missing places rank last and are taken out at the end.
-                        own = q_ids[:, None] == ids
-                        own_k = k + int(own.sum(axis=1).max(initial=0))
-                        r, c = select_best(score, ids, own_k)
-                        keep = ~own[r, c]
-                        r, found, s = r[keep], ids[c[keep]], score[r[keep], c[keep]]
-                        if d in best:
-                            r0, i0, s0 = best[d]
-                            r, found, s = np.concatenate([r0, r]), np.concatenate([i0, found]), np.concatenate([s0, s])
-                        order = np.lexsort((found, -s, r))
-                        r, found, s = r[order], found[order], s[order]
-                        first = np.searchsorted(r, np.arange(len(q_ids)))
-                        within = np.arange(len(r)) - first[r] < k
-                        best[d] = r[within], found[within], s[within]
-            part = TaskContext.get().partitionId()
-            for d, (r, found, s) in best.items():
-                q_ids = sent.value[d][0]
-                yield pa.record_batch(
-                    {
-                        "query_id": pa.array(q_ids[r]),
-                        "vec_id": pa.array(found),
-                        "score": pa.array(s),
-                        "part": pa.array(np.full(len(r), part, np.int64)),
-                    }
-                )
-
-        one = rows.mapInArrow(run, schema)
-        if blocks > 1:
-            one = stage(one, "partial-top")
-        done = one if done is None else done.union(one)
-    if done is None:
-        done = spark.createDataFrame([], schema)
-    parts = rows.rdd.getNumPartitions()
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
+    sent = asked.select(every.alias("shard"), F.lit(1).alias("kind"), "id", "v")
+    done = (
+        held.unionByName(sent)
+        .repartition(min(4 * shards, PARTITIONS), "shard")
+        .sortWithinPartitions("shard", "kind", "id")
+        .mapInArrow(_searcher(k, query_block), "query_id long, vec_id long, score long, part long")
+    )
+    parts = shards
     order = (F.desc("score"), F.asc("vec_id"))
     while parts > FAN:
         parts = -(-parts // FAN)

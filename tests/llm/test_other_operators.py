@@ -161,6 +161,25 @@ def test_top_k(spark, monkeypatch, block):
     assert topk.top_k(frame, frame.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("shard_rows", [1, 40, 700])
+def test_top_k_over_shards(spark, monkeypatch, shard_rows):
+    """Shards down to a row each, tiles of 16 rows, ids and whole rows that repeat."""
+    rng = np.random.default_rng(9)
+    n = 60 if shard_rows == 1 else 900
+    rows = [(k, [float(x) for x in rng.normal(size=6).round(2)]) for k in range(n)]
+    rows += [(7, rows[7][1])] * (n // 3) + [(11, [float(x) for x in rng.normal(size=6).round(2)]) for _ in range(20)]
+    monkeypatch.setattr(topk, "TILE", 16)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    asking = frame.filter("vec_id % 5 = 0")
+    got = topk.top_k(frame, asking, query_block=32, shard_rows=shard_rows).collect()
+    by_query = {}
+    for r in got:
+        by_query.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert {q: sorted(x) for q, x in by_query.items()} == _top(rows, lambda q: q % 5 == 0)
+    plan = topk.top_k(frame, asking, shard_rows=shard_rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Broadcast" not in plan
+
+
 ODD = ["It's don't we'll I'd they've I'm you're ''s 's' 12ab3  x!'s <|endoftext|> hi", "ΑΣ ΟΔΟΣ", "İstanbul é é ﬁ ß ẞ",
        "日本語 12３ ½ٱ a​b c\x1cd\x85e'", "", "   ", "a'st 're're'x", "\U0001F600\U0001F600'll<|", "'sam x''d y'D 'S", None]
 
