@@ -6,8 +6,8 @@ the bytes of all windows with one minimiser, and only contexts of equal grams ca
 
 1. An occurrence of a context that is not its first goes with all its windows.
 2. First occurrences of different contexts around the same gram meet in a run-length index: their
-   Burrows-Wheeler transform, kept as runs with the text positions of the run ends. Texts are streamed back through
-   it from their ends; at each step the row tells whether a match of 100 bytes or more starts earlier.
+   Burrows-Wheeler transform, kept as runs, with text positions sampled where runs and matches end. Texts are
+   streamed back through it from their ends, with the place of their earliest match of 100 bytes at each step.
 """
 
 from __future__ import annotations
@@ -149,8 +149,12 @@ class RunLengthIndex:
     """Run-compressed Burrows-Wheeler transform of several texts, each ended by a sign of its own.
 
     ``run``: first row of each run of equal preceding signs; ``jump``: the row that the run's first row
-    leads to when its text is read one sign further back; ``sample``: text position at each run's end.
-    ``group``: first row of each group of rows that agree in 100 bytes; ``earliest``: smallest text position in it.
+    leads to when its text is read one sign further back.
+
+    Rows that agree in 100 bytes are a group. Mostly a group is another one read one sign back: all of that
+    group's rows lie in one run, and nothing joins them. Its smallest text position is then that of the other
+    less one. Only the groups where this fails, at the ends of runs and of matches, are sampled: ``begin``,
+    ``until`` (rows) and ``sample`` (smallest text position). Nothing kept is as long as the texts.
     """
 
     def __init__(self, texts: list[bytes]):
@@ -160,40 +164,62 @@ class RunLengthIndex:
         sign = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + len(texts)
         sign[self.end] = np.arange(len(texts))
         order, same = _sorted_suffixes(sign)
-        self.row_of_end = np.argsort(order, kind="stable")[self.end] if n else np.empty(0, np.int64)
+        row = np.empty(n, np.int64)
+        row[order] = np.arange(n)
+        self.row_of_end = row[self.end]
         before = sign[order - 1]
         first = np.ones(n, bool)
         first[1:] = before[1:] != before[:-1]
         self.run = np.flatnonzero(first)
-        run_end = np.append(self.run[1:], n) - 1
-        self.sample = order[run_end]
-        length = run_end - self.run + 1
+        length = np.diff(np.append(self.run, n))
         head = before[self.run]
         by_head = np.argsort(head, kind="stable")
         self.jump = np.empty(len(self.run), np.int64)
         self.jump[by_head] = np.concatenate([[0], np.cumsum(length[by_head])[:-1]])
-        self.group = np.flatnonzero(~same)
-        self.earliest = np.minimum.reduceat(order, self.group)
+
+        group = np.flatnonzero(~same)
+        size = np.diff(np.append(group, n))
+        number = np.repeat(np.arange(len(group)), size)
+        # The group of each row's text one sign further on; a text's end has none and is where reading begins.
+        ahead = number[row[np.minimum(order + 1, n - 1)]]
+        low, high = np.minimum.reduceat(ahead, group), np.maximum.reduceat(ahead, group)
+        sampled = (low != high) | (size[low] != size)
+        self.begin, self.until = group[sampled], (group + size)[sampled]
+        self.sample = np.minimum.reduceat(order, group)[sampled]
 
     def back(self, row: np.ndarray) -> np.ndarray:
         """Rows of the suffixes that begin one sign earlier."""
         run = np.searchsorted(self.run, row, "right") - 1
         return self.jump[run] + row - self.run[run]
 
-    def earlier_matches(self) -> np.ndarray:
-        """For every text position, whether the 100 bytes from there also begin at a smaller position."""
-        out = np.zeros(self.end[-1] + 1, bool)
+    def earliest(self, row: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Smallest text position that agrees with ``row`` in 100 bytes: the sample of its group, else ``follows``."""
+        if not len(self.begin):
+            return follows
+        k = np.maximum(np.searchsorted(self.begin, row, "right") - 1, 0)
+        return np.where((self.begin[k] <= row) & (row < self.until[k]), self.sample[k], follows)
+
+    def matches(self) -> np.ndarray:
+        """Matching statistics of the texts, at 100 bytes: for every text position the smallest position
+        whose 100 bytes equal those from there, itself where nothing earlier does. All texts are streamed
+        side by side, from their ends back."""
+        out = np.arange(self.end[-1] + 1)
         begin = np.append(0, self.end[:-1] + 1)
-        row, at = self.row_of_end.copy(), self.end.copy()
+        row, at, first = self.row_of_end, self.end, self.end
         active = at > begin
         while active.any():
-            row, at, begin = row[active], at[active], begin[active]
+            row, at, begin, first = row[active], at[active], begin[active], first[active]
             row, at = self.back(row), at - 1
-            group = np.searchsorted(self.group, row, "right") - 1
-            out[at] = self.earliest[group] < at
+            first = self.earliest(row, first - 1)
+            out[at] = first
             active = at > begin
         return out
 
+    def earlier_matches(self) -> np.ndarray:
+        """For every text position, whether the 100 bytes from there also begin at a smaller position."""
+        found = self.matches()
+        return found < np.arange(len(found))
+
 
 def _sorted_suffixes(sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array by prefix doubling, and for each row whether it agrees in ``LENGTH`` signs with the row above."""

@@ -141,6 +141,41 @@ def test_small_indexes_give_the_same(spark, monkeypatch):
         at += len(t) + 1
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_matching_statistics(seed):
+    """Earliest places of all 100-byte strings, in texts of few letters, periods and edited copies."""
+    rng = random.Random(seed)
+    letters = ("a", "ab", "abcdefgh")[seed % 3]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 400))) for _ in range(6)]
+    texts += [("abc" * 90)[rng.randrange(9) :] for _ in range(3)]
+    for _ in range(25):
+        t = list(rng.choice(texts))
+        for _ in range(rng.randrange(3)):
+            if t:
+                t[rng.randrange(len(t))] = rng.choice("abz")
+        a = rng.randrange(len(t) + 1)
+        texts.append("".join(t[a:]) + rng.choice(texts)[: rng.randrange(300)])
+    texts = [t.encode() for t in texts]
+    got = runlength_index.RunLengthIndex(texts).matches()
+    seen, at = {}, 0
+    for t in texts:
+        for i in range(len(t) + 1):
+            w = t[i : i + 100]
+            want = seen.setdefault(w, at + i) if len(w) == 100 else at + i
+            assert got[at + i] == want
+        at += len(t) + 1
+
+
+def test_index_is_as_long_as_its_runs():
+    rng = random.Random(3)
+    one = bytes(rng.choice(b"abcdefghij ") for _ in range(2000))
+    sizes = []
+    for copies in (10, 100):
+        index = runlength_index.RunLengthIndex([one[k % 7 :] for k in range(copies)])
+        sizes.append(sum(x.size for x in vars(index).values()) - 3 * copies)
+    assert sizes[1] < 1.2 * sizes[0]
+
+
 def _units(text):
     import pyarrow as pa
 
