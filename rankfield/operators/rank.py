@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ..functions.scalars import attach
 from ..session import cut
@@ -50,6 +53,69 @@ def beside(tasks: DataFrame, by: Sequence[str]) -> DataFrame:
     return F.broadcast(tasks) if tasks.count() <= BROADCAST_OFFSETS else tasks
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows in order, with their number within the task's rows of their group
+    (``_in``) and whether it is the task's first group (``_head``)."""
+    last, groups, rows = None, 0, 0
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        low, high = np.asarray(batch.column("_low")), np.asarray(batch.column("_high"))
+        new = np.ones(n, bool)
+        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        new[0] = (low[0], high[0]) != last
+        at = np.arange(n)
+        start = np.maximum.accumulate(np.where(new, at, -rows))
+        number, group = at - start, groups + np.cumsum(new)
+        last, groups, rows = (low[-1], high[-1]), int(group[-1]), int(number[-1]) + 1
+        out = pa.Table.from_batches([batch]).append_column("_in", pa.array(number, pa.int64()))
+        yield from out.append_column("_head", pa.array(group == 1)).to_batches()
+
+
+def _number_in_place(placed: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Placed rows with ``_no`` within their group, for any number of groups, without a
+    further shuffle: a task's rows of a group are a stretch, counted where it is, and only
+    the first stretch of a task may go on from tasks before, so there is an offset a task.
+
+    Neighbouring stretches are told apart by 128 bits of hash."""
+    keys = [F.col(c) for c in by]
+    keyed = placed.withColumn("_low", F.xxhash64(*keys)).withColumn("_high", F.xxhash64(F.lit(1), *keys))
+    key = F.struct("_low", "_high")
+    edges = cut(
+        keyed.groupBy("_task").agg(
+            F.min_by(key, "_pos").alias("_first"), F.max_by(key, "_pos").alias("_last")
+        )
+    )
+    ends = (
+        keyed.join(F.broadcast(edges), "_task")
+        .filter(key == F.col("_last"))
+        .groupBy("_task", F.col("_last").alias("_key"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    before = Window.partitionBy("_key").orderBy("_task").rangeBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        ends.withColumn("_asks", F.lit(False))
+        .unionByName(
+            edges.select(
+                "_task",
+                F.col("_first").alias("_key"),
+                F.lit(0).cast("long").alias("_n"),
+                F.lit(True).alias("_asks"),
+            )
+        )
+        .withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .filter("_asks")
+        .select("_task", "_shift")
+    )
+    schema = StructType([*keyed.schema.fields, StructField("_in", LongType()), StructField("_head", BooleanType())])
+    return (
+        keyed.mapInArrow(_counted, schema)
+        .join(F.broadcast(shifts), "_task")
+        .withColumn("_no", F.col("_in") + F.when(F.col("_head"), F.col("_shift")).otherwise(0))
+    )
+
+
 def number_rows(
     df: DataFrame,
     order: Sequence[Column],
@@ -59,16 +125,23 @@ def number_rows(
 ) -> DataFrame:
     """Consecutive numbers in ``order`` within each ``by`` group: the position
     inside a task plus the counts of the tasks before it. ``order`` should end
-    in a unique column."""
+    in a unique column. Rows without a group have no number and are left out. The
+    rows are shuffled once, into their order."""
     by = list(by)
     placed = _placed(df, order, by)
     tasks = placed.groupBy(*by, "_task").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first")
     )
     before = F.coalesce(F.sum("_n").over(_earlier_tasks(by)), F.lit(0))
-    tasks = beside(tasks.select(*by, "_task", (before - F.col("_first")).alias("_shift")), by)
-    return placed.join(tasks, [*by, "_task"]).select(
-        *[placed[c] for c in df.columns if c != name],
+    tasks = tasks.select(*by, "_task", (before - F.col("_first")).alias("_shift"))
+    kept = [c for c in df.columns if c != name]
+    if by:
+        tasks = cut(tasks)
+        if tasks.count() > BROADCAST_OFFSETS:
+            numbered = _number_in_place(placed.dropna(subset=by), by)
+            return numbered.select(*kept, (F.col("_no") + start).cast("long").alias(name))
+    return placed.join(F.broadcast(tasks), [*by, "_task"]).select(
+        *[placed[c] for c in kept],
         (F.col("_pos") + F.col("_shift") + start).cast("long").alias(name),
     )
 

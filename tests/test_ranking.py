@@ -26,6 +26,30 @@ def test_numbers_with_one_hot_key(spark, monkeypatch, offsets):
         assert [r["rank"] for r in got] == list(range(len(want)))
 
 
+@pytest.mark.parametrize("offsets", [0, 200_000])
+@pytest.mark.parametrize("parts", ["1", "8", "40"])
+def test_numbers_of_many_groups(spark, monkeypatch, offsets, parts):
+    """Groups of one row, groups over many tasks, keys of two columns, rows without a group."""
+    monkeypatch.setattr(rank, "BROADCAST_OFFSETS", offsets)
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", "", None]), rng.choice([1.5, -0.0, 7.0]), k, [k]) for k in range(1500)]
+    rows += [(f"g{k}", 0.0, 10_000 + k, None) for k in range(400)]
+    df = spark.createDataFrame(rows, "g string, h double, at long, extra array<int>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    numbered = rank.number_rows(df, [F.col("at").desc()], ["g", "h"], "no", start=3)
+    got = {r["at"]: r["no"] for r in numbered.collect()}
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    want, seen = {}, {}
+    for g, h, at, _ in sorted(rows, key=lambda r: -r[2]):
+        if g is not None:
+            seen[g, h] = seen.get((g, h), 2) + 1
+            want[at] = seen[g, h]
+    assert got == want
+    assert "SortMergeJoin" not in plan and ("MapInArrow" in plan) == (offsets == 0)
+
+
 def test_running_total(spark):
     rows = [(k % 3, k, float(k)) for k in range(200)]
     df = spark.createDataFrame(rows, "g int, o long, x double")
