@@ -25,6 +25,7 @@ CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 PACKER_PIECES = 4_000  # pieces of a packer, about: some thousand sequences, of which one stays open
+PARTITIONS = 20_000  # tasks the packers are dealt to, at most
 CACHED_WORDS = 1_500_000  # of a Python worker: about 100 MB
 _SLOTS = 22  # bits of the table that finds them
 
@@ -272,7 +273,8 @@ def pack(
     documents of their own; rows without doc_id are packed too. Other columns are ignored.
 
     Pieces are dealt to packers of about ``packer_pieces`` by hash, however often a doc_id repeats; each
-    packer leaves at most a few sequences unfilled. A packer's memory holds its pieces' lengths only.
+    packer leaves at most a few sequences unfilled. A task takes its packers one after the other and holds
+    the numbers of one packer's pieces, no ids.
     """
     pieces = stage(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
@@ -286,24 +288,29 @@ def pack(
     number = F.monotonically_increasing_id()
     dealt = pieces.withColumn("packer", F.pmod(F.xxhash64("doc_id", "piece", number), F.lit(packers)).cast("int"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        packer = np.asarray(table.column("packer"))
-        length = np.asarray(table.column("length"))
-        where = np.empty(len(packer), np.int64)
-        offset = np.empty(len(packer), np.int64)
-        bounds = np.flatnonzero(np.concatenate([[True], packer[1:] != packer[:-1], [True]]))
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            bin_, offset[a:b] = place_all(length[a:b], capacity)
-            where[a:b] = (int(packer[a]) << 32) + bin_
-        table = table.drop_columns(["packer"]).append_column("sequence_id", pa.array(where))
+    def placed(table: pa.Table, packer: int) -> Iterator[pa.RecordBatch]:
+        where, offset = place_all(np.asarray(table.column("length")), capacity)
+        table = table.drop_columns(["packer"]).append_column("sequence_id", pa.array((packer << 32) + where))
         yield from table.append_column("offset", pa.array(offset)).to_batches(max_chunksize=10_000)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A packer's pieces are held until the next packer's begin."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            packer = np.asarray(batch.column("packer"))
+            turn = np.flatnonzero(np.diff(packer)) + 1
+            for a, b in zip(np.concatenate([[0], turn]), np.concatenate([turn, [len(packer)]])):
+                if a == b:
+                    continue
+                if held and held[0].column("packer")[0].as_py() != packer[a]:
+                    yield from placed(pa.Table.from_batches(held), held[0].column("packer")[0].as_py())
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from placed(pa.Table.from_batches(held), held[0].column("packer")[0].as_py())
+
     return (
-        dealt.repartition(packers, "packer")
+        dealt.repartition(min(packers, PARTITIONS), "packer")
         .sortWithinPartitions("packer", F.desc("length"), "doc_id", "piece", "start")
         .mapInArrow(
             run,

@@ -222,6 +222,19 @@ def test_packing(spark, capacity, packer):
         assert len(bins) <= -(-sum(r.length for r in rows) // capacity) + 1
 
 
+def test_packers_of_one_task(spark, monkeypatch):
+    """Any number of packers in a task gives the same sequences."""
+    docs = spark.createDataFrame([(k, "some words " * (k * 37 % 90)) for k in range(300)], "doc_id long, text string").coalesce(1)
+    apart = packing.pack(docs, 64, packer_pieces=20)
+    assert apart.rdd.getNumPartitions() > 10
+    want = sorted(apart.collect())
+    for partitions in (1, 3):
+        monkeypatch.setattr(packing, "PARTITIONS", partitions)
+        together = packing.pack(docs, 64, packer_pieces=20)
+        assert together.rdd.getNumPartitions() == partitions
+        assert sorted(together.collect()) == want
+
+
 def test_placement_takes_the_smallest_sum_of_squares():
     rng = random.Random(6)
     sizes = sorted((rng.randint(1, 20) for _ in range(300)), reverse=True)
