@@ -332,7 +332,9 @@ def _marker_cells(spark, d):
 
 
 def _lists(spark, d):
-    return nulls.permuted_lists(label_null.scores_by_labels(*_marker_cells(spark, d), PERMS))
+    """Both ends of every permuted list; the markers need no more of them."""
+    scores = label_null.scores_by_labels(*_marker_cells(spark, d), PERMS, ends=reports.MARKERS)
+    return nulls.permuted_lists(scores, ends=reports.MARKERS)
 
 
 _MARKERS = reports.MARKERS

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from rankfield.operators import reports
+from rankfield.operators import label_null, nulls, rank, reports
 from rankfield.plans import runs
 from rankfield.sources import writers
 
@@ -67,3 +68,46 @@ def test_queries_where_every_set_is_too_large(spark, tmp_path):
         assert queries[name](spark, str(tmp_path)).count() == 0, name
     rows = {r.key: r.value for r in queries["run_summary_with_warnings"](spark, str(tmp_path)).collect()}
     assert rows["n_sets"] == 0 and rows["n_sets_filtered"] == 3 and rows["n_features"] == 600
+
+
+@pytest.fixture(scope="module")
+def sparse(spark):
+    """Few cells a row, many samples, some rows tied."""
+    rng = random.Random(9)
+    cells = [
+        (f"f{r}", r * 3, f"s{c}", 1.0 if r % 10 == 0 else round(rng.gauss(2, 1), 3))
+        for r in range(400) for c in sorted(rng.sample(range(3000), 8))
+    ]
+    cells.append(("f7", 21, "s1", float("nan")))
+    features = spark.createDataFrame(cells, "feature string, row_idx long, sample string, value double")
+    labels = spark.createDataFrame([(f"s{c}", c % 2) for c in range(3000)], "sample string, class_idx int")
+    return features, labels
+
+
+def test_tiles_of_a_sparse_matrix(sparse):
+    features, labels = sparse
+    tidy = features.filter("not isnan(value)")
+    for metric in ("signal_to_noise", "t_test"):
+        plan = {(r.perm, r.feature): r.score for r in nulls.permuted_scores(tidy, labels, 3, 5, metric).collect()}
+        got = {(r.perm, r.feature): r.score for r in label_null.scores_by_labels(features, labels, 3, 5, metric, perm_block=2).collect()}
+        assert got.keys() == plan.keys() and all(got[k] == pytest.approx(plan[k], abs=1e-9) for k in plan)
+    # cells decide on the tiles, not rows by samples: each tile is sent all labels
+    nobody = features.select("feature", F.lit(1).alias("member")).filter("false")
+    options = {"median": False, "fix_low": True, "biased": False}
+    _, index, rows = label_null._scored_tiles(features, labels, nobody, 3, 5, "signal_to_noise", "no_balance", options, 6000, 2)
+    assert rows == 400 and index.select("tile").distinct().count() <= 3
+
+
+def test_ends_of_permuted_lists(sparse):
+    features, labels = sparse
+    whole = nulls.permuted_lists(label_null.scores_by_labels(features, labels, 4, 5))
+    assert label_null.scores_by_labels(features, labels, 4, 5, ends=7, tile_cells=500).count() < 4 * 400
+    for ends in (7, 150):
+        kept = label_null.scores_by_labels(features, labels, 4, 5, ends=ends, tile_cells=500)
+        a, b = (
+            sorted((r.perm, r.side, r.position, r.feature, r["rank"]) for r in rank.top_bottom_k(x, ends, ["perm"]).collect())
+            for x in (whole, nulls.permuted_lists(kept, ends=ends))
+        )
+        assert a == b and len(a) == 4 * 2 * ends
+    keys = np.array([2.0, 1.0, 1.0, 1.0, 0.0, 1.0])
+    assert label_null.end_places(keys, 2).tolist() == [0, 1, 4, 5]
