@@ -165,3 +165,22 @@ def test_components(spark, shape, monkeypatch):
     df = spark.createDataFrame(pairs, "a string, b string")
     got = {r["a"]: r["b"] for r in overlap.components(df).collect()}
     assert got == _components_by_hand([p for p in pairs if None not in p and p[0] != p[1]])
+
+
+@pytest.mark.parametrize("few", [0, 2, 8])
+def test_member_pairs_of_few_and_many_sets(spark, few):
+    rng = random.Random(few)
+    members = [f"m{k:03d}" for k in range(150)]
+    rows = [(f"s{k % 90}", m) for m in members for k in rng.sample(range(90), rng.choice([1, 2, 3, 12]))]
+    rows += [("s0", "m000")] * 2 + [("alone", "x"), (None, "m001")]
+    df = spark.createDataFrame(rows, "set_name string, member string")
+    assert overlap.co_member_pairs(df, few).head()["distinct_pairs"] == _pairs_by_hand([r for r in rows if r[0]])
+    assert overlap.co_member_pairs(df.limit(0), few).head()["distinct_pairs"] == 0
+
+
+def test_member_pairs_of_few_sets_are_not_met(spark, monkeypatch):
+    """Members in brand, type and size: no membership meets the masks of its sets."""
+    monkeypatch.setattr(overlap, "_pairs_of_many", None)
+    rows = [(f"{c}{k % n}", f"m{k}") for k in range(400) for c, n in (("b", 5), ("t", 7), ("z", 11))]
+    df = spark.createDataFrame(rows, "set_name string, member string")
+    assert overlap.co_member_pairs(df).head()["distinct_pairs"] == _pairs_by_hand(rows)
