@@ -227,3 +227,63 @@ def test_matrix_run_end_to_end(matrix):
     assert runs.leading_edge(run)["members"].count() == run.sets.count()
     numeric = runs.enrich_matrix(features, labels, sets, metric="spearman", nperm=5, set_min=2, set_max=100)
     assert numeric.results.count() == 6
+
+
+@pytest.mark.parametrize("kind", permute.KINDS)
+def test_permuted_labels_by_heads(spark, kind):
+    """Heads of any length choose what a whole sort chooses; repeated, unnamed and unlabelled samples too."""
+    import hashlib
+
+    rows = [(f"s{c % 290}" if c % 50 else None, [0, 1, 1][c % 3]) for c in range(300)] + [("x", None)]
+    labels = spark.createDataFrame(rows, "sample string, class_idx int")
+    n0, n1 = 100, 200
+    from0 = {"balance_class0": n0 // 2, "balance_class1": n0 - n1 // 2, "equalize_and_balance": n0 - n0 // 2}.get(kind)
+    want = []
+    for p in range(3):
+        keyed = sorted(
+            (hashlib.md5(":".join(x for x in ("5", str(p), s) if x is not None).encode()).hexdigest(), s or "", s, k) for s, k in rows if kind == "no_balance" or k is not None
+        ) if kind == "no_balance" else None
+        for k in [None] if kind == "no_balance" else [0, 1]:
+            group = keyed or sorted((hashlib.md5(":".join(x for x in ("5", str(p), s) if x is not None).encode()).hexdigest(), s or "", s, c) for s, c in rows if c == k)
+            limit = n0 if k is None else from0 if k == 0 else n0 - from0
+            want += [(p, s, 0 if at < limit else 1) for at, (_, _, s, _) in enumerate(group)]
+    for bucket_rows in (1, 4096):
+        out = permute.permute_labels(labels, 3, 5, kind, bucket_rows=bucket_rows).collect()
+        assert sorted(map(str, map(tuple, out))) == sorted(map(str, want))
+
+
+def test_permuted_profile_by_heads(spark):
+    import hashlib
+
+    rows = [(q if c else None, f"s{c % 390}", 400 - c, float(c)) for q in "pq" for c in range(400)]
+    labels = spark.createDataFrame(rows, "phenotype string, sample string, position long, num_value double")
+    want = []
+    for q in "pq":
+        mine = sorted((r for r in rows if r[0] == q), key=lambda r: (r[2], r[1]))
+        for p in range(3):
+            keyed = sorted((hashlib.md5(f"5:{p}:{r[1]}".encode()).hexdigest(), r[1]) for r in mine)
+            want += [(p, s, r[3]) for (_, s), r in zip(keyed, mine)]
+    for bucket_rows, broadcast_values in ((1, 0), (4096, 10**6)):
+        out = permute.permute_numeric_profile(labels, 3, 5, bucket_rows=bucket_rows, broadcast_values=broadcast_values).collect()
+        assert sorted(map(tuple, out)) == sorted(want)
+
+
+@pytest.mark.parametrize("metric", ["signal_to_noise", "t_test"])
+def test_permuted_scores_of_repeated_and_odd_cells(spark, metric):
+    """Tiles give what joins and aggregates give, cells not copied for every permutation."""
+    rng = np.random.default_rng(6)
+    cells = [(f"f{r}" if r else None, r, f"s{c}", float(rng.normal(2, 1))) for r in range(30) for c in range(20)]
+    cells += cells[5:200:7] + [("f3", 3, "s1", float("nan")), ("f4", 4, "s1", float("inf")), ("f5", 5, "s1", None), ("f6", None, "s2", 1.0), ("lone", 99, "s3", 2.0)]
+    features = spark.createDataFrame(cells, "feature string, row_idx long, sample string, value double")
+    rows = [(f"s{c % 19}", c % 2) for c in range(24)] + [(None, 0), ("other", 1)]
+    labels = spark.createDataFrame(rows, "sample string, class_idx int")
+
+    def of(df):
+        return {(r.perm, r.feature, r.row_idx): "nan" if r.score is not None and np.isnan(r.score) else r.score for r in df.collect()}
+
+    plan, got = (of(f(features, labels, 4, 5, metric)) for f in (nulls.permuted_scores_plan, nulls.permuted_scores))
+    assert got.keys() == plan.keys() and list(plan.values()).count("nan") >= 4
+    for k, v in plan.items():
+        assert got[k] == (v if v is None or v == "nan" else pytest.approx(v, abs=1e-9))
+    joins = nulls.permuted_scores(features, labels, 4, 5, metric)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInPandas" in joins
