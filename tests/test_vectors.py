@@ -147,3 +147,26 @@ def test_places_outside_a_group_have_no_row(spark):
     places = spark.createDataFrame([("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 0), ("c", 0)], "k string, _place long")
     got = sorted((r["k"], r["_place"], r["v"]) for r in select.select_places(counted, places, ["k"], "v").collect())
     assert got == [("a", 0, 1.0), ("a", 1, 1.0), ("a", 2, 7.0), ("b", 0, 3.0)]
+
+
+def test_tasks_grow_with_the_files(spark, tmp_path, monkeypatch):
+    """Shuffles have as many tasks as the files behind a table need, with the same medians, skewed groups included."""
+    from rankfield import session
+
+    rows = [(k % 7, f"p{k % 40}", f"s{k % 3 if k % 5 else 0}", float(k * 7919 % 101) if k % 11 else None) for k in range(3000)]
+    spark.createDataFrame(rows, "row_idx long, feature string, sample string, value double").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    id_map = spark.createDataFrame([(f"p{k}", f"y{k % 4}" if k % 9 else "") for k in range(40)], "probe string, symbol string")
+    assert session.tasks_for(df) is None and session.tasks_for(id_map) is None
+
+    def run(mode):
+        return sorted(map(tuple, idmap.collapse(df, id_map, mode).select("feature", "sample", F.round("value", 9)).collect()))
+
+    plain = {m: run(m) for m in ("median", "max")}
+    wide = sorted(map(tuple, select.group_median(df, ["sample"], "value", "m", spread=5).collect()))
+    monkeypatch.setattr(session, "TASK_BYTES", 200)
+    n = session.tasks_for(df)
+    assert n > 8 and session.spread(df, n, "feature").rdd.getNumPartitions() == n
+    assert idmap.collapse(df, id_map, "max").rdd.getNumPartitions() == n
+    assert {m: run(m) for m in plain} == plain
+    assert sorted(map(tuple, select.group_median(df, ["sample"], "value", "m", spread=5).collect())) == wide
