@@ -168,6 +168,49 @@ def test_missing_cells_round_trip(spark, tmp_path):
         assert [r["row_idx"] for r in rows] == [0, 0, 0, 1, 1, 1]
 
 
+@pytest.mark.parametrize("ext", ["gct", "txt", "pcl", "res"])
+def test_sparse_matrix_is_small_and_whole(spark, tmp_path, monkeypatch, ext):
+    """Four files, most of whose cells are missing: every cell is there, few bytes are."""
+    monkeypatch.setattr(writers, "SPARSE_ROWS", 100, raising=False)
+    monkeypatch.setattr(writers, "SPARSE_CELLS", 1, raising=False)
+    write, read = {
+        "gct": (writers.write_gct, matrices.read_gct), "txt": (writers.write_txt_matrix, matrices.read_txt_matrix),
+        "pcl": (writers.write_pcl, matrices.read_pcl), "res": (writers.write_res, matrices.read_res),
+    }[ext]
+    n, width = 400, 1000
+    at = (F.col("id") * 7 + F.col("k") * 333) % width
+    df = spark.range(n).withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(3)]))).select(
+        F.col("id").alias("row_idx"), F.concat(F.lit("f"), "id").alias("feature"),
+        at.alias("sample_idx"), F.concat(F.lit("s"), at).alias("sample"), (at / 4).alias("value"),
+    )
+    path = str(tmp_path / f"m.{ext}")
+    write(df, path)
+    files = [os.path.join(top, f) for top, _, names in os.walk(path) for f in names if f.startswith("part-")]
+    assert len(files) == 4
+    assert sum(map(os.path.getsize, files)) < n * width / 8
+    cells = read(spark, path)
+    assert [f.name for f in cells.schema][:7] == matrices.CELLS
+    count = cells.groupBy("row_idx", "feature").agg(F.count(F.lit(1)).alias("c"), F.countDistinct("sample").alias("d"))
+    assert count.filter((F.col("c") == width) & (F.col("d") == width)).count() == n
+    got = {(r["row_idx"], r["feature"], r["sample_idx"], r["sample"], r["value"]) for r in cells.dropna(subset=["value"]).collect()}
+    used = sorted({r["sample_idx"] for r in df.collect()})
+    assert len(used) == width
+    assert got == {tuple(r) for r in df.collect()}
+
+
+@pytest.mark.parametrize("most", [0, 64 << 20])
+def test_files_that_share_their_names(spark, tmp_path, monkeypatch, most):
+    """Equal sample names are kept once; every file still has its own."""
+    monkeypatch.setattr(matrices, "HEAD_BYTES", most)
+    for file, names in {"a": "s1\ts2", "b": "s1\ts2", "c": "s2\ts1", "d": "s1"}.items():
+        put(tmp_path, f"{file}.txt", f"NAME\t{names}\n{file}1\t1" + "\t2" * (file != "d") + "\n")
+    rows = matrices.read_txt_matrix(spark, str(tmp_path)).orderBy("dataset", "sample_idx").collect()
+    assert [(r["dataset"], r["feature"], r["sample"], r["value"]) for r in rows] == [
+        ("a", "a1", "s1", 1.0), ("a", "a1", "s2", 2.0), ("b", "b1", "s1", 1.0), ("b", "b1", "s2", 2.0),
+        ("c", "c1", "s2", 1.0), ("c", "c1", "s1", 2.0), ("d", "d1", "s1", 1.0),
+    ]
+
+
 def test_gmt(spark, tmp_path):
     path = put(tmp_path, "c.gmt", "set a\tdesc\tm1\tm2\tm1\tNULL\t\tm3\n#x\nB\td\tm9\n")
     rows = coll.read_gmt(spark, path).orderBy("set_name", "member_pos").collect()
