@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import inputs as i
 from ..operators import clean, label_null, measures, metrics, nulls, rank, reports
+from ..session import cut, sent, spread, tasks_for
 from .base import MATRIX_RUN, PERMS, Entry, floor_sql, r6, sql
 
 ENTRIES: dict[str, Entry] = {}
@@ -327,13 +328,16 @@ add(
 
 
 def _marker_cells(spark, d):
-    labels = i.side_labels(spark, d)
-    return clean.omit_features_without_class_data(i.features(spark, d), labels), labels
+    """Cells and labels, made once for all steps that read them; a row's cells lie together."""
+    features = i.features(spark, d).drop("sample_idx")
+    features = cut(spread(features, tasks_for(features), "row_idx", "feature"))
+    labels = sent(i.side_labels(spark, d))
+    return clean.omit_features_without_class_data(features, labels), labels
 
 
-def _lists(spark, d):
+def _lists(cells, labels):
     """Both ends of every permuted list; the markers need no more of them."""
-    scores = label_null.scores_by_labels(*_marker_cells(spark, d), PERMS, ends=reports.MARKERS)
+    scores = label_null.scores_by_labels(cells, labels, PERMS, ends=reports.MARKERS)
     return nulls.permuted_lists(scores, ends=reports.MARKERS)
 
 
@@ -366,7 +370,7 @@ GROUP BY position, w.level"""
 add(
     "marker_significance",
     lambda spark, d: r6(
-        reports.marker_significance(_lists(spark, d), PERMS, _MARKERS), "up", "down"
+        reports.marker_significance(_lists(*_marker_cells(spark, d)), PERMS, _MARKERS), "up", "down"
     ),
     f"SELECT position, level, round(up, 6) AS up, round(down, 6) AS down FROM ({_MARKER_SQL})",
     **_MARKER_RUN,
@@ -374,10 +378,9 @@ add(
 
 
 def _butterfly(spark, d):
-    real = rank.rank_features(
-        metrics.class_metric("signal_to_noise", *_marker_cells(spark, d))
-    )
-    sig = reports.marker_significance(_lists(spark, d), PERMS, _MARKERS)
+    cells, labels = _marker_cells(spark, d)
+    real = rank.rank_features(metrics.class_metric("signal_to_noise", cells, labels))
+    sig = reports.marker_significance(_lists(cells, labels), PERMS, _MARKERS)
     return r6(
         reports.butterfly_table(real, sig, _MARKERS), "observed_up", "observed_down", "up", "down"
     )

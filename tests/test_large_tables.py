@@ -111,3 +111,57 @@ def test_ends_of_permuted_lists(sparse):
         assert a == b and len(a) == 4 * 2 * ends
     keys = np.array([2.0, 1.0, 1.0, 1.0, 0.0, 1.0])
     assert label_null.end_places(keys, 2).tolist() == [0, 1, 4, 5]
+
+
+@pytest.mark.parametrize("most", [1 << 26, 3000])
+def test_ends_take_labels_once_a_row_and_cells_once(spark, sparse, monkeypatch, most):
+    """Labels reach a task once, not once a tile, and at most ``most`` bytes of them; scores are those of the tiles."""
+    features, labels = sparse
+    monkeypatch.setattr(label_null, "LABEL_BYTES", most)
+    features = features.unionByName(spark.createDataFrame([("f3", 9, "s1", float("inf")), (None, 1, "s1", 1.0), ("nan", 2, "s1", float("nan"))], features.schema))
+    used = []
+    bits = label_null._label_bits
+    monkeypatch.setattr(label_null, "_label_bits", lambda *a: used.append(bits(*a)) or used[-1])
+    for metric in ("signal_to_noise", "t_test", "diff_of_classes"):
+        tiles = label_null.scores_by_labels(features, labels, 20, 5, metric)
+        ends = label_null.scores_by_labels(features, labels, 20, 5, metric, ends=30)
+        assert ends.select("n_features").distinct().collect() == [(401,)]
+        want, got = (
+            {(r.perm, r.side, r.position): (r.feature, r.row_idx, "none" if r.score is None else round(r.score, 9) if r.score == r.score else "nan") for r in rank.top_bottom_k(x, 30, ["perm"]).collect()}
+            for x in (nulls.permuted_lists(tiles), nulls.permuted_lists(ends, ends=30))
+        )
+        assert got == want and len(got) == 20 * 60
+    assert len(used) == (3 if most > 3000 else 9) and all(b.nbytes <= most for b in used)
+
+
+def test_ends_of_equal_scores_and_of_whole_rows():
+    rng = np.random.default_rng(2)
+    for values in (rng.integers(0, 3, (500, 5)).astype(float), np.zeros((900, 5)), rng.normal(size=(700, 5))):
+        values[7] = np.nan
+        found = label_null.Ends(5, 20)
+        for rows in np.split(rng.permutation(len(values)), 10):
+            found.add(rows, values[rows])
+        perm, _, row, score = found.settled()
+        assert len(row) == 5 * 40
+        for p in range(5):
+            order = np.lexsort((np.arange(len(values)), label_null.order_keys(values[:, p], "real", False)))
+            assert row[perm == p].tolist() == [*order[:20], *order[-20:]]
+            assert np.array_equal(score[perm == p], values[row[perm == p], p], equal_nan=True)
+
+
+def test_scores_of_dense_sparse_and_long_rows(monkeypatch):
+    rng = np.random.default_rng(3)
+    at, sample = np.nonzero(rng.random((30, 400)) < np.linspace(0, 0.3, 30)[:, None])
+    value, bits = rng.normal(3, 1, len(at)), rng.integers(0, 256, (400, 9), dtype=np.uint8)
+    a = np.full((30, 400), np.nan)
+    a[at, sample] = value
+    labels = np.unpackbits(bits, axis=1, count=70).astype(float)
+    want = label_null.class_scores(np.where(np.isnan(a).all(axis=1, keepdims=True), 0.0, a), labels, "signal_to_noise")
+    for share, strip in ((0.0, 1 << 19), (2.0, 1 << 19), (2.0, 700)):
+        monkeypatch.setattr(label_null, "DENSE_SHARE", share)
+        monkeypatch.setattr(label_null, "STRIP_SCORES", strip)
+        got = np.full((30, 70), np.nan)
+        for rows, scores in label_null._scores_of_rows(at, sample, value, 30, bits, 70, "signal_to_noise", True, False):
+            got[rows] = scores
+        some = ~np.isnan(a).all(axis=1)
+        assert np.allclose(got[some], want[some], atol=1e-9, equal_nan=True) and (got[~some] == 0).all() and (~some).any()
