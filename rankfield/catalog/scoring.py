@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import inputs as i
 from ..operators import clean, label_null, measures, metrics, nulls, rank, reports
-from ..session import cut, sent, spread, tasks_for
+from ..session import cut, release, sent, spread, tasks_for
 from .base import MATRIX_RUN, PERMS, Entry, floor_sql, r6, sql
 
 ENTRIES: dict[str, Entry] = {}
@@ -332,6 +332,7 @@ def _marker_cells(spark, d):
     features = i.features(spark, d).drop("sample_idx")
     features = cut(spread(features, tasks_for(features), "row_idx", "feature"))
     labels = sent(i.side_labels(spark, d))
+    release(spark)
     return clean.omit_features_without_class_data(features, labels), labels
 
 

@@ -360,3 +360,14 @@ def test_large_matrix_has_several_files(spark, tmp_path, monkeypatch):
     rows = matrices.read_gct(spark, path).orderBy("row_idx").collect()
     assert [r["value"] for r in rows] == [float(k) for k in range(35)]
     assert {r["dataset"] for r in rows} == {"big"}
+
+
+def test_kept_lines_are_short_and_whole(spark, tmp_path):
+    """Runs of tabs take few bytes where lines are kept; lines that hold the marks are kept as they are."""
+    texts = ["a" + "\t" * n + "b" for n in (0, 1, 7, 8, 9, 31, 32, 33, 511, 512, 513, 40_000)]
+    texts += ["x\x01" + "\t" * 40, "\x02\x03" + "\t" * 9 + "\x01" * 16, " \ty", "\t" * 100 + "ü", "\x03", "\x01" * 16 + "\t" * 512]
+    path = put(tmp_path, "a.txt", "\n".join(texts) + "\n")
+    split = lines.split_lines(spark, path)
+    assert split.agg(F.max(F.when(F.contains("_short", F.lit("a")), F.octet_length("_short")))).head()[0] < 200
+    got = lines.number_lines(split).orderBy("line_no").collect()
+    assert [(r["line_no"], r["line"]) for r in got] == list(enumerate(texts))
